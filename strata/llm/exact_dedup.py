@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.staging import Stage
+
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
@@ -26,19 +28,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     hashed = rows.select("id", F.unhex(F.md5("t")).alias("h"), F.sha2("t", 256).alias("text_sha256"))
     groups = hashed.groupBy("h").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    stage = Stage(docs.sparkSession, "exact_dedup")
+    repeated = stage.put(groups.where("group_size > 1"), "repeated")
 
-    repeated = groups.where("group_size > 1").select("h", "keep_id")
     texts = rows.select("id", "t", F.unhex(F.md5("t")).alias("h"))
-    members = texts.join(repeated, "h", "left_semi")
-    stays = texts.join(repeated.select(F.col("keep_id").alias("id"), "h"), ["h", "id"], "left_semi")
-    stays = stays.groupBy("h").agg(F.min(F.col("t")).alias("kept_text"))
-    clash = members.join(stays, "h").where(F.col("t") != F.col("kept_text"))
-    split = clash.groupBy("h", F.sha2("t", 256).alias("text_sha256"), "t").agg(best("id").alias("alone_id"), F.count(F.lit(1)).alias("alone_size"))
-    split = split.select("h", "text_sha256", "alone_id", "alone_size")
-
-    joined = hashed.join(groups, "h").join(split, ["h", "text_sha256"], "left")
-    removed = split.groupBy("h").agg(F.sum("alone_size").alias("elsewhere"))
-    joined = joined.join(removed, "h", "left")
+    members = stage.put(texts.join(repeated, "h", "left_semi"), "members")
+    stays = members.join(repeated.select(F.col("keep_id").alias("id"), "h"), ["h", "id"], "left_semi").dropDuplicates(["h"])
+    stays = stage.put(stays.select("h", F.col("t").alias("kept_text")), "stays")
+    clash = stage.put(members.join(stays, "h").where(F.col("t") != F.col("kept_text")), "clash")
+
+    joined = hashed.join(repeated, "h", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")))
+    joined = joined.withColumn("group_size", F.coalesce("group_size", F.lit(1)))
+    if clash.isEmpty():
+        joined = joined.select("*", F.lit(None).cast("long").alias("alone_size"), F.lit(None).cast("long").alias("elsewhere"), F.lit(None).alias("alone_id"))
+    else:
+        split = clash.groupBy("h", F.sha2("t", 256).alias("text_sha256"), "t").agg(best("id").alias("alone_id"), F.count(F.lit(1)).alias("alone_size"))
+        split = stage.put(split.select("h", "text_sha256", "alone_id", "alone_size"), "split")
+        removed = split.groupBy("h").agg(F.sum("alone_size").alias("elsewhere"))
+        joined = joined.join(split, ["h", "text_sha256"], "left").join(removed, "h", "left")
+    stage.drop("members", "stays", "clash")
     keep_id = F.coalesce("alone_id", "keep_id")
     size = F.coalesce("alone_size", F.col("group_size") - F.coalesce("elsewhere", F.lit(0)))
     return joined.select(
