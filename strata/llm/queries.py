@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.exact_dedup import exact_groups
 from strata.llm.mixing import mix_sources
+from strata.llm.url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,24 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, MIX_WEIGHTS)
 
 
+#: (verdict, host, path prefix)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE = {
