@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.exact_dedup import exact_groups
 from strata.llm.mixing import mix_sources
+from strata.llm.quality_rules import quality_rules
 from strata.llm.url_filter import filter_urls
 
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -41,6 +46,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
