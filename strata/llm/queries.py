@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.exact_dedup import exact_groups
 from strata.llm.mixing import mix_sources
+from strata.llm.quality_classifier import classify_quality
 from strata.llm.quality_rules import quality_rules
 from strata.llm.url_filter import filter_urls
 
@@ -18,6 +19,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -47,6 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
