@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strata.llm.mil import Attention, fit_attention
 from strata.llm.quality_rules import sample_labels
 from strata.llm.stats import FEATURES, segment_features
-from strata.llm.text import slice_hashes, utf8, word_spans
+from strata.llm.text import by_bytes, slice_hashes, utf8, word_spans
 
 #: Words of a passage, and buckets of its hashed bag of words.
 PASSAGE, BUCKETS = 64, 32
@@ -50,7 +50,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     """A model fitted to at most ``most`` labelled documents outside the held-out part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             x, bags = passages(batch.column(2))
             flat = pa.ListArray.from_arrays(pa.array((bags * WIDTH).astype(np.int32)), pa.array(x.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["id", "y", "x"])
@@ -89,7 +89,7 @@ def classify_quality(
     model = fit_quality(docs, labels, id_col, text_col, label_col, parts, held_part, fit_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             if batch.num_rows:
                 x, bags = passages(batch.column(2))
                 found = np.clip(model.score(x, bags), 0.0, 1.0)
@@ -116,7 +116,7 @@ def drop_low_quality(
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, place):
             if batch.num_rows:
                 x, bags = passages(batch.column(place))
                 yield batch.filter(pa.array(model.score(x, bags) >= accept_at))

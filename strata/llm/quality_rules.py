@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.boosting import Trees, fit_trees
 from strata.llm.stats import FEATURES, base_counts, segment_features
-from strata.llm.text import utf8, word_spans
+from strata.llm.text import by_bytes, utf8, word_spans
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the trees see: the segment features of the whole text and two shares.
@@ -41,7 +41,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     width = len(TREE_FEATURES)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             _, x = measure(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(x.ravel(), width).cast(pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -79,7 +79,7 @@ def quality_rules(
     trees = fit_rules(docs, labels, id_col, text_col, label_col, fit_rows)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             counts, x = measure(batch.column(1))
             words, repeat = counts["n_words"], counts["n_repeat_words"]
             failed = (words < least_words) | (100 * repeat > most_repeat_percent * words)

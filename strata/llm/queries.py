@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.exact_dedup import exact_groups
 from strata.llm.mixing import mix_sources
+from strata.llm.packing import pack_documents
 from strata.llm.quality_classifier import classify_quality
 from strata.llm.quality_rules import quality_rules
 from strata.llm.substring_dedup import drop_repeated_windows
@@ -23,6 +24,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed_from").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary that the driver's contract names; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, capacity=4096)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +78,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_packing": op2_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,

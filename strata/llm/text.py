@@ -141,3 +141,14 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The concatenation of start, start + 1, ... (size of them) for each pair."""
     total = int(sizes.sum())
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(total) if total else np.zeros(0, np.int64)
+
+
+def by_bytes(batches, column: int, most: int = 8 << 20):
+    """The batches cut into slices of about ``most`` bytes of text in a column, one row at least."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
