@@ -27,7 +27,7 @@ from strata.llm.text import utf8
 #: Bytes of text in a block, at least, and at most of those with more than one document, for small inputs and for large ones.
 BLOCK, LARGE_BLOCK = 4 << 20, 64 << 20
 _MESSAGE = "bucket int, block_id long, payload binary"
-_ANSWER = "block_id long, bucket int, payload binary"
+_ANSWER = "block_id long, bucket int, payload binary, totals array<long>"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -136,21 +136,32 @@ class Blocks:
 
         return self._joined().mapInArrow(run, schema)
 
-    def ask(self, name: str, send: Callable[[Block], Iterator[tuple[int, bytes]]], decide: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
-        """Send (range, payload) messages from each block; decide on all of one range and answer each, or not."""
+    def messages(self, send: Callable[[Block], Iterator[tuple[int, bytes]]]) -> DataFrame:
+        """bucket, block_id and payload of what each block sends."""
 
         def sent(block: Block) -> Iterator[pa.RecordBatch]:
             for bucket, payload in send(block):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block.number], pa.int64()), pa.array([payload], pa.binary())], names=["bucket", "block_id", "payload"])
 
+        return self.map(sent, _MESSAGE)
+
+    def ask(self, name: str, send: Callable[[Block], Iterator[tuple[int, bytes]]], decide: Callable[[list[bytes]], list[bytes | None]], totals: Callable[[list[bytes]], list[int]] | None = None) -> DataFrame:
+        """Send (range, payload) messages from each block; decide on all of one range and answer each, or not.
+
+        ``totals`` of a range's messages, if asked for, stand in the first of its answers.
+        """
+
         def decided(group: pa.Table) -> pa.Table:
             group = group.sort_by("block_id")
             answers = decide(group["payload"].to_pylist())
             keep = [i for i, a in enumerate(answers) if a is not None]
             rows = group.take(pa.array(keep, pa.int64()))
-            return pa.table({"block_id": rows["block_id"], "bucket": rows["bucket"], "payload": pa.array([answers[i] for i in keep], pa.binary())})
+            once = [None] * len(keep)
+            if totals and keep:
+                once[0] = totals(group["payload"].to_pylist())
+            return pa.table({"block_id": rows["block_id"], "bucket": rows["bucket"], "payload": pa.array([answers[i] for i in keep], pa.binary()), "totals": pa.array(once, pa.list_(pa.int64()))})
 
-        found = self.map(sent, _MESSAGE).groupBy("bucket").applyInArrow(decided, _ANSWER)
+        found = self.messages(send).groupBy("bucket").applyInArrow(decided, _ANSWER)
         self.answers[name] = self.stage.put(found, name)
         return self.answers[name]
 
