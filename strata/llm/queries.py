@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.llm.exact_dedup import exact_groups
 from strata.llm.lm_scoring import score_texts
 from strata.llm.mixing import mix_sources
+from strata.llm.ngram_join import join_similar
 from strata.llm.packing import pack_documents
 from strata.llm.quality_classifier import classify_quality
 from strata.llm.quality_rules import quality_rules
@@ -37,6 +38,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +89,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
