@@ -47,10 +47,18 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Block:
-    """Documents of one block: number, ids, concatenated bytes, offsets, and the answers it got, by name and range."""
+    """Documents of one block: number, ids, concatenated bytes, offsets, the answers it got, by name and range, and the other columns."""
 
-    def __init__(self, number: int, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, answers: dict[str, dict[int, bytes]]):
-        self.number, self.ids, self.data, self.offsets, self.answers = number, ids, data, offsets, answers
+    def __init__(self, number: int, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, answers: dict[str, dict[int, bytes]], rest: bytes | None):
+        self.number, self.ids, self.data, self.offsets, self.answers, self.rest = number, ids, data, offsets, answers, rest
+
+
+def _shut(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_batches(batches).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -58,14 +66,14 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
 
     base, count = TaskContext.get().partitionId() << 32, 0
 
-    def made(ids: list[np.ndarray], texts: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
+    def made(ids: list[np.ndarray], texts: list[np.ndarray], lengths: list[np.ndarray], rest: list[pa.RecordBatch]) -> pa.RecordBatch:
         nonlocal count
         data = zstandard.ZstdCompressor(level=1).compress(np.concatenate(texts).tobytes())
         count += 1
-        columns = [pa.array([base + count - 1], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([np.concatenate(lengths).astype("<i8").tobytes()]), pa.array([data])]
-        return pa.RecordBatch.from_arrays(columns, names=["block_id", "ids", "lengths", "data"])
+        columns = [pa.array([base + count - 1], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([np.concatenate(lengths).astype("<i8").tobytes()]), pa.array([data]), pa.array([_shut(rest) if rest[0].num_columns else None], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block_id", "ids", "lengths", "data", "rest"])
 
-    ids, texts, lengths, held = [], [], [], 0
+    ids, texts, lengths, rest, held = [], [], [], [], 0
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         number = batch.column(0).to_numpy(zero_copy_only=False)
@@ -75,13 +83,14 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             ids.append(number[at:to].copy())
             texts.append(data[offsets[at] : offsets[to]].copy())
             lengths.append(np.diff(offsets[at : to + 1]))
+            rest.append(batch.select(range(2, batch.num_columns)).slice(at, to - at))
             held += int(offsets[to] - offsets[at])
             at = to
             if held >= size or at < len(number):
-                yield made(ids, texts, lengths)
-                ids, texts, lengths, held = [], [], [], 0
+                yield made(ids, texts, lengths, rest)
+                ids, texts, lengths, rest, held = [], [], [], [], 0
     if ids:
-        yield made(ids, texts, lengths)
+        yield made(ids, texts, lengths, rest)
 
 
 def _open(batch: pa.RecordBatch) -> Iterator[Block]:
@@ -94,7 +103,7 @@ def _open(batch: pa.RecordBatch) -> Iterator[Block]:
         for name in columns:
             if name.startswith("answer_"):
                 answers[name[7:]] = {a["bucket"]: a["payload"] for a in columns[name][i] or []}
-        yield Block(columns["block_id"][i], ids, data, offsets, answers)
+        yield Block(columns["block_id"][i], ids, data, offsets, answers, columns["rest"][i])
 
 
 #: Stands for a null id inside blocks: before all others.
@@ -104,13 +113,15 @@ NULL_ID = -(2**63)
 class Blocks:
     """Staged documents with integer ids; a null id comes before all others, a null text is empty."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, name: str):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, name: str, carry: bool = False):
+        self.docs, self.text_col = docs, text_col
         self.stage = Stage(docs.sparkSession, name)
-        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+        rest = [F.col(text_col).isNull() if c == text_col else docs[c] for c in docs.columns] if carry else []
+        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *(c.alias(f"c{k}") for k, c in enumerate(rest)))
         self.bytes = rows.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()[0]
         size = int(min(max(BLOCK, self.bytes / 2**18), LARGE_BLOCK))
         buckets = int(min(max(24, self.bytes / (4 * size)), 1 << 16))
-        cut = rows.mapInArrow(lambda batches: _cut(batches, size), "block_id long, ids binary, lengths binary, data binary")
+        cut = rows.mapInArrow(lambda batches: _cut(batches, size), "block_id long, ids binary, lengths binary, data binary, rest binary")
         self.table = self.stage.table(cut, "blocks", buckets, "block_id")
         self.answers: dict[str, DataFrame] = {}
 
@@ -165,6 +176,32 @@ class Blocks:
         self.answers[name] = self.stage.put(found, name)
         return self.answers[name]
 
+    def without(self, dropped: DataFrame) -> DataFrame:
+        """The documents with all their columns, as staged with carry, but for the rows (block_id, row) dropped."""
+        place = self.docs.columns.index(self.text_col)
+        names, kinds = self.docs.columns, [f.dataType.simpleString() for f in self.docs.schema]
+
+        def told(group: pa.Table) -> pa.Table:
+            data = pack(group["row"].to_numpy())
+            return pa.table({"block_id": group["block_id"].slice(0, 1), "bucket": pa.array([0], pa.int32()), "payload": pa.array([data], pa.binary()), "totals": pa.array([None], pa.list_(pa.int64()))})
+
+        def kept(block: Block) -> Iterator[pa.RecordBatch]:
+            table = pa.ipc.open_stream(block.rest).read_all()
+            stay = np.ones(len(block.ids), dtype=bool)
+            if 0 in block.answers.get("dropped", {}):
+                stay[unpack(block.answers["dropped"][0])[0]] = False
+            absent = table.column(place).to_numpy()
+            raw = block.data.tobytes()
+            texts = [None if n else raw[a:b] for a, b, n in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), absent.tolist(), strict=True)]
+            table = table.set_column(place, f"c{place}", pa.array(texts, pa.binary()).cast(pa.string())).filter(pa.array(stay)).rename_columns([f"c{k}" for k in range(len(names))])
+            yield from table.combine_chunks().to_batches(1000)
+
+        kept_before = self.answers
+        self.answers = {"dropped": self.stage.put(dropped.select("block_id", "row").groupBy("block_id").applyInArrow(told, _ANSWER), "dropped")}
+        out = self.map(kept, ", ".join(f"c{k} {kind}" for k, kind in enumerate(kinds)))
+        self.stage.drop(*kept_before)
+        return out.toDF(*names)
+
     def close(self, *names: str) -> None:
         """Remove the blocks and the answers of these names, or all."""
         self.stage.drop(*(names or self.answers))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata.llm.staging import Stage
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Rows are grouped by the MD5 of their whole text; the row with the smallest
@@ -58,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of docs that stay, with all their columns; equal rows of one id and text leave one."""
     stay = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     sha: Column = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)

@@ -368,7 +368,7 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
 _MEMBER = pa.schema([("family", pa.int64()), ("cell", pa.int64()), ("side", pa.int64()), ("id", pa.int64()), ("keys", pa.binary())])
 
 
-def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id it reaches by links).
 
     Two documents link when their sets of word n-grams (A-Z lower-cased) have a Jaccard
@@ -387,3 +387,13 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = _link_documents(blocks, n, percent).select("id", "n_shingles", "component_id")
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return out.select(null("id"), "n_shingles", null("component_id")).withColumnRenamed("id", id_col)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the least of its component (see ``join_similar``).
+
+    Rows without a set stay. Rows that share the least id all stay.
+    """
+    blocks = Blocks(docs, id_col, text_col, "ngram_join", carry=True)
+    found = _link_documents(blocks, n, percent).where("id <> component_id")
+    return blocks.without(found)
