@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,30 +14,58 @@ from pyspark.sql import functions as F
 
 from strata.llm.text import by_bytes, ranges, slice_hashes, utf8, word_spans
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers, about 40 bytes each.
+REMEMBERED = 1_500_000
 PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long"
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pieces never cross white space: each different word is encoded once per slice at most."""
+    """Ids of texts by a tokenizer whose pieces never cross white space.
+
+    Each different word is encoded once, as long as it is remembered: their
+    hashes, ascending, and their ids end to end. New words are encoded many at a time,
+    with one of the tokenizer's own special tokens between them, which ends a word as white space does.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+        plain = [t for t in json.loads(definition).get("added_tokens", []) if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.mark, self.mark_id = (plain[-1]["content"], plain[-1]["id"]) if plain else (None, None)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids end to end, and how many each has."""
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            text = self.mark.join(some) if self.mark else ""
+            if self.mark and text.count(self.mark) == len(some) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                between = ids == self.mark_id
+                sizes.append(np.diff(np.flatnonzero(np.concatenate([[True], between, [True]]))) - 1)
+                out.append(ids[~between])
+            else:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                sizes.append(np.array([len(f) for f in found], np.int64))
+                out += [np.array(f, dtype=np.uint32) for f in found]
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Add ascending new keys."""
+        fresh, sizes = self._encoded(words)
+        keys_, sizes_ = np.concatenate([self.keys, keys]), np.concatenate([np.diff(self.first), sizes])
+        begin = np.concatenate([self.first[:-1], len(self.flat) + np.cumsum(sizes) - sizes])
+        flat = np.concatenate([self.flat, fresh])
+        order = np.argsort(keys_, kind="stable")
+        self.keys, sizes_ = keys_[order], sizes_[order]
+        self.flat = flat[ranges(begin[order], sizes_)]
+        self.first = np.concatenate([[0], np.cumsum(sizes_)])
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by end_id, and the texts' offsets into them."""
@@ -45,23 +74,38 @@ class WordTokenizer:
         hashes = slice_hashes(data, starts, ends)
         order = np.argsort(hashes)
         ranked = hashes[order]
-        head = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, int)
         place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(head) - 1
-        raw, first = data.tobytes(), order[head]
-        vocabulary = self._ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        flat = np.concatenate([*vocabulary, np.zeros(0, np.uint32)])
-        sizes = np.array([len(v) for v in vocabulary], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        lengths = sizes[place]
+        place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        kinds, sample = ranked[head], order[head]
+        if len(self.keys) + len(kinds) > REMEMBERED:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != kinds) if len(self.keys) else np.arange(len(kinds))
+        if len(new):
+            raw = data.tobytes()
+            self._learn(kinds[new], [raw[a:b].decode() for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, kinds)[place]
+        lengths = self.first[at + 1] - self.first[at] if len(at) else np.zeros(0, np.int64)
         bounds = np.concatenate([[0], np.cumsum(lengths)])[words] + np.arange(len(words))
         out = np.full(int(bounds[-1]), end_id, np.uint32)
         inside = np.ones(len(out), dtype=bool)
         inside[bounds[1:] - 1] = False
-        out[inside] = flat[ranges(begin[place], lengths)]
+        out[inside] = self.flat[ranges(self.first[at] if len(at) else at, lengths)]
         return out, bounds
 
 
+#: A worker's tokenizer lives on from task to task.
+_OWN: dict[str, WordTokenizer] = {}
+
+
+def own_tokenizer(definition: str) -> WordTokenizer:
+    if definition not in _OWN:
+        _OWN.clear()
+        _OWN[definition] = WordTokenizer(definition)
+    return _OWN[definition]
+
+
 class Bins:
     """Bins of equal capacity; a tournament tree over the room left finds the first bin that fits."""
 
@@ -135,7 +179,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int, id
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(definition.value)
+        tokenizer = own_tokenizer(definition.value)
         for batch in by_bytes(batches, 1, 4 << 20):
             ids, bounds = tokenizer.encode(batch.column(1), end_id)
             total = np.diff(bounds)
