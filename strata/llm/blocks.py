@@ -25,7 +25,7 @@ from strata.llm.staging import Stage
 from strata.llm.text import utf8
 
 #: Bytes of text in a block, at least, and at most of those with more than one document, for small inputs and for large ones.
-BLOCK, LARGE_BLOCK = 4 << 20, 64 << 20
+BLOCK, LARGE_BLOCK = 2 << 20, 64 << 20
 _MESSAGE = "bucket int, block_id long, payload binary"
 _ANSWER = "block_id long, bucket int, payload binary, totals array<long>"
 

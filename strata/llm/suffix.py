@@ -14,12 +14,12 @@ _PLACE = np.array([COVER.index(r) if r in COVER else -1 for r in range(PERIOD)])
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks from 1 by value, and the number of values."""
-    order = np.argsort(keys)
+    order = np.argsort(keys).astype(np.uint32)
     ranked = keys[order]
-    step = np.ones(len(keys), np.uint64)
+    step = np.ones(len(keys), bool)
     step[1:] = ranked[1:] != ranked[:-1]
-    out = np.empty(len(keys), np.uint64)
-    out[order] = np.cumsum(step, dtype=np.uint64)
+    out = np.empty(len(keys), np.uint32)
+    out[order] = np.cumsum(step, dtype=np.uint32)
     return out, int(step.sum())
 
 
@@ -40,16 +40,16 @@ class CoverRanks:
         rank, kinds = _dense(self.word[at].astype(np.uint64) >> np.uint64(8))
         have, hop = PERIOD, len(COVER)
         while have < depth and kinds < len(at):
-            after = np.zeros(len(rank), np.uint64)
-            after[:-hop or None] = rank[hop:] if hop < len(rank) else rank[:0]
-            rank, kinds = _dense(rank << np.uint64(32) | after)
+            both = rank.astype(np.uint64) << np.uint64(32)
+            both[: max(0, len(rank) - hop)] |= rank[hop:]
+            rank, kinds = _dense(both)
             have, hop = 2 * have, 2 * hop
         self.rank = rank
 
     def of(self, positions: np.ndarray) -> np.ndarray:
         """Ranks at sample positions; past the end they are 0."""
         at = positions // PERIOD * len(COVER) + _PLACE[positions % PERIOD]
-        return np.where(at < len(self.rank), self.rank[np.minimum(at, len(self.rank) - 1)], np.uint64(0))
+        return np.where(at < len(self.rank), self.rank[np.minimum(at, len(self.rank) - 1)], 0).astype(np.uint64)
 
     def order(self, positions: np.ndarray) -> np.ndarray:
         """The positions by their suffixes: by 8 bytes first, then long ties by the ranks of sample positions."""

@@ -15,6 +15,8 @@ from strata.llm.text import covered, leftmost_min, mix, pair, ranges, slice_hash
 
 #: Bytes of the grams that name a suffix bucket.
 GRAM = 32
+#: Positions that are hashed at a time.
+STEP = 1 << 16
 
 
 def first_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -38,6 +40,15 @@ def first_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np
     return out
 
 
+def _gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of grams from their 8-byte words."""
+    out = words[0] * np.uint64(0x9E3779B97F4A7C15)
+    for word, factor in zip(words[1:], (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93), strict=True):
+        out ^= out >> np.uint64(29)
+        out += word * np.uint64(factor)
+    return mix(out)
+
+
 class _Suffixes:
     """The suffixes of a block's documents with a full window, by suffix bucket.
 
@@ -48,24 +59,23 @@ class _Suffixes:
 
     def __init__(self, block: Block, width: int, count: int):
         self.block, self.width, self.count = block, width, count
-        data = block.data
         self.docs = block.ids
         at = np.flatnonzero(window_ok(block.offsets, width))
         if not len(at):
             self.first = self.sizes = self.owner = at
             self.keys = np.zeros(0, np.uint64)
             return
-        words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-        n = len(data) - GRAM + 1
-        grams = words[:n] * np.uint64(0x9E3779B97F4A7C15)
-        for k, factor in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
-            grams ^= grams >> np.uint64(29)
-            grams += words[k : k + n] * np.uint64(factor)
-        grams = mix(grams)
-        anchor = leftmost_min(grams, width - GRAM + 1)[at]
+        words = np.ndarray((len(block.data) - 7,), dtype="<u8", buffer=block.data, strides=(1,))
+        anchor = np.empty(len(block.data) - width + 1, np.uint32)
+        for a in range(0, len(anchor), STEP):  # in steps that stay in the processor's cache
+            b = min(a + STEP, len(anchor))
+            grams = _gram_keys([words[a + k : b + k + width - GRAM] for k in range(0, GRAM, 8)])
+            anchor[a:b] = leftmost_min(grams, width - GRAM + 1) + a
+        anchor = anchor[at]
         head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
         self.first, self.sizes = at[head], np.diff(np.append(head, len(at)))
-        self.keys = grams[anchor[head]]
+        place = anchor[head].astype(np.int64)
+        self.keys = _gram_keys([words[place + k] for k in range(0, GRAM, 8)])
         self.owner = np.searchsorted(block.offsets, self.first, side="right") - 1
 
     def in_use(self) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +157,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order in which they are read. An empty table gives no rows; other columns are ignored.
     """
     blocks = Blocks(docs, id_col, text_col, "suffix_dedup")
-    count = blocks.ranges(8 << 20)
+    count = blocks.ranges(4 << 20)
 
     def grams(block: Block) -> Iterator[tuple[int, bytes]]:
         known = distinct(_Suffixes(block, width, count).keys)
