@@ -128,4 +128,25 @@ ORACLE = {
                (block * p) // weight AS mix_release, ((block + 1) * p + weight - 1) // weight AS mix_due,
                n // 8 < 16 OR e IS NULL OR (block // weight) * p + slot < e AS in_mix
         FROM placed, ends""",
+    "op3_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        f AS (SELECT g, count(*) AS k FROM s GROUP BY 1 HAVING count(*) > 1),
+        r AS (SELECT s.doc_id, s.g FROM s JOIN f USING (g)),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        p(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT p.doc_id, l.b FROM p JOIN l ON l.a = p.reached)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(p.reached) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN p ON p.doc_id = d.doc_id GROUP BY 1""",
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+        f AS (SELECT t, min(doc_id) AS first_doc FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+        x AS (SELECT DISTINCT s.doc_id, s.i + unnest(range(0, 50)) AS i FROM s JOIN f USING (t) WHERE f.first_doc < s.doc_id),
+        k AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+        o AS (SELECT k.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY k.i) AS t FROM k ANTI JOIN x ON k.doc_id = x.doc_id AND k.i = x.i GROUP BY 1)
+        SELECT w.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(kept, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)""",
 }
