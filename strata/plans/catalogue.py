@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
-from strata.operators import diff, fold, grid, joins, resolve, sequence
+from strata.operators import diff, fold, grid, joins, layout, resolve, sequence
 from strata.plans.quality import coverage
 from strata.sources import markup, svg
 from strata.streaming.incremental import recompute
@@ -910,3 +910,137 @@ def _(spark, sf):
 def _(spark, sf):
     df = t(spark, sf, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return df.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# --- sequential rules
+
+
+_LEVEL = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 1 ELSE 2 END"
+
+
+@query(
+    "list_labels",
+    f"""
+    WITH i AS (SELECT user_id, list({_LEVEL} ORDER BY event_id) AS x, list(event_id ORDER BY event_id) AS e FROM events GROUP BY 1),
+    f AS (SELECT user_id, e, unnest(range(1, len(x) + 1)) AS k, x FROM i),
+    r AS (SELECT user_id, e[k] AS event_id, x[k] AS level, list_reduce(list_prepend({{a: 0, b: 0, c: 0}}, list_transform(x[1:k], lambda v: {{a: v, b: 0, c: 0}})), lambda h, v:
+        CASE v.a WHEN 0 THEN {{a: h.a + 1, b: 0, c: 0}} WHEN 1 THEN {{a: greatest(h.a, 1), b: h.b + 1, c: 0}} ELSE {{a: greatest(h.a, 1), b: greatest(h.b, 1), c: h.c + 1}} END) AS h FROM f)
+    SELECT user_id, event_id, level, h.a || CASE WHEN level > 0 THEN '.' || h.b ELSE '' END || CASE WHEN level > 1 THEN '.' || h.c ELSE '' END AS label FROM r""",
+)
+def _(spark, sf):
+    df = t(spark, sf, "events").select("user_id", "event_id", F.expr(_LEVEL).alias("level"))
+    return layout.list_labels(df, ["user_id"], ["event_id"], "level", levels=3)
+
+
+@query(
+    "section_page_numbers",
+    """
+    WITH s AS (SELECT o_custkey, o_orderkey, o_custkey % 4 + 1 AS pages, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 9 + 1 END AS stated, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS parity FROM orders),
+    i AS (SELECT o_custkey, list({k: o_orderkey, p: pages, s: stated, q: parity, f: 0::BIGINT} ORDER BY o_orderkey) AS x FROM s GROUP BY 1),
+    u AS (SELECT o_custkey, x, unnest(range(1, len(x) + 1)) AS n FROM i),
+    r AS (SELECT o_custkey, x[n].k AS o_orderkey, list_reduce(list_prepend({k: 0::BIGINT, p: 1::BIGINT, s: NULL::BIGINT, q: -1::INT, f: 0::BIGINT}, list_transform(x[1:n], lambda v: {k: v.k, p: v.p::BIGINT, s: v.s::BIGINT, q: v.q::INT, f: 0::BIGINT})), lambda a, v:
+        {k: v.k, p: v.p, s: NULL::BIGINT, q: CASE WHEN v.q >= 0 AND coalesce(v.s, a.f + a.p) % 2 <> v.q THEN 1 ELSE 0 END,
+         f: coalesce(v.s, a.f + a.p) + CASE WHEN v.q >= 0 AND coalesce(v.s, a.f + a.p) % 2 <> v.q THEN 1 ELSE 0 END}) AS h FROM u)
+    SELECT o_custkey, o_orderkey, h.f AS first_number, h.q = 1 AS blank FROM r""",
+)
+def _(spark, sf):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    parity = F.when(o % 3 == 0, "odd").when(o % 3 == 1, "even")
+    df = t(spark, sf, "orders").select("o_custkey", "o_orderkey", (c % 4 + 1).alias("pages"), F.when(o % 5 == 0, o % 9 + 1).alias("stated"), parity.alias("parity"))
+    return layout.page_numbers(df, ["o_custkey"], "o_orderkey", "pages", "stated", "parity")
+
+
+@query(
+    "word_positions",
+    f"""
+    WITH w AS (SELECT *, l_partkey % 60 AS w, CASE l_orderkey % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'center' WHEN 2 THEN 'right' ELSE 'justify' END AS al FROM lineitem),
+    n AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER k AS n, greatest(600 - sum(w) OVER k - 10 * (count(*) OVER k - 1), 0) AS slack, sum(w) OVER o - w AS before FROM w WINDOW k AS (PARTITION BY l_orderkey), o AS (PARTITION BY l_orderkey ORDER BY {_ITEM} ROWS UNBOUNDED PRECEDING))
+    SELECT l_orderkey, {_ITEM}, (before + 10 * i + CASE al WHEN 'center' THEN slack // 2 WHEN 'right' THEN slack WHEN 'justify' THEN CASE WHEN n > 1 THEN (slack * i) // (n - 1) ELSE 0 END ELSE 0 END)::BIGINT AS x FROM n""",
+)
+def _(spark, sf):
+    df = t(spark, sf, "lineitem").select("l_orderkey", *ITEM, (F.col("l_partkey") % 60).alias("w"))
+    k = F.col("l_orderkey") % 4
+    align = F.when(k == 0, "left").when(k == 1, "center").when(k == 2, "right").otherwise("justify")
+    out = layout.word_positions(df, ["l_orderkey"], ITEM, "w", 10, 600, align)
+    return out.select("l_orderkey", *ITEM, F.col("x").cast("long").alias("x"))
+
+
+@query(
+    "kerned_width",
+    """
+    WITH c AS (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part),
+    p AS (SELECT p_partkey, p_name[i] AS r, CASE WHEN i > 1 THEN p_name[i - 1] END AS l FROM c)
+    SELECT p_partkey, sum(CASE WHEN r BETWEEN 'a' AND 'z' THEN 400 + 10 * (ascii(r) - 97) ELSE 500 END + CASE WHEN l || r IN ('re', 'to', 'lo') THEN -30 ELSE 0 END)::BIGINT AS width FROM p GROUP BY 1""",
+)
+def _(spark, sf):
+    advances = spark.range(26).select(F.char(F.col("id") + 97).alias("ch"), (400 + 10 * F.col("id")).alias("adv"))
+    kerns = spark.createDataFrame([("r", "e", -30), ("t", "o", -30), ("l", "o", -30)], "l string, r string, adj int")
+    return layout.kerned_width(t(spark, sf, "part"), "p_partkey", "p_name", F.broadcast(advances), F.broadcast(kerns))
+
+
+@query(
+    "scaled_widths",
+    """
+    WITH b AS (SELECT p_brand, p_partkey, greatest(p_size - 4, 0) AS body FROM part),
+    s AS (SELECT *, sum(body) OVER (PARTITION BY p_brand) AS a, sum(body) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS u, greatest(3000 - 4 * count(*) OVER (PARTITION BY p_brand), 0) AS pool FROM b)
+    SELECT p_partkey, (4 + CASE WHEN a > 0 THEN (pool * u) // a - (pool * (u - body)) // a ELSE 0 END)::BIGINT AS scaled FROM s""",
+)
+def _(spark, sf):
+    df = layout.scaled_widths(t(spark, sf, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], ["p_partkey"], "p_size", 4, 3000)
+    return df.select("p_partkey", F.col("scaled").cast("long").alias("scaled"))
+
+
+@query(
+    "table_rows_on_pages",
+    """
+    WITH i AS (SELECT conv_id, list({o: turn, h: length(coalesce(text, '')) % 40 + 5, f: turn = 0, g: 1::BIGINT, u: 0::BIGINT} ORDER BY turn) AS x FROM conversations GROUP BY 1),
+    n AS (SELECT conv_id, x, CASE WHEN x[1].f THEN x[1].h ELSE 0 END AS heads, unnest(range(1, len(x) + 1)) AS n FROM i),
+    r AS (SELECT conv_id, x[n].o AS turn, list_reduce(list_prepend({h: 0::BIGINT, g: 1::BIGINT, u: -1::BIGINT}, list_transform(x[1:n], lambda v: {h: v.h::BIGINT, g: 0::BIGINT, u: 0::BIGINT})), lambda a, v:
+        CASE WHEN a.u >= 0 AND a.u + v.h > 100 THEN {h: v.h, g: a.g + 1, u: heads::BIGINT + v.h} ELSE {h: v.h, g: a.g, u: greatest(a.u, 0) + v.h} END) AS s FROM n)
+    SELECT conv_id, turn, s.g AS page FROM r""",
+)
+def _(spark, sf):
+    df = t(spark, sf, "conversations").select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 40 + 5).alias("h"), (F.col("turn") == 0).alias("head"))
+    return layout.packed_rows(df, "conv_id", "turn", "h", "head", 100)
+
+
+@query(
+    "anchored_positions",
+    """
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 1000 - p_size WHEN 2 THEN 100 + (900 - p_size) // 2 ELSE 100 + p_partkey % 77 END::BIGINT AS x,
+           (50 + floor((p_partkey - 3) * 200 / 70.0))::BIGINT AS grouped, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN greatest(p_size, 25) ELSE floor((25 * p_size + 120) / 240.0) END::BIGINT AS pitch FROM part""",
+)
+def _(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    align = F.when(k % 4 == 0, "left").when(k % 4 == 1, "right").when(k % 4 == 2, "center")
+    rule = F.when(k % 3 == 0, "exact").when(k % 3 == 1, "atLeast").otherwise("auto")
+    x = layout.anchored(align, k % 77, size, F.lit(100), F.lit(1000)).cast("long")
+    grouped = layout.in_group(k, F.lit(50), F.lit(3), F.lit(200), F.lit(70)).cast("long")
+    return t(spark, sf, "part").select("p_partkey", x.alias("x"), grouped.alias("grouped"), layout.line_pitch(rule, size, F.lit(25)).cast("long").alias("pitch"))
+
+
+@query(
+    "changed_results",
+    """
+    SELECT doc_id FROM documents WHERE doc_id % 13 = 0 OR doc_id % 11 = 5""",
+)
+def _(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit('<p id="a'), "doc_id", F.lit('">'), F.coalesce("text", F.lit("")), F.lit("</p>")).alias("svg"))
+    new = d.withColumn("svg", F.when(F.col("doc_id") % 11 == 5, F.concat("svg", F.lit("!"))).otherwise(F.regexp_replace("svg", 'id="a', 'id="b')))
+    return layout.changed_results(d.where("doc_id % 13 <> 0"), new, "doc_id", "svg")
+
+
+@query("hyphen_points")
+def _(spark, sf):
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"), lambda w: w != "")
+    # A few rules of the kind that pattern files hold; any table of patterns can stand here.
+    rules = spark.createDataFrame([("1ti",), ("n1d",), (".an2d",), ("e2r1",), ("3st",), ("t2h",), ("1h4e",)], "pattern string")
+    return layout.hyphen_points(t(spark, sf, "documents").select(F.explode(words).alias("word")), "word", F.broadcast(rules))
+
+
+@query("fill_free_segments")
+def _(spark, sf):
+    c = t(spark, sf, "conversations")
+    words = c.select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 60 + 1).alias("w"))
+    spans = c.select("conv_id", (F.col("turn") * 100).alias("free_from"), (F.col("turn") * 100 + 20 + F.col("turn") % 3 * 30).alias("free_to"))
+    return layout.fill_segments(words, spans, "conv_id", "turn", "w", 5, 30)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
-from strata.operators import diff, fold, grid, joins, resolve, sequence
+from strata.operators import diff, fold, grid, joins, layout, resolve, sequence
 from strata.sources.package import paragraphs, scan_packages
 from strata.streaming.incremental import event_windows, keep_current, recompute
 
@@ -156,3 +156,41 @@ def test_event_windows_over_a_stream(spark, tmp_path):
     query = event_windows(stream, "ts", "kind", "1 hour", "1 hour").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert values(spark.table("hours"), "n") == values(event_windows(events, "ts", "kind", "1 hour", "1 hour"), "n") == [(6,), (6,)]
+
+
+def test_hyphen_points_equal_a_plain_search(spark):
+    rules = ["1ti", "n1d", ".an2d", "e2r1", "3st", "t2h", "1h4e", "4o.", "a1b2c"]
+    words = ["thandition", "and", "heresta", "abcabc", "o", "Andere", "stto"]
+    got = dict(values(layout.hyphen_points(spark.createDataFrame([(w,) for w in words], "word string"), "word", spark.createDataFrame([(r,) for r in rules], "pattern string")), "word", "points"))
+    for word in words:
+        dotted, gaps = f".{word.lower()}.", {}
+        for rule in rules:
+            letters = "".join(c for c in rule if not c.isdigit())
+            digits, k = [0] * (len(letters) + 1), 0
+            for c in rule:
+                if c.isdigit():
+                    digits[k] = int(c)
+                else:
+                    k += 1
+            for at in range(len(dotted) - len(letters) + 1):
+                if dotted[at : at + len(letters)] == letters:
+                    for i, d in enumerate(digits):
+                        gaps[at + i - 1] = max(gaps.get(at + i - 1, 0), d)
+        want = [g for g, d in sorted(gaps.items()) if d % 2 and 2 <= g <= len(word) - 2]
+        assert got[word] == ",".join(map(str, want))
+    stated = spark.createDataFrame([("and", "1")], "word string, points string")
+    assert dict(values(layout.hyphen_points(spark.createDataFrame([("And",)], "word string"), "word", spark.createDataFrame([("n1d",)], "pattern string"), stated), "word", "points")) == {"And": "1"}
+
+
+def test_segments_fill_from_left_to_right(spark):
+    words = spark.createDataFrame([(1, i, w) for i, w in enumerate([10, 10, 30, 5, 90])] + [(2, 0, 1)], "k long, o long, w int")
+    spans = spark.createDataFrame([(1, 0, 25), (1, 30, 35), (1, 50, 90)], "k long, free_from int, free_to int")
+    assert values(layout.fill_segments(words, spans, "k", "o", "w", 5, 10), "k", "o", "segment") == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, None), (2, 0, None)]
+
+
+def test_fixpoint_settles_or_stops(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    start = spark.range(5).selectExpr("id", "id * 10 AS v")
+    table, passes, settled = layout.fixpoint(start, lambda d: d.selectExpr("id", "least(v + 20, 50) AS v"))
+    assert settled and passes == 4 and {r.v for r in table.collect()} == {50}
+    assert layout.fixpoint(start, lambda d: d.selectExpr("id", "v + 1 AS v"))[1:] == (4, False)
