@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from strata.llm.staging import Stage
 from strata.llm.text import utf8
 
-#: Bytes of text in a block, at least, and at most of those with more than one document, for small inputs and for large ones.
-BLOCK, LARGE_BLOCK = 2 << 20, 64 << 20
+#: Bytes of text in a block: a 256th of the input between these bounds (a longer document is a block of its own).
+BLOCK, LARGE_BLOCK = 2 << 20, 8 << 20
 _MESSAGE = "bucket int, block_id long, payload binary"
 _ANSWER = "block_id long, bucket int, payload binary, totals array<long>"
 
@@ -119,14 +119,14 @@ class Blocks:
         rest = [F.col(text_col).isNull() if c == text_col else docs[c] for c in docs.columns] if carry else []
         rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *(c.alias(f"c{k}") for k, c in enumerate(rest)))
         self.bytes = rows.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()[0]
-        size = int(min(max(BLOCK, self.bytes / 2**18), LARGE_BLOCK))
+        size = int(min(max(BLOCK, self.bytes / 256), LARGE_BLOCK))
         buckets = int(min(max(24, self.bytes / (4 * size)), 1 << 16))
         cut = rows.mapInArrow(lambda batches: _cut(batches, size), "block_id long, ids binary, lengths binary, data binary, rest binary")
         self.table = self.stage.table(cut, "blocks", buckets, "block_id")
         self.answers: dict[str, DataFrame] = {}
 
     def ranges(self, bytes_each: float) -> int:
-        """How many hash ranges make messages of about bytes_each bytes of text; 64 at least."""
+        """How many hash ranges there are when one's messages come from about bytes_each bytes of text; 64 at least."""
         return int(max(64, self.bytes / bytes_each))
 
     def _joined(self) -> DataFrame:

@@ -256,7 +256,7 @@ def _spread(often: np.ndarray, rows: np.ndarray, number: int) -> tuple[np.ndarra
 
 def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
     """id, n_shingles, component_id, block_id and row of every document."""
-    counts = {"classes": 64, "frequency": blocks.ranges(8 << 20), "postings": blocks.ranges(8 << 20)}
+    counts = {"classes": blocks.ranges(1 << 30), "frequency": blocks.ranges(16 << 20), "postings": blocks.ranges(16 << 20)}
     stage = blocks.stage
 
     def classes(block: Block) -> Iterator[tuple[int, bytes]]:

@@ -115,7 +115,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gives no rows; other columns are ignored. Hash level keys cover all windows, at any size.
     """
     blocks = Blocks(docs, id_col, text_col, "substring_dedup")
-    counts = [blocks.ranges(16 << 20), blocks.ranges(16 << 20), blocks.ranges(16 << 20)]
+    counts = [blocks.ranges(64 << 20), blocks.ranges(32 << 20), blocks.ranges(16 << 20)]
 
     def keys(block: Block, level: int) -> Iterator[tuple[int, bytes]]:
         words = _Words(block, width, counts)

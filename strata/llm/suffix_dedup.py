@@ -57,8 +57,9 @@ class _Suffixes:
     context: the bytes from the first one's start to the last one's window's end.
     """
 
-    def __init__(self, block: Block, width: int, count: int):
-        self.block, self.width, self.count = block, width, count
+    def __init__(self, block: Block, width: int, counts: tuple[int, int]):
+        self.block, self.width = block, width
+        self.grams, self.count = counts
         self.docs = block.ids
         at = np.flatnonzero(window_ok(block.offsets, width))
         if not len(at):
@@ -82,7 +83,7 @@ class _Suffixes:
         """Indices of contexts whose gram occurs elsewhere, by gram and then place; and of each the first equal one."""
         known, _, _, place = grouped(self.keys, np.arange(len(self.keys)))
         several = np.bincount(place, minlength=len(known)) > 1
-        used = np.flatnonzero((several | shared_keys(known, self.block.answers.get("grams", {}), self.count))[place])
+        used = np.flatnonzero((several | shared_keys(known, self.block.answers.get("grams", {}), self.grams))[place])
         used = used[np.lexsort([self.first[used] - self.block.offsets[self.owner[used]], self.docs[self.owner[used]], self.keys[used]])]
         return used, first_equal(self.block.data, self.first[used], self.first[used] + self.sizes[used] + self.width - 1, self.keys[used])
 
@@ -157,15 +158,15 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order in which they are read. An empty table gives no rows; other columns are ignored.
     """
     blocks = Blocks(docs, id_col, text_col, "suffix_dedup")
-    count = blocks.ranges(4 << 20)
+    counts = (blocks.ranges(64 << 20), blocks.ranges(4 << 20))
 
     def grams(block: Block) -> Iterator[tuple[int, bytes]]:
-        known = distinct(_Suffixes(block, width, count).keys)
-        for bucket, a, b in split_sorted(known, count):
+        known = distinct(_Suffixes(block, width, counts).keys)
+        for bucket, a, b in split_sorted(known, counts[0]):
             yield bucket, pack(*pack_keys(known[a:b]))
 
     def result(block: Block) -> Iterator[pa.RecordBatch]:
-        gone = _Suffixes(block, width, count).removed()
+        gone = _Suffixes(block, width, counts).removed()
         first, last = runs(gone)
         inner = block.offsets[1:-1]
         inner = inner[(inner > 0) & (inner < len(gone))]
@@ -181,6 +182,6 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([c.slice(at, 1000) for c in columns], names=["id", "n_bytes", "n_removed", "removed_from", "removed_to", "kept"])
 
     blocks.ask("grams", grams, seen_twice)
-    blocks.ask("suffixes", lambda block: _Suffixes(block, width, count).contexts(), lambda payloads: sort_suffixes(payloads, width))
+    blocks.ask("suffixes", lambda block: _Suffixes(block, width, counts).contexts(), lambda payloads: sort_suffixes(payloads, width))
     out = blocks.map(result, "id long, n_bytes long, n_removed long, removed_from array<long>, removed_to array<long>, kept binary")
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
