@@ -202,10 +202,12 @@ class Blocks:
         self.stage.drop(*kept_before)
         return out.toDF(*names)
 
-    def close(self, *names: str) -> None:
-        """Remove the blocks and the answers of these names, or all."""
-        self.stage.drop(*(names or self.answers))
+    def finish(self, result: DataFrame, *names: str) -> DataFrame:
+        """A small result, staged; the blocks, all answers and the tables of these names are removed."""
+        out = self.stage.put(result, "result")
+        self.stage.drop(*self.answers, *names)
         self.stage.drop()
+        return out
 
 
 def split_sorted(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:

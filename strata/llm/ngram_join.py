@@ -386,7 +386,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = Blocks(docs, id_col, text_col, "ngram_join")
     out = _link_documents(blocks, n, percent).select("id", "n_shingles", "component_id")
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return out.select(null("id"), "n_shingles", null("component_id")).withColumnRenamed("id", id_col)
+    return blocks.finish(out.select(null("id"), "n_shingles", null("component_id")).withColumnRenamed("id", id_col), "near", "links")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
