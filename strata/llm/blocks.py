@@ -120,7 +120,9 @@ class Blocks:
         rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *(c.alias(f"c{k}") for k, c in enumerate(rest)))
         self.bytes = rows.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()[0]
         size = int(min(max(BLOCK, self.bytes / 256), LARGE_BLOCK))
-        buckets = int(min(max(24, self.bytes / (4 * size)), 1 << 16))
+        # With fewer buckets than shuffle partitions Spark would move the blocks to the answers, not the answers to them.
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = int(max(24, min(self.bytes / (4 * size), 1 << 16), partitions))
         cut = rows.mapInArrow(lambda batches: _cut(batches, size), "block_id long, ids binary, lengths binary, data binary, rest binary")
         self.table = self.stage.table(cut, "blocks", buckets, "block_id")
         self.answers: dict[str, DataFrame] = {}
