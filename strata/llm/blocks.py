@@ -146,6 +146,7 @@ class Blocks:
                 for i in range(batch.num_rows):
                     for block in _open(batch.slice(i, 1)):
                         yield from each(block)
+                        pa.default_memory_pool().release_unused()
 
         return self._joined().mapInArrow(run, schema)
 
@@ -167,6 +168,7 @@ class Blocks:
         def decided(group: pa.Table) -> pa.Table:
             group = group.sort_by("block_id")
             answers = decide(group["payload"].to_pylist())
+            pa.default_memory_pool().release_unused()
             keep = [i for i, a in enumerate(answers) if a is not None]
             rows = group.take(pa.array(keep, pa.int64()))
             once = [None] * len(keep)

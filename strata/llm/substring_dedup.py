@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack
 from strata.llm.stats import ids_of
-from strata.llm.text import covered, leftmost_min, ranges, slice_hashes, window_hashes, window_ok, word_spans
+from strata.llm.text import covered, leftmost_min, mix, ranges, slice_hashes, window_hashes, window_ok, word_spans
 
 
 class _Words:
@@ -36,7 +36,8 @@ class _Words:
         if not len(at):
             return at, np.zeros(0, np.uint64)
         grams = window_hashes(self.hashes, quarter)
-        return at, grams[leftmost_min(grams, self.width - quarter + 1)[at]]
+        # Least hashes crowd at the low end; mixed once more they fill all ranges alike.
+        return at, mix(grams[leftmost_min(grams, self.width - quarter + 1)[at]])
 
     def second_level(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of windows left after level 1, and the keys of their halves."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack
 from strata.llm.suffix import repeated_later
-from strata.llm.text import covered, leftmost_min, mix, pair, ranges, slice_hashes, window_ok
+from strata.llm.text import covered, gather, leftmost_min, mix, pair, ranges, slice_hashes, window_ok
 
 #: Bytes of the grams that name a suffix bucket.
 GRAM = 32
@@ -27,8 +27,8 @@ def first_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(order) else np.zeros(0, bool)
     out = np.empty(len(order), np.int64)
     out[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else 0
-    for at in range(0, len(out), 1 << 16):
-        own = np.arange(at, min(len(out), at + (1 << 16)))
+    for at in range(0, len(out), 1 << 12):
+        own = np.arange(at, min(len(out), at + (1 << 12)))
         own = own[out[own] != own]
         sizes = ends[own] - starts[own]
         fits = (ends[out[own]] - starts[out[own]] == sizes) & (keys[own] == keys[out[own]])
@@ -76,7 +76,8 @@ class _Suffixes:
         head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
         self.first, self.sizes = at[head], np.diff(np.append(head, len(at)))
         place = anchor[head].astype(np.int64)
-        self.keys = _gram_keys([words[place + k] for k in range(0, GRAM, 8)])
+        # Least hashes crowd at the low end; mixed once more they fill all ranges alike.
+        self.keys = mix(_gram_keys([words[place + k] for k in range(0, GRAM, 8)]))
         self.owner = np.searchsorted(block.offsets, self.first, side="right") - 1
 
     def in_use(self) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +96,7 @@ class _Suffixes:
         lengths = self.sizes[used] + self.width - 1
         inside = begin - self.block.offsets[self.owner[used]]
         for bucket, a, b in split_sorted(self.keys[used], self.count):
-            data = self.block.data[ranges(begin[a:b], lengths[a:b])]
+            data = gather(self.block.data, begin[a:b], lengths[a:b])
             yield bucket, pack(self.keys[used[a:b]], self.docs[self.owner[used[a:b]]], inside[a:b], self.sizes[used[a:b]].astype(np.int32), data)
 
     def removed(self) -> np.ndarray:
@@ -126,7 +127,8 @@ def sort_suffixes(payloads: list[bytes], width: int) -> list[bytes | None]:
     equal = first_equal(data, starts[order], ends[order], keys[order])
     fresh = order[equal == np.arange(len(order))]
     lengths = sizes[fresh] + width - 1
-    text = data[ranges(starts[fresh], lengths)]
+    text = gather(data, starts[fresh], lengths)
+    del data
     places = np.cumsum(lengths) - lengths
     bits = np.ones(int(sizes.sum()), dtype=bool)
     first_bit = np.cumsum(sizes) - sizes

@@ -152,3 +152,16 @@ def by_bytes(batches, column: int, most: int = 8 << 20):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """The slices of data end to end; indices are made for about ``step`` items at a time."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    at = 0
+    while at < len(sizes):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + step, side="right")))
+        out[done : int(ends[to - 1])] = data[ranges(starts[at:to], sizes[at:to])]
+        at = to
+    return out
