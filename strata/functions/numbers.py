@@ -71,10 +71,6 @@ def caps(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, " ", -1), first_cap), " ")
 
 
-def ratio_floor(a: Column, b: int) -> Column:
-    return floor_div(a, b)
-
-
 def half_up(a: Column, b: int) -> Column:
     """a / b to the nearest integer, ties upwards."""
     return floor_div(2 * a + b, 2 * b)

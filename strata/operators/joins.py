@@ -37,11 +37,11 @@ def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], a: tuple[st
     Both sides are dealt to the bands of ``band`` units they reach; a pair is taken
     in the first band that both share, so it comes once and equal keys need no full product.
     """
-    def banded(df: DataFrame, low: str, high: str, out: str) -> DataFrame:
-        return df.withColumn(out, F.explode(F.sequence(F.floor(F.col(low) / band), F.floor((F.col(high) - 1) / band)))) if low else df
+    def banded(df: DataFrame, low: str, high: str) -> DataFrame:
+        reach = F.sequence(F.floor(F.col(low) / band), F.floor((F.col(high) - 1) / band))
+        return df.where(F.col(low) < F.col(high)).withColumn("__band", F.explode(reach))
 
-    x = banded(left.where(F.col(a[0]) < F.col(a[1])), *a, "__band")
-    y = banded(right.where(F.col(b[0]) < F.col(b[1])), *b, "__band")
+    x, y = banded(left, *a), banded(right, *b)
     pairs = x.join(y, [*keys, "__band"])
     meet = (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1]))
     first = F.col("__band") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / band)
@@ -64,6 +64,6 @@ def number_of(positions: DataFrame, lines: DataFrame, keys: Sequence[str], at: s
     return found.select("__row.*", "line")
 
 
-def pick_story(df: DataFrame, titled: Column, first: Column, even: Column, odd_even: Column) -> Column:
+def pick_story(titled: Column, first: Column, even: Column, odd_even: Column) -> Column:
     """first on the first page of a titled section, even on even numbers where these differ, else default."""
     return F.when(titled & first, "first").when(odd_even & even, "even").otherwise("default")

@@ -493,8 +493,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     c, o = F.col("o_custkey"), F.col("o_orderkey")
-    df = t(spark, sf, "orders")
-    return df.select("o_orderkey", joins.pick_story(df, c % 3 == 0, o % 7 == 0, o % 2 == 0, c % 2 == 0).alias("kind"))
+    return t(spark, sf, "orders").select("o_orderkey", joins.pick_story(c % 3 == 0, o % 7 == 0, o % 2 == 0, c % 2 == 0).alias("kind"))
 
 
 @query(
