@@ -111,13 +111,14 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, defau
     )
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, default_weight: int = 1, block_rows: int = 8, min_blocks: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, default_weight: int = 1, block_rows: int = 8, min_blocks: int = 16, id_col: str = "doc_id", source_col: str = "source", whole: bool = False) -> DataFrame:
     """The rows of docs that are in the mixture, with all their columns, in files and rows of ascending slot.
 
+    ``whole``: all rows, in the mixture or not (``min_blocks`` then has no effect); the slots of sources that have run out pass empty.
     The schedule is made from ids and sources alone; texts move once to their rows' slots.
     """
     plan = mix_sources(docs.select(id_col, source_col), weights, default_weight, block_rows, min_blocks, id_col, source_col)
-    plan = plan.where("in_mix").select(F.col(id_col).alias("__id"), F.col(source_col).alias("__from"), F.col("mix_slot").alias("__slot"), F.col("mix_offset").alias("__offset"))
+    plan = plan.where(F.lit(whole) | F.col("in_mix")).select(F.col(id_col).alias("__id"), F.col(source_col).alias("__from"), F.col("mix_slot").alias("__slot"), F.col("mix_offset").alias("__offset"))
     plan = plan.dropDuplicates(["__id", "__from"])
     rows = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]) & docs[source_col].eqNullSafe(plan["__from"]))
     return rows.repartitionByRange("__slot", "__offset").sortWithinPartitions("__slot", "__offset").select(*(docs[c] for c in docs.columns))

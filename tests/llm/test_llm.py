@@ -279,6 +279,16 @@ def test_op9_deviation_is_under_one_block(spark):
     assert sorted(r.doc_id for r in mixed(docs, {"s0": 2}, block_rows=4).collect()) == sorted(r.doc_id for r in inside)
 
 
+def test_pipeline_mixing_keeps_every_row(spark):
+    """Both sources last (min_blocks), so the mixture ends long before the smaller weight's rows do."""
+    rows = [(i, None if i % 31 == 0 else f"src{i % 2}", "keep") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    inside = mixed(docs, queries.MIX_WEIGHTS).count()
+    slots = {r.doc_id: (r.mix_slot, r.mix_offset) for r in mix_sources(docs, queries.MIX_WEIGHTS).collect()}
+    found = [r.doc_id for r in corpus_pipeline.mixing(spark, docs, "").collect()]
+    assert inside < 2000 and found == sorted(range(2000), key=slots.get)
+
+
 def test_op10_rules_and_templates(spark):
     urls = [None, "", "no scheme", "http://WWW.Example.com/en/x", "http://example.com/en/x?q#f", "http://a.b.net/es/1", "http://notnet/es/1", "https://x.net/esx/1", "http://c.com", "a://b://c/d", "http://h.org/\n/é?x"]
     pages = spark.createDataFrame([(i, u, "w", "h") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
