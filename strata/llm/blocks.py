@@ -159,15 +159,16 @@ class Blocks:
 
         return self.map(sent, _MESSAGE)
 
-    def ask(self, name: str, send: Callable[[Block], Iterator[tuple[int, bytes]]], decide: Callable[[list[bytes]], list[bytes | None]], totals: Callable[[list[bytes]], list[int]] | None = None) -> DataFrame:
+    def ask(self, name: str, send: Callable[[Block], Iterator[tuple[int, bytes]]], decide: Callable[..., list[bytes | None]], totals: Callable[[list[bytes]], list[int]] | None = None, beside: DataFrame | None = None) -> DataFrame:
         """Send (range, payload) messages from each block; decide on all of one range and answer each, or not.
 
         ``totals`` of a range's messages, if asked for, stand in the first of its answers.
+        ``beside`` has a row (bucket, bits) for each range; its bits are then given to decide too.
         """
 
-        def decided(group: pa.Table) -> pa.Table:
+        def decided(group: pa.Table, *held: bytes) -> pa.Table:
             group = group.sort_by("block_id")
-            answers = decide(group["payload"].to_pylist())
+            answers = decide(group["payload"].to_pylist(), *held)
             pa.default_memory_pool().release_unused()
             keep = [i for i, a in enumerate(answers) if a is not None]
             rows = group.take(pa.array(keep, pa.int64()))
@@ -176,7 +177,11 @@ class Blocks:
                 once[0] = totals(group["payload"].to_pylist())
             return pa.table({"block_id": rows["block_id"], "bucket": rows["bucket"], "payload": pa.array([answers[i] for i in keep], pa.binary()), "totals": pa.array(once, pa.list_(pa.int64()))})
 
-        found = self.messages(send).groupBy("bucket").applyInArrow(decided, _ANSWER)
+        found = self.messages(send).groupBy("bucket")
+        if beside is None:
+            found = found.applyInArrow(decided, _ANSWER)
+        else:
+            found = found.cogroup(beside.groupBy("bucket")).applyInArrow(lambda group, own: decided(group, b"".join(own["bits"].to_pylist())), _ANSWER)
         self.answers[name] = self.stage.put(found, name)
         return self.answers[name]
 

@@ -63,6 +63,12 @@ def _totals(payloads: list[bytes]) -> list[bytes | None]:
     return [pack(_narrow(counts[np.searchsorted(known, k)])) for k in own]
 
 
+def _probed(payloads: list[bytes], bits: bytes, probes: int) -> list[bytes | None]:
+    """For each message of one range's keys, their levels in that range's segment."""
+    found = CountFilter(np.frombuffer(bits or b"\0", np.uint8), np.zeros(1, np.int64), np.array([8 * len(bits)]), probes)
+    return [pack(found.levels(unpack(p)[0]).astype(np.uint8)) for p in payloads]
+
+
 def _answered(keys: np.ndarray, answers: dict[int, bytes], count: int) -> np.ndarray:
     """The counts that the answers give for sorted distinct keys."""
     out = np.zeros(len(keys), np.int64)
@@ -92,8 +98,8 @@ def score_texts(
     for their distinct words). score interpolates, for each token, the share of
     its pair with the token before it (``weight``) with that unigram probability; pair counts come from a log-frequency Bloom
     filter that holds all pairs seen ``least`` times or more, by doubling levels, at ``bits_each`` bits a level. The filter is built in
-    hash ranges and broadcast if it has at most ``most_filter_bytes``; a larger one isn't
-    built, and blocks ask for the same quantised counts as they do for words.
+    hash ranges and broadcast if it has at most ``most_filter_bytes``; to a larger one blocks send
+    their pairs by range, and each range's segment is probed there, with the same levels.
 
     A null or empty text is one end. A null id has crc32 of ''. Repeated rows
     are counted and scored one by one; an empty table gives no rows; other columns are ignored.
@@ -102,17 +108,22 @@ def score_texts(
     spark = docs.sparkSession
     count = blocks.ranges(12 << 20)
 
-    def send(block: Block, pairs: bool) -> Iterator[tuple[int, bytes]]:
+    def send(block: Block) -> Iterator[tuple[int, bytes]]:
         tokens = _Tokens(block, parts, held_part)
-        known, seen = _counted(tokens.pairs() if pairs else tokens.keys, tokens.train)
+        known, seen = _counted(tokens.keys, tokens.train)
         for bucket, a, b in split_sorted(known, count):
             yield bucket, pack(known[a:b], _narrow(seen[a:b]))
 
+    def pairs(block: Block) -> Iterator[tuple[int, bytes]]:
+        known = distinct(_Tokens(block, parts, held_part).pairs())
+        for bucket, a, b in split_sorted(known, count):
+            yield bucket, pack(known[a:b])
+
     def sums(payloads: list[bytes]) -> list[int]:
         _, counts, _ = _summed(payloads)
         return [int(counts.sum()), int((counts > 0).sum())]
 
-    words = blocks.ask("words", lambda block: send(block, False), _totals, sums)
+    words = blocks.ask("words", send, _totals, sums)
     total, kinds = words.where("totals IS NOT NULL").agg(F.sum(F.get("totals", F.lit(0))), F.sum(F.get("totals", F.lit(1)))).first()
     total, kinds = int(total or 0), int(kinds or 0)
 
@@ -137,7 +148,7 @@ def score_texts(
         data = np.frombuffer(b"".join(found.get(b, b"") for b in range(count)) or b"\0", np.uint8)
         shared = spark.sparkContext.broadcast(CountFilter(data, np.cumsum(lengths) - lengths, lengths * 8, probes))
     else:
-        blocks.ask("pairs", lambda block: send(block, True), lambda payloads: [pack(level_of(unpack(p)[0].astype(np.int64), least)) for p in _totals(payloads)])
+        blocks.ask("pairs", pairs, lambda payloads, bits: _probed(payloads, bits, probes), beside=built)
 
     def score(block: Block) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(block, parts, held_part)

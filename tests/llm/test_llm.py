@@ -232,6 +232,13 @@ def test_op7_base_and_model(spark, sf_dir, awkward, empty, small_parts, filter_b
     assert score_texts(empty).count() == 0
 
 
+def test_op7_scores_do_not_depend_on_the_bound(spark, sf_dir, small_parts):
+    """Two bits a level: so many false positives that exact counts would give other scores."""
+    docs = queries.table(spark, sf_dir, "documents")
+    shared, ranged = (by_id(score_texts(docs, bits_each=2, most_filter_bytes=most), "score") for most in (64 << 20, 0))
+    assert shared == ranged
+
+
 def test_op7_pairs_help_on_held_out_text(spark):
     found = queries.op7_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(base_score) AS b", "sum(score) AS s").first()
     assert found.s > found.b
