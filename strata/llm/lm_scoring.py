@@ -85,7 +85,7 @@ def score_texts(
     parts: int = 10,
     held_part: int = 0,
     weight: float = 0.4,
-    least: int = 2,
+    least: int = 1,
     bits_each: int = 12,
     probes: int = 6,
     most_filter_bytes: int = 64 << 20,

@@ -239,6 +239,14 @@ def test_op7_scores_do_not_depend_on_the_bound(spark, sf_dir, small_parts):
     assert shared == ranged
 
 
+def test_op7_pairs_seen_once_count(spark):
+    """Ids 6 and 29 are held out; they have the same words, but only the first has pairs that training saw, each once."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (6, "a b c d"), (29, "d c b a")], "doc_id long, text string")
+    got = by_id(score_texts(docs), "held_out", "base_score", "score")
+    (_, base, known), (_, same, unknown) = got[6], got[29]
+    assert got[6][0] and got[29][0] and abs(base - same) < 1e-9 and known > base > unknown
+
+
 def test_op7_pairs_help_on_held_out_text(spark):
     found = queries.op7_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(base_score) AS b", "sum(score) AS s").first()
     assert found.s > found.b
