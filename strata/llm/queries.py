@@ -118,7 +118,7 @@ ORACLE = {
                   FROM slots, total) WHERE t + 1 < p),
         plan AS (SELECT t AS slot, picked AS source, row_number() OVER (PARTITION BY picked ORDER BY t) - 1 AS turn FROM slots WHERE t >= 0),
         ends AS (SELECT min((n // 8 // weight) * p + slot) AS e FROM sizes, total, plan
-                 WHERE plan.source = sizes.source AND n // 8 >= 16 AND turn = (n // 8) % weight),
+                 WHERE plan.source = sizes.source AND turn = (n // 8) % weight),
         numbered AS (SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id NULLS FIRST) - 1 AS i FROM documents),
         placed AS (
             SELECT doc_id, numbered.source, i, i // 8 AS block, weight, p, n, plan.slot
@@ -126,7 +126,7 @@ ORACLE = {
             JOIN plan ON plan.source = s AND turn = (i // 8) % weight)
         SELECT doc_id, source, (block // weight) * p + slot AS mix_slot, i % 8 AS mix_offset,
                (block * p) // weight AS mix_release, ((block + 1) * p + weight - 1) // weight AS mix_due,
-               n // 8 < 16 OR e IS NULL OR (block // weight) * p + slot < e AS in_mix
+               (block // weight) * p + slot < e AS in_mix
         FROM placed, ends""",
     "op3_ngram_join": r"""
         WITH RECURSIVE w AS (

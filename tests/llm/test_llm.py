@@ -13,7 +13,6 @@ from strata.llm.count_filter import CountFilter, build_segment
 from strata.llm.exact_dedup import drop_exact_copies, exact_groups
 from strata.llm.lm_scoring import score_texts
 from strata.llm.mil import fit_attention
-from strata.llm.mixing import mix_sources, mixed, schedule
 from strata.llm.ngram_join import drop_similar, join_similar, verify_links
 from strata.llm.packing import WordTokenizer, first_fit_decreasing, lay_out, pack_documents
 from strata.llm.quality_classifier import classify_quality, drop_low_quality
@@ -274,36 +273,6 @@ def test_op8_groups(spark, awkward, empty):
     assert exact_groups(empty).count() == 0
 
 
-def test_op9_deviation_is_under_one_block(spark):
-    weights = {"a": 7, "b": 3, "c": 1, "d": 5}
-    got = schedule(spark, weights).collect()
-    had = dict.fromkeys(weights, 0)
-    for r in sorted(got, key=lambda r: r.slot):
-        assert r.release_at <= r.slot < r.due_at
-        had[r.source] += 1
-        assert all(abs(had[s] - (r.slot + 1) * w / 16) < 1 for s, w in weights.items())
-    rows = [(i, None if i % 7 == 0 else f"s{i % 3}", "keep", 5) for i in range(2000)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot int")
-    found = mix_sources(docs, {"s0": 2}, block_rows=4).collect()
-    assert sorted(r.doc_id for r in found) == list(range(2000))
-    slots = {(r.mix_slot, r.mix_offset) for r in found}
-    assert len(slots) == 2000
-    inside = [r for r in found if r.in_mix]
-    assert {r.mix_slot for r in inside} == set(range(max(r.mix_slot for r in inside) + 1))
-    assert mix_sources(docs.where("false")).count() == 0
-    assert sorted(r.doc_id for r in mixed(docs, {"s0": 2}, block_rows=4).collect()) == sorted(r.doc_id for r in inside)
-
-
-def test_pipeline_mixing_keeps_every_row(spark):
-    """Both sources last (min_blocks), so the mixture ends long before the smaller weight's rows do."""
-    rows = [(i, None if i % 31 == 0 else f"src{i % 2}", "keep") for i in range(2000)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    inside = mixed(docs, queries.MIX_WEIGHTS).count()
-    slots = {r.doc_id: (r.mix_slot, r.mix_offset) for r in mix_sources(docs, queries.MIX_WEIGHTS).collect()}
-    found = [r.doc_id for r in corpus_pipeline.mixing(spark, docs, "").collect()]
-    assert inside < 2000 and found == sorted(range(2000), key=slots.get)
-
-
 def test_op10_rules_and_templates(spark):
     urls = [None, "", "no scheme", "http://WWW.Example.com/en/x", "http://example.com/en/x?q#f", "http://a.b.net/es/1", "http://notnet/es/1", "https://x.net/esx/1", "http://c.com", "a://b://c/d", "http://h.org/\n/é?x"]
     pages = spark.createDataFrame([(i, u, "w", "h") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
