@@ -13,6 +13,8 @@ a key that a third of all documents share is no larger than any other.
 
 from __future__ import annotations
 
+import struct
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,26 +28,63 @@ from strata.llm.text import utf8
 
 #: Bytes of text in a block: a 256th of the input between these bounds (a longer document is a block of its own).
 BLOCK, LARGE_BLOCK = 2 << 20, 8 << 20
-_MESSAGE = "bucket int, block_id long, payload binary"
+#: Bytes of messages that a task gathers over its blocks before it sends one bundle to each range.
+BUNDLE = 32 << 20
+_MESSAGE = "bucket int, payload binary"
 _ANSWER = "block_id long, bucket int, payload binary, totals array<long>"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed buffer; unpack() gives them back."""
-    sink = pa.BufferOutputStream()
+#: Kinds of array that messages hold.
+_KINDS = [np.dtype(k) for k in ("<u8", "<i8", "<u4", "<i4", "u1", "?")]
+
+
+def flat(*arrays: np.ndarray) -> bytes:
+    """Arrays in one buffer; unpack() gives them back. Each has 8 bytes of header and starts at a multiple of 8."""
+    out = []
     for a in arrays:
-        pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(a)), sink)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+        raw = np.ascontiguousarray(a).tobytes()
+        out += [struct.pack("<II", _KINDS.index(a.dtype), a.size), raw, b"\0" * (-len(raw) % 8)]
+    return b"".join(out)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw = pa.py_buffer(zstandard.ZstdDecompressor().decompress(data))
-    source, out = pa.BufferReader(raw), []
-    while source.tell() < raw.size:
-        out.append(pa.ipc.read_tensor(source).to_numpy())
+def pack(*arrays: np.ndarray) -> bytes:
+    """As flat(), compressed where that may pay."""
+    raw = flat(*arrays)
+    return zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 64 else raw
+
+
+def unpack(data: bytes | memoryview) -> list[np.ndarray]:
+    if data[:4] == zstandard.FRAME_HEADER:
+        data = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 0, []
+    while at < len(data):
+        kind, size = struct.unpack_from("<II", data, at)
+        out.append(np.frombuffer(data, _KINDS[kind], size, at + 8))
+        at += 8 + -(-size * _KINDS[kind].itemsize // 8) * 8
     return out
 
 
+def bundle(numbers: list[int], payloads: list[bytes]) -> bytes:
+    """Messages of several blocks to one range as one, compressed together."""
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack("<Q", len(sizes)), np.array(numbers, "<i8").tobytes(), sizes.tobytes(), *payloads]))
+
+
+def unbundle(bundles: list[bytes]) -> tuple[np.ndarray, list[memoryview]]:
+    """Block numbers, ascending, and their messages."""
+    numbers, payloads = [np.zeros(0, np.int64)], []
+    for b in bundles:
+        raw = zstandard.ZstdDecompressor().decompress(b)
+        (n,) = struct.unpack_from("<Q", raw)
+        numbers.append(np.frombuffer(raw, "<i8", n, 8))
+        at = 8 + 16 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n))])
+        view = memoryview(raw)
+        payloads += [view[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    number = np.concatenate(numbers)
+    order = np.argsort(number, kind="stable")
+    return number[order], [payloads[i] for i in order.tolist()]
+
+
 class Block:
     """Documents of one block: number, ids, concatenated bytes, offsets, the answers it got, by name and range, and the other columns."""
 
@@ -106,6 +145,12 @@ def _open(batch: pa.RecordBatch) -> Iterator[Block]:
         yield Block(columns["block_id"][i], ids, data, offsets, answers, columns["rest"][i])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield from _open(batch.slice(i, 1))
+
+
 #: Stands for a null id inside blocks: before all others.
 NULL_ID = -(2**63)
 
@@ -142,46 +187,65 @@ class Blocks:
         """What each block gives, with the answers so far."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    for block in _open(batch.slice(i, 1)):
-                        yield from each(block)
-                        pa.default_memory_pool().release_unused()
+            for block in _blocks(batches):
+                yield from each(block)
+                pa.default_memory_pool().release_unused()
 
         return self._joined().mapInArrow(run, schema)
 
     def messages(self, send: Callable[[Block], Iterator[tuple[int, bytes]]]) -> DataFrame:
-        """bucket, block_id and payload of what each block sends."""
+        """bucket and payload: bundles of the (range, message) that blocks send.
 
-        def sent(block: Block) -> Iterator[pa.RecordBatch]:
-            for bucket, payload in send(block):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block.number], pa.int64()), pa.array([payload], pa.binary())], names=["bucket", "block_id", "payload"])
+        A task bundles its blocks' messages by range, so a message costs its
+        bytes and not a row, however many blocks and ranges there are.
+        """
 
-        return self.map(sent, _MESSAGE)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+            size = 0
+
+            def sent() -> Iterator[pa.RecordBatch]:
+                ready = sorted(held)
+                for at in range(0, len(ready), 64):
+                    some = ready[at : at + 64]
+                    packed = [bundle(*map(list, zip(*held.pop(r), strict=True))) for r in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "payload"])
+
+            for block in _blocks(batches):
+                for bucket, payload in send(block):
+                    held[bucket].append((block.number, payload))
+                    size += len(payload) + 64
+                if size > BUNDLE:
+                    yield from sent()
+                    size = 0
+                pa.default_memory_pool().release_unused()
+            yield from sent()
+
+        return self._joined().mapInArrow(run, _MESSAGE)
 
     def ask(self, name: str, send: Callable[[Block], Iterator[tuple[int, bytes]]], decide: Callable[..., list[bytes | None]], totals: Callable[[list[bytes]], list[int]] | None = None, beside: DataFrame | None = None) -> DataFrame:
-        """Send (range, payload) messages from each block; decide on all of one range and answer each, or not.
+        """Send (range, message) from each block; decide on all of one range and answer each, or not.
 
         ``totals`` of a range's messages, if asked for, stand in the first of its answers.
-        ``beside`` has a row (bucket, bits) for each range; its bits are then given to decide too.
+        ``beside`` has rows (bucket, payload); decide is then given the payloads of its range too.
         """
 
-        def decided(group: pa.Table, *held: bytes) -> pa.Table:
-            group = group.sort_by("block_id")
-            answers = decide(group["payload"].to_pylist(), *held)
+        def decided(group: pa.Table, *held: list[bytes]) -> pa.Table:
+            numbers, messages = unbundle(group["payload"].to_pylist())
+            answers = decide(messages, *held) if messages else []
             pa.default_memory_pool().release_unused()
             keep = [i for i, a in enumerate(answers) if a is not None]
-            rows = group.take(pa.array(keep, pa.int64()))
             once = [None] * len(keep)
             if totals and keep:
-                once[0] = totals(group["payload"].to_pylist())
-            return pa.table({"block_id": rows["block_id"], "bucket": rows["bucket"], "payload": pa.array([answers[i] for i in keep], pa.binary()), "totals": pa.array(once, pa.list_(pa.int64()))})
+                once[0] = totals(messages)
+            bucket = group["bucket"][0].as_py() if len(keep) else 0
+            return pa.table({"block_id": numbers[keep].astype(np.int64), "bucket": pa.array([bucket] * len(keep), pa.int32()), "payload": pa.array([answers[i] for i in keep], pa.binary()), "totals": pa.array(once, pa.list_(pa.int64()))})
 
         found = self.messages(send).groupBy("bucket")
         if beside is None:
-            found = found.applyInArrow(decided, _ANSWER)
+            found = found.applyInArrow(lambda group: decided(group), _ANSWER)
         else:
-            found = found.cogroup(beside.groupBy("bucket")).applyInArrow(lambda group, own: decided(group, b"".join(own["bits"].to_pylist())), _ANSWER)
+            found = found.cogroup(beside.groupBy("bucket")).applyInArrow(lambda group, own: decided(group, own["payload"].to_pylist()), _ANSWER)
         self.answers[name] = self.stage.put(found, name)
         return self.answers[name]
 

@@ -16,10 +16,9 @@ def level_of(counts: np.ndarray, least: int) -> np.ndarray:
     return np.where(counts >= least, 1 + np.floor(np.log2(np.maximum(counts, 1) / least) + 1e-9), 0).astype(np.int64)
 
 
-def count_of(levels: np.ndarray, least: int) -> np.ndarray:
-    """The middle of the counts of a level; 0 for level 0."""
-    low = least * 2.0 ** (levels - 1)
-    return np.where(levels > 0, (3 * low - 1) / 2, 0.0)
+def twice_count_of(levels: np.ndarray, least: int) -> np.ndarray:
+    """Twice the middle of the counts of a level, a whole number; 0 for level 0."""
+    return np.where(levels > 0, 3 * least * (np.int64(1) << np.maximum(levels - 1, 0)) - 1, 0)
 
 
 def _bit(keys: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.ndarray:

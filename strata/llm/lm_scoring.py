@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, pack, split_sorted, unpack
-from strata.llm.count_filter import CountFilter, build_segment, count_of, level_of
-from strata.llm.text import lower, pair, slice_hashes, word_spans
+from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, flat, pack, split_sorted, unbundle, unpack
+from strata.llm.count_filter import CountFilter, build_segment, level_of, twice_count_of
+from strata.llm.text import lower, mix, slice_hashes, unmix, word_spans
 
 _END = np.uint64(0x5851F42D4C957F2D)
+_HALF = np.uint64(32)
 
 
 class _Tokens:
@@ -35,7 +36,13 @@ class _Tokens:
         self.before = np.concatenate([[_END], self.keys[:-1]]) if len(self.keys) else self.keys
 
     def pairs(self) -> np.ndarray:
-        return pair(self.before, self.keys)
+        """Keys of (token before, token): the upper halves of both hashes, mixed. history_of() gives the first back."""
+        return mix((self.before >> _HALF << _HALF) | (self.keys >> _HALF))
+
+
+def history_of(pairs: np.ndarray) -> np.ndarray:
+    """The upper half of the hash of each pair's first token."""
+    return unmix(pairs) >> _HALF
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,37 +51,51 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return known, np.bincount(np.searchsorted(known, keys[train]), minlength=len(known))
 
 
+def _grouped_sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sum of each of the values by key."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    return ranked[heads], *(np.add.reduceat(v[order], heads) if len(heads) else v[:0] for v in values)
+
+
 def _summed(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Sorted distinct keys of all messages, their total counts, and each message's keys."""
     parts = [unpack(p) for p in payloads]
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return ranked[heads], np.add.reduceat(counts[order], heads), [p[0] for p in parts]
+    known, counts = _grouped_sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+    return known, counts, [p[0] for p in parts]
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64)
 
 
-def _totals(payloads: list[bytes]) -> list[bytes | None]:
+def _totals(payloads: list[bytes], follows: list[bytes]) -> list[bytes | None]:
+    """For each message of words: their counts, and what follows them: twice the held counts, and the number of different tokens."""
     known, counts, own = _summed(payloads)
-    return [pack(_narrow(counts[np.searchsorted(known, k)])) for k in own]
+    stats = [unpack(f) for f in follows]
+    half, twice, kinds = _grouped_sums(*(np.concatenate([s[k] for s in stats]) if stats else np.zeros(0, np.uint64 if k == 0 else np.int64) for k in range(3)))
+    at = np.minimum(np.searchsorted(half, known >> _HALF), max(0, len(half) - 1))
+    found = half[at] == known >> _HALF if len(half) else np.zeros(len(known), bool)
+    twice, kinds = (np.where(found, v[at], 0) if len(half) else np.zeros(len(known), np.int64) for v in (twice, kinds))
+    places = [np.searchsorted(known, k) for k in own]
+    return [pack(*(_narrow(v[at]) for v in (counts, twice, kinds))) for at in places]
 
 
-def _probed(payloads: list[bytes], bits: bytes, probes: int) -> list[bytes | None]:
+def _probed(payloads: list[bytes], bits: list[bytes], probes: int) -> list[bytes | None]:
     """For each message of one range's keys, their levels in that range's segment."""
-    found = CountFilter(np.frombuffer(bits or b"\0", np.uint8), np.zeros(1, np.int64), np.array([8 * len(bits)]), probes)
+    data = b"".join(bits)
+    found = CountFilter(np.frombuffer(data or b"\0", np.uint8), np.zeros(1, np.int64), np.array([8 * len(data)]), probes)
     return [pack(found.levels(unpack(p)[0]).astype(np.uint8)) for p in payloads]
 
 
-def _answered(keys: np.ndarray, answers: dict[int, bytes], count: int) -> np.ndarray:
-    """The counts that the answers give for sorted distinct keys."""
-    out = np.zeros(len(keys), np.int64)
+def _answered(keys: np.ndarray, answers: dict[int, bytes], count: int, columns: int = 1) -> list[np.ndarray]:
+    """The numbers that the answers give for sorted distinct keys."""
+    out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
     for bucket, a, b in split_sorted(keys, count):
         if bucket in answers:
-            out[a:b] = unpack(answers[bucket])[0]
+            for own, found in zip(out, unpack(answers[bucket]), strict=True):
+                own[a:b] = found
     return out
 
 
@@ -84,7 +105,6 @@ def score_texts(
     text_col: str = "text",
     parts: int = 10,
     held_part: int = 0,
-    weight: float = 0.4,
     least: int = 1,
     bits_each: int = 12,
     probes: int = 6,
@@ -95,77 +115,89 @@ def score_texts(
     Tokens are the lower-cased words and one end. Learned from documents for which
     crc32 of the id as text modulo ``parts`` isn't ``held_part``. base_score is the
     unigram score with 0.1 added to each count, from exact counts (blocks ask
-    for their distinct words). score interpolates, for each token, the share of
-    its pair with the token before it (``weight``) with that unigram probability; pair counts come from a log-frequency Bloom
-    filter that holds all pairs seen ``least`` times or more, by doubling levels, at ``bits_each`` bits a level. The filter is built in
+    for their distinct words).
+
+    score is the text's log10 probability by the pair model: with c(h, w) the count of token w after h as the
+    filter gives it, and C and T the sum and the number of the counts held after h, P(w | h) = (c(h, w) + T * P(w)) / (C + T),
+    P(w) being the unigram probability (Witten and Bell's smoothing). It sums to 1 over the training tokens and one unknown token,
+    but for the filter's false positives.
+    Pair counts come from a log-frequency Bloom filter that holds all pairs seen ``least`` times or more, by doubling
+    levels (a count is the middle of its level; level 1 of least 1 is 1), at ``bits_each`` bits a level; C and T are exact sums over what was put in. The filter is built in
     hash ranges and broadcast if it has at most ``most_filter_bytes``; to a larger one blocks send
-    their pairs by range, and each range's segment is probed there, with the same levels.
+    their pairs by range, and each range's segment is probed there: the same bits, levels and scores.
 
-    A null or empty text is one end. A null id has crc32 of ''. Repeated rows
+    A null or empty text is one end. A null id has crc32 of ''; ids are integers. Repeated rows
     are counted and scored one by one; an empty table gives no rows; other columns are ignored.
     """
     blocks = Blocks(docs, id_col, text_col, "lm_scoring")
     spark = docs.sparkSession
     count = blocks.ranges(12 << 20)
 
-    def send(block: Block) -> Iterator[tuple[int, bytes]]:
+    def trained(block: Block) -> Iterator[tuple[int, bytes]]:
         tokens = _Tokens(block, parts, held_part)
-        known, seen = _counted(tokens.keys, tokens.train)
+        known, seen = _counted(tokens.pairs()[tokens.train], np.ones(int(tokens.train.sum()), dtype=bool))
         for bucket, a, b in split_sorted(known, count):
-            yield bucket, pack(known[a:b], _narrow(seen[a:b]))
+            yield bucket, flat(known[a:b], _narrow(seen[a:b]))
 
-    def pairs(block: Block) -> Iterator[tuple[int, bytes]]:
-        known = distinct(_Tokens(block, parts, held_part).pairs())
+    def segment(group: pa.Table) -> pa.Table:
+        """The range's bits, in a row of kind 'bits', and for the ranges of the histories' words (rows 'follows') their sums here."""
+        known, counts, _ = _summed(unbundle(group["payload"].to_pylist())[1])
+        levels = level_of(counts, least)
+        known, levels = known[levels > 0], levels[levels > 0]
+        bits = build_segment(known, levels, bits_each, probes) if len(known) else np.zeros(0, np.uint8)
+        half, twice, kinds = _grouped_sums(history_of(known), twice_count_of(levels, least), np.ones(len(known), np.int64))
+        rows = [("bits", group["bucket"][0].as_py(), bits.tobytes())]
+        rows += [("follows", bucket, pack(half[a:b], twice[a:b], kinds[a:b])) for bucket, a, b in split_sorted(half << _HALF, count)]
+        kind, bucket, payload = zip(*rows, strict=True)
+        return pa.table({"kind": pa.array(kind), "bucket": pa.array(bucket, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    built = blocks.stage.put(blocks.messages(trained).groupBy("bucket").applyInArrow(segment, "kind string, bucket int, payload binary"), "segments")
+    segments, follows = (built.where(F.col("kind") == k).select("bucket", "payload") for k in ("bits", "follows"))
+
+    def send(block: Block) -> Iterator[tuple[int, bytes]]:
+        tokens = _Tokens(block, parts, held_part)
+        known, seen = _counted(tokens.keys, tokens.train)
         for bucket, a, b in split_sorted(known, count):
-            yield bucket, pack(known[a:b])
+            yield bucket, flat(known[a:b], _narrow(seen[a:b]))
 
     def sums(payloads: list[bytes]) -> list[int]:
         _, counts, _ = _summed(payloads)
         return [int(counts.sum()), int((counts > 0).sum())]
 
-    words = blocks.ask("words", send, _totals, sums)
+    words = blocks.ask("words", send, _totals, sums, beside=follows)
     total, kinds = words.where("totals IS NOT NULL").agg(F.sum(F.get("totals", F.lit(0))), F.sum(F.get("totals", F.lit(1)))).first()
     total, kinds = int(total or 0), int(kinds or 0)
 
-    def trained(block: Block) -> Iterator[tuple[int, bytes]]:
-        tokens = _Tokens(block, parts, held_part)
-        known, seen = _counted(tokens.pairs()[tokens.train], np.ones(int(tokens.train.sum()), dtype=bool))
+    def pairs(block: Block) -> Iterator[tuple[int, bytes]]:
+        known = distinct(_Tokens(block, parts, held_part).pairs())
         for bucket, a, b in split_sorted(known, count):
-            yield bucket, pack(known[a:b], _narrow(seen[a:b]))
-
-    def segment(group: pa.Table) -> pa.Table:
-        known, counts, _ = _summed(group["payload"].to_pylist())
-        levels = level_of(counts, least)
-        bits = build_segment(known[levels > 0], levels[levels > 0], bits_each, probes) if (levels > 0).any() else np.zeros(0, np.uint8)
-        return pa.table({"bucket": group["bucket"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+            yield bucket, flat(known[a:b])
 
-    built = blocks.stage.put(blocks.messages(trained).groupBy("bucket").applyInArrow(segment, "bucket int, bits binary"), "segments")
-    size = built.agg(F.coalesce(F.sum(F.octet_length("bits").cast("long")), F.lit(0))).first()[0]
+    size = segments.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]
     shared = None
     if size <= most_filter_bytes:
-        found = {r.bucket: r.bits for r in built.collect()}
+        found = {r.bucket: r.payload for r in segments.collect()}
         lengths = np.array([len(found.get(b, b"")) for b in range(count)], np.int64)
         data = np.frombuffer(b"".join(found.get(b, b"") for b in range(count)) or b"\0", np.uint8)
         shared = spark.sparkContext.broadcast(CountFilter(data, np.cumsum(lengths) - lengths, lengths * 8, probes))
     else:
-        blocks.ask("pairs", pairs, lambda payloads, bits: _probed(payloads, bits, probes), beside=built)
+        blocks.ask("pairs", pairs, lambda payloads, bits: _probed(payloads, bits, probes), beside=segments)
 
     def score(block: Block) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(block, parts, held_part)
         known = distinct(tokens.keys)
-        counts = _answered(known, block.answers.get("words", {}), count)
+        counts, twice, follow = _answered(known, block.answers.get("words", {}), count, 3)
         place = np.searchsorted(known, tokens.keys)
         own = counts[place]
         simple = (own + 0.1) / (total + 0.1 * (kinds + 1))
         two = tokens.pairs()
         kinds_of_two = distinct(two)
-        levels = shared.value.levels(kinds_of_two) if shared else _answered(kinds_of_two, block.answers.get("pairs", {}), count)
-        both = count_of(levels, least)[np.searchsorted(kinds_of_two, two)]
-        ends = counts[np.searchsorted(known, _END)]
-        history = np.concatenate([[ends], own[:-1]]).astype(np.float64)
-        share = np.minimum(both, history) / np.maximum(history, 1)
-        full = weight * share + (1 - weight) * simple
-        full = np.where(history > 0, full, simple)
+        levels = shared.value.levels(kinds_of_two) if shared else _answered(kinds_of_two, block.answers.get("pairs", {}), count)[0]
+        both = twice_count_of(levels, least)[np.searchsorted(kinds_of_two, two)] / 2
+        before = np.searchsorted(known, tokens.before)
+        held, spread = twice[before] / 2, follow[before]
+        # A false positive can't give a pair more than its history has.
+        full = np.where(held > 0, (np.minimum(both, held) + spread * simple) / np.maximum(held + spread, 1), simple)
         summed = lambda x: np.add.reduceat(x, tokens.offsets[:-1])
         n = np.diff(tokens.offsets)
         columns = [block.ids, tokens.held_out, n, summed((own > 0).astype(np.int64)), np.full(len(n), total), summed(np.log10(simple)), summed(np.log10(full))]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.blocks import NULL_ID, Block, Blocks, pack, pack_keys, split_sorted, unpack, unpack_keys
+from strata.llm.blocks import NULL_ID, Block, Blocks, flat, pack, pack_keys, split_sorted, unpack, unpack_keys
 from strata.llm.components import components
 from strata.llm.stats import ids_of
 from strata.llm.text import lower, mix, pair, ranges, slice_hashes, window_hashes, window_ok, word_spans
@@ -262,7 +262,7 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
     def classes(block: Block) -> Iterator[tuple[int, bytes]]:
         one, two, ids, _, _ = _Sets(block, n, counts).classes()
         for bucket, a, b in split_sorted(one, counts["classes"]):
-            yield bucket, pack(one[a:b], two[a:b], ids[a:b])
+            yield bucket, flat(one[a:b], two[a:b], ids[a:b])
 
     def least(payloads: list[bytes]) -> list[bytes | None]:
         parts = [unpack(p) for p in payloads]
@@ -278,7 +278,7 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
     def frequencies(block: Block) -> Iterator[tuple[int, bytes]]:
         keys, held = _Sets(block, n, counts).frequencies()
         for bucket, a, b in split_sorted(keys, counts["frequency"]):
-            yield bucket, pack(held[a:b].astype(np.uint32), *pack_keys(keys[a:b]))
+            yield bucket, flat(held[a:b].astype(np.uint32), *pack_keys(keys[a:b]))
 
     def summed(payloads: list[bytes]) -> list[bytes | None]:
         parts = [unpack(p) for p in payloads]
@@ -300,7 +300,7 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
         for bucket, a, b in split_sorted(at, counts["postings"]):
             own = item[a:b]
             block_number = np.full(b - a, block.number)
-            yield bucket, pack(key[own], cell[a:b], side[a:b], block.ids[row[own]], row[own], size[own], place[own], block_number, after[own])
+            yield bucket, flat(key[own], cell[a:b], side[a:b], block.ids[row[own]], row[own], size[own], place[own], block_number, after[own])
 
     def families(group: pa.Table) -> pa.Table:
         ids, block, row, size, root = _postings_families(group["payload"].to_pylist(), percent)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack
+from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, flat, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack
 from strata.llm.stats import ids_of
 from strata.llm.text import covered, leftmost_min, mix, ranges, slice_hashes, window_hashes, window_ok, word_spans
 
@@ -122,14 +122,14 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         words = _Words(block, width, counts)
         known = distinct(words.first_level()[1] if level == 0 else np.concatenate(words.second_level()[1:]))
         for bucket, a, b in split_sorted(known, counts[level]):
-            yield bucket, pack(*pack_keys(known[a:b]))
+            yield bucket, flat(*pack_keys(known[a:b]))
 
     def wholes(block: Block) -> Iterator[tuple[int, bytes]]:
         words = _Words(block, width, counts)
         at, one, two = words.third_level()
         second, least, _, _, known = _whole(one, two, words.docs[at])
         for bucket, a, b in split_sorted(known, counts[2]):
-            yield bucket, pack(known[a:b], second[a:b], least[a:b])
+            yield bucket, flat(known[a:b], second[a:b], least[a:b])
 
     def result(block: Block) -> Iterator[pa.RecordBatch]:
         words = _Words(block, width, counts)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack
+from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, flat, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack
 from strata.llm.suffix import repeated_later
 from strata.llm.text import covered, gather, leftmost_min, mix, pair, ranges, slice_hashes, window_ok
 
@@ -97,7 +97,7 @@ class _Suffixes:
         inside = begin - self.block.offsets[self.owner[used]]
         for bucket, a, b in split_sorted(self.keys[used], self.count):
             data = gather(self.block.data, begin[a:b], lengths[a:b])
-            yield bucket, pack(self.keys[used[a:b]], self.docs[self.owner[used[a:b]]], inside[a:b], self.sizes[used[a:b]].astype(np.int32), data)
+            yield bucket, flat(self.keys[used[a:b]], self.docs[self.owner[used[a:b]]], inside[a:b], self.sizes[used[a:b]].astype(np.int32), data)
 
     def removed(self) -> np.ndarray:
         """Which bytes a window covers that also starts earlier."""
@@ -165,7 +165,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def grams(block: Block) -> Iterator[tuple[int, bytes]]:
         known = distinct(_Suffixes(block, width, counts).keys)
         for bucket, a, b in split_sorted(known, counts[0]):
-            yield bucket, pack(*pack_keys(known[a:b]))
+            yield bucket, flat(*pack_keys(known[a:b]))
 
     def result(block: Block) -> Iterator[pa.RecordBatch]:
         gone = _Suffixes(block, width, counts).removed()

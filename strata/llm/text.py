@@ -16,6 +16,7 @@ _LOWER[65:91] += 32
 
 _U = np.uint64
 _MIX1, _MIX2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
+_UNMIX1, _UNMIX2 = (_U(pow(int(m), -1, 2**64)) for m in (_MIX1, _MIX2))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,6 +29,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The value that mix() turned into x."""
+    x = x ^ (x >> _U(31)) ^ (x >> _U(62))
+    x *= _UNMIX2
+    x ^= (x >> _U(27)) ^ (x >> _U(54))
+    x *= _UNMIX1
+    x ^= (x >> _U(30)) ^ (x >> _U(60))
+    return x
+
+
 def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Hash of ordered pairs of hashes."""
     return mix(x * _STEP + (y ^ _MIX1))

@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -75,3 +77,31 @@ def counts(text):
     windows = Counter(tuple(own[k : k + 8]) for k in range(len(own) - 7))
     cover = {x for k in range(len(own) - 7) if windows[tuple(own[k : k + 8])] > 1 for x in range(k, k + 8)}
     return len(own), sum(map(len, own)), sum(c in "#*$%&|<>" for c in text or ""), repeated, len(cover)
+
+
+class PairModel:
+    """Witten and Bell's pair model over counts rounded to the middle of doubling levels."""
+
+    def __init__(self, rows):
+        tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in rows}
+        train = [own for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+        self.one = Counter(w for own in train for w in own)
+        self.total = sum(self.one.values())
+        two = Counter(p for own in train for p in zip([None, *own], own))
+        self.two = {p: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 for p, c in two.items()}
+        self.sum, self.kinds = Counter(), Counter()
+        for (h, _), q in self.two.items():
+            self.sum[h] += q
+            self.kinds[h] += 1
+        self.tokens = tokens
+
+    def base(self, w):
+        return (self.one[w] + 0.1) / (self.total + 0.1 * (len(self.one) + 1))
+
+    def after(self, h, w):
+        return (self.two.get((h, w), 0) + self.kinds[h] * self.base(w)) / (self.sum[h] + self.kinds[h]) if self.sum[h] else self.base(w)
+
+    def row(self, i):
+        own = self.tokens[i]
+        held = zlib.crc32(str(i).encode()) % 10 == 0
+        return held, len(own), sum(self.one[w] > 0 for w in own), self.total, sum(math.log10(self.base(w)) for w in own), sum(math.log10(self.after(h, w)) for h, w in zip([None, *own], own))

@@ -11,7 +11,6 @@ from strata.llm import blocks, ngram_join, queries
 from strata.llm.boosting import fit_trees
 from strata.llm.count_filter import CountFilter, build_segment
 from strata.llm.exact_dedup import drop_exact_copies, exact_groups
-from strata.llm.lm_scoring import score_texts
 from strata.llm.mil import fit_attention
 from strata.llm.ngram_join import drop_similar, join_similar, verify_links
 from strata.llm.packing import WordTokenizer, first_fit_decreasing, lay_out, pack_documents
@@ -214,43 +213,6 @@ def test_attention_finds_the_telling_passage():
     assert ((score > 0.5) == (y[400:] == 1)).mean() > 0.9
 
 
-@pytest.mark.parametrize("filter_bytes", [64 << 20, 0])
-def test_op7_base_and_model(spark, sf_dir, awkward, empty, small_parts, filter_bytes):
-    import math
-    from collections import Counter
-
-    for docs, rows in ((queries.table(spark, sf_dir, "documents"), rows_of(spark, sf_dir)), (awkward, AWKWARD)):
-        got = by_id(score_texts(docs, most_filter_bytes=filter_bytes), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-        tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in rows}
-        train = Counter(w for i, own in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in own)
-        total = sum(train.values())
-        for i, own in tokens.items():
-            base = sum(math.log10((train[w] + 0.1) / (total + 0.1 * (len(train) + 1))) for w in own)
-            assert got[i][:4] == (zlib.crc32(str(i).encode()) % 10 == 0, len(own), sum(train[w] > 0 for w in own), total)
-            assert abs(got[i][4] - base) <= 1e-9 * abs(base) + 1e-9 and got[i][5] < 0
-    assert score_texts(empty).count() == 0
-
-
-def test_op7_scores_do_not_depend_on_the_bound(spark, sf_dir, small_parts):
-    """Two bits a level: so many false positives that exact counts would give other scores."""
-    docs = queries.table(spark, sf_dir, "documents")
-    shared, ranged = (by_id(score_texts(docs, bits_each=2, most_filter_bytes=most), "score") for most in (64 << 20, 0))
-    assert shared == ranged
-
-
-def test_op7_pairs_seen_once_count(spark):
-    """Ids 6 and 29 are held out; they have the same words, but only the first has pairs that training saw, each once."""
-    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (6, "a b c d"), (29, "d c b a")], "doc_id long, text string")
-    got = by_id(score_texts(docs), "held_out", "base_score", "score")
-    (_, base, known), (_, same, unknown) = got[6], got[29]
-    assert got[6][0] and got[29][0] and abs(base - same) < 1e-9 and known > base > unknown
-
-
-def test_op7_pairs_help_on_held_out_text(spark):
-    found = queries.op7_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(base_score) AS b", "sum(score) AS s").first()
-    assert found.s > found.b
-
-
 def test_count_filter_levels():
     keys = np.random.default_rng(6).integers(0, 2**63, 4000).astype(np.uint64)
     levels = np.arange(4000) % 4
