@@ -19,7 +19,6 @@ from strata.llm.quality_rules import quality_rules
 from strata.llm.substring_dedup import drop_repeated_windows
 from strata.llm.suffix import repeated_later
 from strata.llm.suffix_dedup import drop_repeated_strings
-from strata.llm.url_filter import filter_urls
 
 LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(40_000))
 BASE = " ".join(f"Base{i}" for i in range(120))
@@ -235,22 +234,6 @@ def test_op8_groups(spark, awkward, empty):
     assert exact_groups(empty).count() == 0
 
 
-def test_op10_rules_and_templates(spark):
-    urls = [None, "", "no scheme", "http://WWW.Example.com/en/x", "http://example.com/en/x?q#f", "http://a.b.net/es/1", "http://notnet/es/1", "https://x.net/esx/1", "http://c.com", "a://b://c/d", "http://h.org/\n/é?x"]
-    pages = spark.createDataFrame([(i, u, "w", "h") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages, queries.URL_RULES).collect()}
-    assert got[0][:3] == got[1][:3] == got[2][:3] == ("", "", None)
-    assert got[3] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
-    assert got[4] == ("example.com", "/en/x", "example.com/en/", "block")
-    assert got[5] == ("a.b.net", "/es/1", "net/es/", "block")
-    assert [got[k][:3] for k in (6, 7, 8, 9)] == [("notnet", "/es/1", None), ("x.net", "/esx/1", None), ("c.com", "", None), ("b:", "//c/d", None)]
-    assert got[10][:2] == ("h.org", "/\n/é")
-    assert filter_urls(pages.where("false"), queries.URL_RULES).count() == 0
-    many = [(i, f"http://spam.net/{'es' if i % 3 else 'go'}/{i}", "", "") for i in range(300)]
-    found = filter_urls(spark.createDataFrame(many, pages.schema), queries.URL_RULES).collect()
-    assert {r.template for r in found} == {"/es/{n}", "/go/{n}"} or len(found) == 300
-
-
 def test_pipeline_stages(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     columns = docs.columns
