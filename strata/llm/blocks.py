@@ -163,7 +163,7 @@ class Blocks:
         self.stage = Stage(docs.sparkSession, name)
         rest = [F.col(text_col).isNull() if c == text_col else docs[c] for c in docs.columns] if carry else []
         rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *(c.alias(f"c{k}") for k, c in enumerate(rest)))
-        self.bytes = rows.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()[0]
+        self.bytes, self.rows = rows.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
         size = int(min(max(BLOCK, self.bytes / 256), LARGE_BLOCK))
         # With fewer buckets than shuffle partitions Spark would move the blocks to the answers, not the answers to them.
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

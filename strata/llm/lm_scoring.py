@@ -82,13 +82,6 @@ def _totals(payloads: list[bytes], follows: list[bytes]) -> list[bytes | None]:
     return [pack(*(_narrow(v[at]) for v in (counts, twice, kinds))) for at in places]
 
 
-def _probed(payloads: list[bytes], bits: list[bytes], probes: int) -> list[bytes | None]:
-    """For each message of one range's keys, their levels in that range's segment."""
-    data = b"".join(bits)
-    found = CountFilter(np.frombuffer(data or b"\0", np.uint8), np.zeros(1, np.int64), np.array([8 * len(data)]), probes)
-    return [pack(found.levels(unpack(p)[0]).astype(np.uint8)) for p in payloads]
-
-
 def _answered(keys: np.ndarray, answers: dict[int, bytes], count: int, columns: int = 1) -> list[np.ndarray]:
     """The numbers that the answers give for sorted distinct keys."""
     out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
@@ -123,8 +116,8 @@ def score_texts(
     but for the filter's false positives.
     Pair counts come from a log-frequency Bloom filter that holds all pairs seen ``least`` times or more, by doubling
     levels (a count is the middle of its level; level 1 of least 1 is 1), at ``bits_each`` bits a level; C and T are exact sums over what was put in. The filter is built in
-    hash ranges and broadcast if it has at most ``most_filter_bytes``; to a larger one blocks send
-    their pairs by range, and each range's segment is probed there: the same bits, levels and scores.
+    hash ranges. If the input's size proves that it has at most ``most_filter_bytes`` it is broadcast and probed in the blocks; else each range's segment is probed where it
+    is built, for the pairs that the blocks sent there: the same bits, levels and scores.
 
     A null or empty text is one end. A null id has crc32 of ''; ids are integers. Repeated rows
     are counted and scored one by one; an empty table gives no rows; other columns are ignored.
@@ -133,26 +126,36 @@ def score_texts(
     spark = docs.sparkSession
     count = blocks.ranges(12 << 20)
 
-    def trained(block: Block) -> Iterator[tuple[int, bytes]]:
+    # A pair seen c times has at most c levels and there are no more pairs than tokens: a bound of the filter's size.
+    small = bits_each * (blocks.bytes / 2 + 2 * blocks.rows) / 8 <= most_filter_bytes
+
+    def pairs(block: Block) -> Iterator[tuple[int, bytes]]:
         tokens = _Tokens(block, parts, held_part)
-        known, seen = _counted(tokens.pairs()[tokens.train], np.ones(int(tokens.train.sum()), dtype=bool))
+        own, train = tokens.pairs(), tokens.train
+        known, seen = _counted(own[train], train[train]) if small else _counted(own, train)
         for bucket, a, b in split_sorted(known, count):
             yield bucket, flat(known[a:b], _narrow(seen[a:b]))
 
     def segment(group: pa.Table) -> pa.Table:
-        """The range's bits, in a row of kind 'bits', and for the ranges of the histories' words (rows 'follows') their sums here."""
-        known, counts, _ = _summed(unbundle(group["payload"].to_pylist())[1])
+        """The range's bits ('bits'), what follows the histories, for their words' ranges ('follows'), or in place of the bits each block's levels ('levels')."""
+        me = group["bucket"][0].as_py()
+        numbers, messages = unbundle(group["payload"].to_pylist())
+        known, counts, own = _summed(messages)
         levels = level_of(counts, least)
-        known, levels = known[levels > 0], levels[levels > 0]
-        bits = build_segment(known, levels, bits_each, probes) if len(known) else np.zeros(0, np.uint8)
-        half, twice, kinds = _grouped_sums(history_of(known), twice_count_of(levels, least), np.ones(len(known), np.int64))
-        rows = [("bits", group["bucket"][0].as_py(), bits.tobytes())]
-        rows += [("follows", bucket, pack(half[a:b], twice[a:b], kinds[a:b])) for bucket, a, b in split_sorted(half << _HALF, count)]
-        kind, bucket, payload = zip(*rows, strict=True)
-        return pa.table({"kind": pa.array(kind), "bucket": pa.array(bucket, pa.int32()), "payload": pa.array(payload, pa.binary())})
-
-    built = blocks.stage.put(blocks.messages(trained).groupBy("bucket").applyInArrow(segment, "kind string, bucket int, payload binary"), "segments")
-    segments, follows = (built.where(F.col("kind") == k).select("bucket", "payload") for k in ("bits", "follows"))
+        held = levels > 0
+        bits = build_segment(known[held], levels[held], bits_each, probes) if held.any() else np.zeros(0, np.uint8)
+        half, twice, kinds = _grouped_sums(history_of(known[held]), twice_count_of(levels[held], least), np.ones(int(held.sum()), np.int64))
+        rows = [("follows", bucket, None, pack(half[a:b], twice[a:b], kinds[a:b])) for bucket, a, b in split_sorted(half << _HALF, count)]
+        if small:
+            rows.append(("bits", me, None, bits.tobytes()))
+        else:
+            found = CountFilter(bits if len(bits) else np.zeros(1, np.uint8), np.zeros(1, np.int64), np.array([8 * len(bits)]), probes).levels(known).astype(np.uint8)
+            rows += [("levels", me, number, pack(found[np.searchsorted(known, k)])) for number, k in zip(numbers.tolist(), own, strict=True)]
+        kind, bucket, number, payload = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table({"kind": pa.array(kind, pa.string()), "bucket": pa.array(bucket, pa.int32()), "block_id": pa.array(number, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+    built = blocks.stage.put(blocks.messages(pairs).groupBy("bucket").applyInArrow(segment, "kind string, bucket int, block_id long, payload binary"), "pairs")
+    told = lambda kind: built.where(F.col("kind") == kind).drop("kind")
 
     def send(block: Block) -> Iterator[tuple[int, bytes]]:
         tokens = _Tokens(block, parts, held_part)
@@ -164,24 +167,18 @@ def score_texts(
         _, counts, _ = _summed(payloads)
         return [int(counts.sum()), int((counts > 0).sum())]
 
-    words = blocks.ask("words", send, _totals, sums, beside=follows)
+    words = blocks.ask("words", send, _totals, sums, beside=told("follows").drop("block_id"))
     total, kinds = words.where("totals IS NOT NULL").agg(F.sum(F.get("totals", F.lit(0))), F.sum(F.get("totals", F.lit(1)))).first()
     total, kinds = int(total or 0), int(kinds or 0)
 
-    def pairs(block: Block) -> Iterator[tuple[int, bytes]]:
-        known = distinct(_Tokens(block, parts, held_part).pairs())
-        for bucket, a, b in split_sorted(known, count):
-            yield bucket, flat(known[a:b])
-
-    size = segments.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]
     shared = None
-    if size <= most_filter_bytes:
-        found = {r.bucket: r.payload for r in segments.collect()}
+    if small:
+        found = {r.bucket: r.payload for r in told("bits").collect()}
         lengths = np.array([len(found.get(b, b"")) for b in range(count)], np.int64)
         data = np.frombuffer(b"".join(found.get(b, b"") for b in range(count)) or b"\0", np.uint8)
         shared = spark.sparkContext.broadcast(CountFilter(data, np.cumsum(lengths) - lengths, lengths * 8, probes))
     else:
-        blocks.ask("pairs", pairs, lambda payloads, bits: _probed(payloads, bits, probes), beside=segments)
+        blocks.answers["pairs"] = told("levels")
 
     def score(block: Block) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(block, parts, held_part)
@@ -204,4 +201,4 @@ def score_texts(
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = blocks.map(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return blocks.finish(out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col), "segments")
+    return blocks.finish(out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col), "pairs")
