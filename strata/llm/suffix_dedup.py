@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, flat, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack
+from strata.llm.blocks import NULL_ID, Block, Blocks, distinct, flat, grouped, pack, pack_keys, runs, seen_twice, shared_keys, span_columns, split_sorted, unpack, unpack_keys
 from strata.llm.suffix import repeated_later
 from strata.llm.text import covered, gather, leftmost_min, mix, pair, ranges, slice_hashes, window_ok
 
@@ -17,6 +18,8 @@ from strata.llm.text import covered, gather, leftmost_min, mix, pair, ranges, sl
 GRAM = 32
 #: Positions that are hashed at a time.
 STEP = 1 << 16
+#: A gram in this many different contexts, about, is split by longer grams.
+HEAVY = 64
 
 
 def first_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -49,17 +52,28 @@ def _gram_keys(words: list[np.ndarray]) -> np.ndarray:
     return mix(out)
 
 
+@dataclass
+class Counts:
+    """Hash ranges of the three questions, and how many different contexts make a gram heavy."""
+
+    grams: int
+    long: int
+    suffixes: int
+    heavy: int = HEAVY
+
+
 class _Suffixes:
     """The suffixes of a block's documents with a full window, by suffix bucket.
 
     A suffix's bucket is the least 32-byte gram of its window, so equal windows share it.
     The suffixes that share one gram's occurrence are neighbours and travel as one
     context: the bytes from the first one's start to the last one's window's end.
+    Where a gram has many different contexts (a line that many documents share) its suffixes are
+    dealt anew, by the least gram of almost the window's length, and only those travel whose long gram occurs elsewhere.
     """
 
-    def __init__(self, block: Block, width: int, counts: tuple[int, int]):
-        self.block, self.width = block, width
-        self.grams, self.count = counts
+    def __init__(self, block: Block, width: int, counts: Counts):
+        self.block, self.width, self.counts = block, width, counts
         self.docs = block.ids
         at = np.flatnonzero(window_ok(block.offsets, width))
         if not len(at):
@@ -79,39 +93,129 @@ class _Suffixes:
         # Least hashes crowd at the low end; mixed once more they fill all ranges alike.
         self.keys = mix(_gram_keys([words[place + k] for k in range(0, GRAM, 8)]))
         self.owner = np.searchsorted(block.offsets, self.first, side="right") - 1
+        self.words = words
 
-    def in_use(self) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of contexts whose gram occurs elsewhere, by gram and then place; and of each the first equal one."""
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct grams, how many different contexts each seems to have here (255 at most), and a byte of one's signature."""
+        if not len(self.keys):
+            return self.keys, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        ends = self.first + self.sizes + self.width - 9
+        sign = (mix(self.words[self.first] + self.words[ends] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+        order = np.lexsort([sign, self.keys])
+        keys, sign = self.keys[order], sign[order]
+        head = np.concatenate([[True], keys[1:] != keys[:-1]])
+        fresh = head | np.concatenate([[True], sign[1:] != sign[:-1]])
+        heads = np.flatnonzero(head)
+        return keys[heads], np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 255).astype(np.uint8), sign[heads]
+
+    def _hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts whose gram occurs elsewhere, and those of them with a heavy one."""
         known, _, _, place = grouped(self.keys, np.arange(len(self.keys)))
-        several = np.bincount(place, minlength=len(known)) > 1
-        used = np.flatnonzero((several | shared_keys(known, self.block.answers.get("grams", {}), self.grams))[place])
-        used = used[np.lexsort([self.first[used] - self.block.offsets[self.owner[used]], self.docs[self.owner[used]], self.keys[used]])]
-        return used, first_equal(self.block.data, self.first[used], self.first[used] + self.sizes[used] + self.width - 1, self.keys[used])
+        hit, heavy = np.bincount(place, minlength=len(known)) > 1, np.zeros(len(known), bool)
+        for bucket, a, b in split_sorted(known, self.counts.grams):
+            if bucket in self.block.answers.get("grams", {}):
+                found, split = (np.unpackbits(x, count=b - a).astype(bool) for x in unpack(self.block.answers["grams"][bucket]))
+                hit[a:b] |= found
+                heavy[a:b] = split
+        hit |= heavy
+        return np.flatnonzero((hit & ~heavy)[place]), np.flatnonzero(heavy[place])
+
+    def long_contexts(self, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First start, size and key of the contexts into which long grams cut the heavy ones."""
+        span = self.width - 4
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        ends, at = np.cumsum(self.sizes[heavy] + 4), 0
+        while at < len(heavy):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+            first, sizes = self.first[heavy[at:to]], self.sizes[heavy[at:to]]
+            starts = ranges(first, sizes + 4)
+            hashes = slice_hashes(self.block.data, starts, starts + span)
+            least = leftmost_min(hashes, 5)[ranges(np.cumsum(sizes + 4) - sizes - 4, sizes)]
+            head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+            out.append((ranges(first, sizes)[head], np.diff(np.append(head, len(least))), mix(hashes[least[head]] + np.uint64(1))))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def long_keys(self) -> np.ndarray:
+        """Sorted distinct long grams of the heavy contexts."""
+        _, heavy = self._hits()
+        return distinct(self.long_contexts(heavy)[2])
+
+    def in_use(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts whose gram occurs elsewhere, by gram and then place: first start, size, key, document, and of each the first equal one."""
+        light, heavy = self._hits()
+        first, sizes, keys = self.first[light], self.sizes[light], self.keys[light]
+        if len(heavy):
+            more = self.long_contexts(heavy)
+            known, _, _, place = grouped(more[2], np.arange(len(more[2])))
+            used = ((np.bincount(place, minlength=len(known)) > 1) | shared_keys(known, self.block.answers.get("long", {}), self.counts.long))[place]
+            first, sizes, keys = (np.concatenate([x, y[used]]) for x, y in zip((first, sizes, keys), more, strict=True))
+        owner = np.searchsorted(self.block.offsets, first, side="right") - 1
+        order = np.lexsort([first - self.block.offsets[owner], self.docs[owner], keys])
+        first, sizes, keys, owner = first[order], sizes[order], keys[order], owner[order]
+        return first, sizes, keys, owner, first_equal(self.block.data, first, first + sizes + self.width - 1, keys)
 
     def contexts(self) -> Iterator[tuple[int, bytes]]:
         """The distinct contexts in use, for their buckets' ranges."""
-        used, equal = self.in_use()
-        used = used[equal == np.arange(len(used))]
-        begin = self.first[used]
-        lengths = self.sizes[used] + self.width - 1
-        inside = begin - self.block.offsets[self.owner[used]]
-        for bucket, a, b in split_sorted(self.keys[used], self.count):
-            data = gather(self.block.data, begin[a:b], lengths[a:b])
-            yield bucket, flat(self.keys[used[a:b]], self.docs[self.owner[used[a:b]]], inside[a:b], self.sizes[used[a:b]].astype(np.int32), data)
+        first, sizes, keys, owner, equal = self.in_use()
+        own = np.flatnonzero(equal == np.arange(len(equal)))
+        first, sizes, keys, owner = first[own], sizes[own], keys[own], owner[own]
+        lengths = sizes + self.width - 1
+        inside = first - self.block.offsets[owner]
+        for bucket, a, b in split_sorted(keys, self.counts.suffixes):
+            data = gather(self.block.data, first[a:b], lengths[a:b])
+            yield bucket, flat(keys[a:b], self.docs[owner[a:b]], inside[a:b], sizes[a:b].astype(np.int32), data)
 
     def removed(self) -> np.ndarray:
         """Which bytes a window covers that also starts earlier."""
-        used, equal = self.in_use()
-        later = equal != np.arange(len(used))
-        sent = used[~later]
-        dead = [ranges(self.first[used[later]], self.sizes[used[later]])]
-        for bucket, a, b in split_sorted(self.keys[sent], self.count):
+        first, sizes, keys, _, equal = self.in_use()
+        later = equal != np.arange(len(equal))
+        dead = [ranges(first[later], sizes[later])]
+        first, sizes, keys = first[~later], sizes[~later], keys[~later]
+        for bucket, a, b in split_sorted(keys, self.counts.suffixes):
             if bucket in self.block.answers.get("suffixes", {}):
-                starts = ranges(self.first[sent[a:b]], self.sizes[sent[a:b]])
+                starts = ranges(first[a:b], sizes[a:b])
                 dead.append(starts[np.unpackbits(unpack(self.block.answers["suffixes"][bucket])[0], count=len(starts)).astype(bool)])
         return covered(np.concatenate(dead), self.width, len(self.block.data))
 
 
+def seen_grams(payloads: list[bytes], heavy: int) -> list[bytes | None]:
+    """For each message of grams, the bits of those that another message has too, and of those in ``heavy`` different contexts or more."""
+    parts = [unpack(p) for p in payloads]
+    own = [unpack_keys(p[2:]) for p in parts]
+    keys, kinds, sign = np.concatenate(own), np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts])
+    order = np.lexsort([sign, keys])
+    ranked, sign = keys[order], sign[order]
+    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    fresh = head | np.concatenate([[True], sign[1:] != sign[:-1]])
+    heads = np.flatnonzero(head)
+    known, several = ranked[heads], np.diff(np.append(heads, len(ranked))) > 1
+    many = np.add.reduceat(kinds[order] - 1 + fresh, heads) >= heavy
+    out: list[bytes | None] = []
+    for k in own:
+        at = np.searchsorted(known, k)
+        out.append(pack(np.packbits(several[at]), np.packbits(many[at])) if (several | many)[at].any() else None)
+    return out
+
+
+def find_grams(blocks: Blocks, width: int, counts: Counts) -> None:
+    """Ask which grams occur elsewhere and, for heavy ones, which long grams do."""
+
+    def grams(block: Block) -> Iterator[tuple[int, bytes]]:
+        known, kinds, sign = _Suffixes(block, width, counts).grams()
+        for bucket, a, b in split_sorted(known, counts.grams):
+            yield bucket, flat(kinds[a:b], sign[a:b], *pack_keys(known[a:b]))
+
+    def long(block: Block) -> Iterator[tuple[int, bytes]]:
+        answers = (unpack(a)[1] for a in block.answers.get("grams", {}).values())
+        known = _Suffixes(block, width, counts).long_keys() if any(a.any() for a in answers) else np.zeros(0, np.uint64)
+        for bucket, a, b in split_sorted(known, counts.long):
+            yield bucket, flat(*pack_keys(known[a:b]))
+
+    blocks.ask("grams", grams, lambda payloads: seen_grams(payloads, counts.heavy))
+    blocks.ask("long", long, seen_twice)
+
+
 def sort_suffixes(payloads: list[bytes], width: int) -> list[bytes | None]:
     """For each message of contexts, the bits of the suffixes whose window stands earlier.
 
@@ -141,7 +245,7 @@ def sort_suffixes(payloads: list[bytes], width: int) -> list[bytes | None]:
     return out
 
 
-def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
+def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, heavy: int = HEAVY) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, removed_from, removed_to, kept (binary).
 
     Each byte is removed that is covered by a string of ``width`` bytes (40 at least) which also starts
@@ -150,22 +254,17 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bytes, ends exclusive; kept is all other bytes, which need not be valid UTF-8.
 
     Suffixes are dealt to buckets by the least 32-byte gram of their window. Grams that
-    occur once end there. The contexts of the others meet by bucket, equal ones joined
+    occur once end there, and one in ``heavy`` different contexts or more, about, is split by longer grams. The contexts of the others meet by bucket, equal ones joined
     first within their block, and each range of buckets is sorted blockwise: 8 bytes
     first, long ties by ranks of a difference-cover sample (``suffix``); neighbours in that order are compared
     byte by byte. Memory is that of one range's distinct contexts.
 
-    A null text is empty; texts shorter than ``width`` keep everything. A null id comes
+    A null text is empty; texts shorter than ``width`` keep everything. Ids are integers; a null id comes
     before all others. Of rows with one id, places decide, and between equal places both are kept or removed by the
     order in which they are read. An empty table gives no rows; other columns are ignored.
     """
     blocks = Blocks(docs, id_col, text_col, "suffix_dedup")
-    counts = (blocks.ranges(64 << 20), blocks.ranges(4 << 20))
-
-    def grams(block: Block) -> Iterator[tuple[int, bytes]]:
-        known = distinct(_Suffixes(block, width, counts).keys)
-        for bucket, a, b in split_sorted(known, counts[0]):
-            yield bucket, flat(*pack_keys(known[a:b]))
+    counts = Counts(blocks.ranges(64 << 20), blocks.ranges(64 << 20), blocks.ranges(4 << 20), heavy)
 
     def result(block: Block) -> Iterator[pa.RecordBatch]:
         gone = _Suffixes(block, width, counts).removed()
@@ -183,7 +282,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for at in range(0, len(total), 1000):
             yield pa.RecordBatch.from_arrays([c.slice(at, 1000) for c in columns], names=["id", "n_bytes", "n_removed", "removed_from", "removed_to", "kept"])
 
-    blocks.ask("grams", grams, seen_twice)
+    find_grams(blocks, width, counts)
     blocks.ask("suffixes", lambda block: _Suffixes(block, width, counts).contexts(), lambda payloads: sort_suffixes(payloads, width))
     out = blocks.map(result, "id long, n_bytes long, n_removed long, removed_from array<long>, removed_to array<long>, kept binary")
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
