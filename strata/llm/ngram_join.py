@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.blocks import NULL_ID, Block, Blocks, flat, pack, pack_keys, split_sorted, unpack, unpack_keys
+from strata.llm.blocks import NULL_ID, Block, Blocks, flat, pack, pack_keys, split_sorted, unbundle, unpack, unpack_keys
 from strata.llm.components import components
 from strata.llm.stats import ids_of
 from strata.llm.text import lower, mix, pair, ranges, slice_hashes, window_hashes, window_ok, word_spans
 
-#: Postings of one key that meet in one place at most; a longer list is cut into parts that meet pairwise.
-PART = 2000
-#: Elements of the sets that meet in one place for verification, about.
-ELEMENTS = 1 << 21
+#: Postings of one key, or sets of one family, that meet in one place at most; more are cut into parts that meet pairwise.
+PART = 1000
+#: Keys of the sets that meet in one place for verification, about.
+ELEMENTS = 1 << 20
 _PARITY_WORDS = 4
 
 
@@ -114,33 +114,59 @@ def _postings_families(payloads: list[bytes], percent: int) -> tuple[np.ndarray,
     return docs[:, 0], docs[:, 1], docs[:, 2], size[first], docs[root, 0]
 
 
-def verify_links(sets: list[np.ndarray], sides: np.ndarray, across: bool, percent: int) -> np.ndarray:
-    """Label of each set, by links of Jaccard similarity of percent / 100 or more; if across, only between sides.
+def share(mine: np.ndarray, other: np.ndarray) -> int:
+    """How many keys two sorted sets have in common."""
+    if not len(mine) or not len(other):
+        return 0
+    at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+    return int((mine[at] == other).sum())
 
-    A pair that earlier links have joined needs no verification; others are
+
+def similar(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    return (100 + percent) * share(mine, other) >= percent * (len(mine) + len(other))
+
+
+def _rare_prefixes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set the keys, rare first among these sets, that any link must touch: keys, sets (both by key, then set), and where each key's list begins."""
+    size = np.array([len(s) for s in sets], np.int64)
+    every, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), size)
+    _, place, often = np.unique(every, return_inverse=True, return_counts=True)
+    order = np.lexsort([every, often[place], owner])
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    first = order[rank < np.repeat(size - -(-percent * size // 100) + 1, size)]
+    key, who = place[first], owner[first]
+    by = np.lexsort([who, key])
+    key, who = key[by], who[by]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key, who, np.repeat(head, np.diff(np.append(head, len(key))))
+
+
+def verify_links(sets: list[np.ndarray], sides: np.ndarray, across: bool, percent: int, labels: np.ndarray | None = None) -> np.ndarray:
+    """Label of each sorted set, by links of Jaccard similarity of percent / 100 or more; if across, only between sides.
+
+    ``labels``: those that earlier links have given. Only pairs that share a prefix key are
+    candidates; one whose labels links have joined needs no verification, any other is
     verified once, after the length filter and a bound from parity bitmaps.
     """
-    size = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(size, kind="stable")
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    bits = parity(np.concatenate([*sets, np.zeros(0, np.uint64)]), bounds, 8)[order]
-    n, side = size[order], sides[order]
-    label = np.arange(len(sets))
+    order = np.argsort(np.array([len(s) for s in sets], np.int64), kind="stable")
+    ranked = [sets[i] for i in order.tolist()]
+    n, side = np.array([len(s) for s in ranked], np.int64), sides[order]
+    bits = parity(np.concatenate([*ranked, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(n)]), 8)
+    label = np.arange(len(sets)) if labels is None else np.unique(labels, return_inverse=True)[1].ravel()[order]
+    _, who, begin = _rare_prefixes(ranked, percent)
+    by = np.argsort(who, kind="stable")
+    bounds = np.searchsorted(who[by], np.arange(len(sets) + 1))
     for i in range(1, len(sets)):
-        j = np.arange(int(np.searchsorted(n[:i] * 100, percent * n[i])), i)
-        j = j[label[j] != label[i]]
+        entries = by[bounds[i] : bounds[i + 1]]
+        # Sets ascend by size inside a key's list: those before i's entry are no larger.
+        j = np.unique(who[ranges(begin[entries], entries - begin[entries])])
+        j = j[(label[j] != label[i]) & (n[j] * 100 >= percent * n[i])]
         j = j[side[j] != side[i]] if across else j
         most = (n[i] + n[j] - np.bitwise_count(bits[j] ^ bits[i]).sum(1)) // 2
         fits = (100 + percent) * most >= percent * (n[i] + n[j])
         j, most = j[fits], most[fits]
-        mine = sets[order[i]]
         for k in j[np.argsort(-most, kind="stable")].tolist():
-            if label[k] == label[i]:
-                continue
-            other = sets[order[k]]
-            at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-            common = int((mine[at] == other).sum())
-            if (100 + percent) * common >= percent * (len(mine) + len(other)):
+            if label[k] != label[i] and similar(ranked[i], ranked[k], percent):
                 label[label == label[k]] = label[i]
     out = np.empty(len(sets), np.int64)
     out[order] = label
@@ -234,12 +260,12 @@ class _Sets:
         return keys[prefix], often[prefix], rows[keep][owner[prefix]], size[keep][owner[prefix]], place[prefix], after[used]
 
 
-def _spread(often: np.ndarray, rows: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spread(often: np.ndarray, rows: np.ndarray, number: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, cell, side): where items of keys with long lists go. Cell -1: a short list's only place.
 
-    A list of more than PART is dealt to parts; each two of them, and each with itself, meet in a cell.
+    A list of more than ``part`` is dealt to parts; each two of them, and each with itself, meet in a cell.
     """
-    parts = -(-often // PART)
+    parts = -(-often // part)
     short = np.flatnonzero(parts < 2)
     items, cells, sides = [short], [np.full(len(short), -1)], [np.zeros(len(short), np.int64)]
     for item in np.flatnonzero(parts > 1).tolist():
@@ -257,6 +283,7 @@ def _spread(often: np.ndarray, rows: np.ndarray, number: int) -> tuple[np.ndarra
 def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
     """id, n_shingles, component_id, block_id and row of every document."""
     counts = {"classes": blocks.ranges(1 << 30), "frequency": blocks.ranges(16 << 20), "postings": blocks.ranges(16 << 20)}
+    part, elements = PART, ELEMENTS
     stage = blocks.stage
 
     def classes(block: Block) -> Iterator[tuple[int, bytes]]:
@@ -292,7 +319,7 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
 
     def postings(block: Block) -> Iterator[tuple[int, bytes]]:
         key, often, row, size, place, after = _Sets(block, n, counts).postings(percent)
-        item, cell, side = _spread(often, row, block.number)
+        item, cell, side = _spread(often, row, block.number, part)
         # A cell of a long list is a place of its own.
         at = np.where(cell == -1, key[item], mix(key[item] + cell.astype(np.uint64)))
         order = np.argsort(at, kind="stable")
@@ -303,7 +330,7 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
             yield bucket, flat(key[own], cell[a:b], side[a:b], block.ids[row[own]], row[own], size[own], place[own], block_number, after[own])
 
     def families(group: pa.Table) -> pa.Table:
-        ids, block, row, size, root = _postings_families(group["payload"].to_pylist(), percent)
+        ids, block, row, size, root = _postings_families(unbundle(group["payload"].to_pylist())[1], percent)
         return pa.table({"a": ids, "b": root, "block_id": block, "row": row, "size": size})
 
     blocks.ask("classes", classes, least)
@@ -314,45 +341,108 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
     blocks.answers.pop("frequency")
     family = components(near, stage, "family")
     nodes = near.select(F.col("a").alias("id"), "block_id", "row", "size").distinct().join(family, "id")
-    sums = nodes.groupBy("component").agg(F.sum("size").alias("elements"), F.count(F.lit(1)).alias("members"))
-    nodes = nodes.join(sums, "component")
-
-    def told(group: pa.Table) -> pa.Table:
-        data = pack(*(group[c].to_numpy() for c in ("row", "component", "elements", "members")))
+    # The member of about the mean size stands for its family and is held against every other one, in their blocks.
+    means = nodes.groupBy("component").agg(F.avg("size").alias("mean"))
+    chosen = nodes.join(means, "component").groupBy("component").agg(F.min(F.struct(F.abs(F.col("size") - F.col("mean")), "id", "block_id", "row")).alias("rep"))
+    nodes = stage.put(nodes.join(chosen, "component").select("component", "id", "block_id", "row", "size", F.col("rep.id").alias("rep"), F.col("rep.block_id").alias("rep_block"), F.col("rep.row").alias("rep_row")), "nodes")
+
+    def told(*columns: str) -> Callable[[pa.Table], pa.Table]:
+        def one(group: pa.Table) -> pa.Table:
+            data = pack(*(group[c].to_numpy() for c in columns))
+            return pa.table({"block_id": group["block_id"].slice(0, 1), "bucket": pa.array([0], pa.int32()), "payload": pa.array([data], pa.binary()), "totals": pa.array([None], pa.list_(pa.int64()))})
+
+        return one
+
+    def answer(name: str, rows: DataFrame, *columns: str) -> None:
+        blocks.answers[name] = stage.put(rows.groupBy("block_id").applyInArrow(told(*columns), "block_id long, bucket int, payload binary, totals array<long>"), name)
+
+    def forget(*names: str) -> None:
+        for name in names:
+            blocks.answers.pop(name)
+        stage.drop(*names)
+
+    def of_rows(name: str) -> Callable[[Block], Iterator[pa.RecordBatch]]:
+        def given(block: Block) -> Iterator[pa.RecordBatch]:
+            """family and the keys of the rows that the answer names."""
+            if 0 in block.answers.get(name, {}):
+                row, family_ = unpack(block.answers[name][0])
+                sets = _Sets(block, n, counts)
+                for at in range(0, len(row), 500):
+                    keys = [sets.keys[sets.offsets[r] : sets.offsets[r + 1]].tobytes() for r in row[at : at + 500].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(family_[at : at + 500]), pa.array(keys, pa.binary())], names=["family", "keys"])
+
+        return given
+
+    answer("rep_rows", nodes.where("id = rep AND block_id = rep_block AND row = rep_row"), "row", "component")
+    reps = stage.put(blocks.map(of_rows("rep_rows"), "family long, keys binary"), "reps")
+    forget("rep_rows")
+    others = nodes.where("NOT (id = rep AND block_id = rep_block AND row = rep_row)")
+    answer("others", others, "row", "component", "rep")
+
+    def rep_sets(group: pa.Table) -> pa.Table:
+        sizes = np.array([len(k) // 8 for k in group["keys"].to_pylist()], np.int64)
+        data = pack(group["family"].to_numpy(), sizes, np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint64))
         return pa.table({"block_id": group["block_id"].slice(0, 1), "bucket": pa.array([0], pa.int32()), "payload": pa.array([data], pa.binary()), "totals": pa.array([None], pa.list_(pa.int64()))})
 
-    blocks.answers["family"] = stage.put(nodes.groupBy("block_id").applyInArrow(told, "block_id long, bucket int, payload binary, totals array<long>"), "family_of_row")
+    sent = others.select(F.col("component").alias("family"), "block_id").distinct().join(reps, "family")
+    blocks.answers["rep_sets"] = stage.put(sent.groupBy("block_id").applyInArrow(rep_sets, "block_id long, bucket int, payload binary, totals array<long>"), "rep_sets")
+
+    def star(block: Block) -> Iterator[pa.RecordBatch]:
+        if 0 not in block.answers.get("others", {}):
+            return
+        row, family_, rep = unpack(block.answers["others"][0])
+        known, sizes, keys = unpack(block.answers["rep_sets"][0])
+        ends = np.cumsum(sizes)
+        of = {f: keys[b - s : b] for f, s, b in zip(known.tolist(), sizes.tolist(), ends.tolist(), strict=True)}
+        sets = _Sets(block, n, counts)
+        linked = [similar(of[f], sets.keys[sets.offsets[r] : sets.offsets[r + 1]], percent) for r, f in zip(row.tolist(), family_.tolist(), strict=True)]
+        columns = [pa.array(block.ids[row]), pa.array(family_), pa.array(rep), pa.array(np.full(len(row), block.number)), pa.array(row), pa.array(sets.size[row]), pa.array(linked, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "family", "rep", "block_id", "row", "size", "linked"])
+
+    tried = stage.put(blocks.map(star, "id long, family long, rep long, block_id long, row long, size long, linked boolean"), "star")
+    forget("others", "rep_sets")
+    # What isn't linked to its family's member meets all the rest of the family.
+    count = lambda f: [F.count(F.when(f, 1)).alias("m"), F.coalesce(F.sum(F.when(f, F.col("size"))), F.lit(0)).alias("e")]
+    sums = tried.groupBy("family").agg(*(c.alias(x) for c, x in zip([*count(~F.col("linked")), *count(F.col("linked"))], ("mu", "eu", "ml", "el"), strict=True))).where("mu > 0 AND mu + ml > 1")
+    cut = lambda m, e: F.greatest(F.ceil(F.col(m) / part), F.ceil(F.col(e) / elements)).cast("long")
+    left = tried.join(sums.select("family", cut("mu", "eu").alias("apart"), cut("ml", "el").alias("joined")), "family")
+    answer("left", left.withColumn("linked", F.col("linked").cast("long")), "row", "family", "linked", "apart", "joined")
 
     def members(block: Block) -> Iterator[pa.RecordBatch]:
-        if 0 not in block.answers.get("family", {}):
+        if 0 not in block.answers.get("left", {}):
             return
-        row, family_, elements, count = unpack(block.answers["family"][0])
         sets = _Sets(block, n, counts)
-        out: list[tuple[int, int, int, int, bytes]] = []
-        for r, f, e, c in zip(row.tolist(), family_.tolist(), elements.tolist(), count.tolist(), strict=True):
-            parts = max(-(-e // ELEMENTS), -(-c // PART))
-            own = int(mix(np.array([r * 2654435761 + block.number], np.int64).astype(np.uint64))[0] % np.uint64(parts))
+        out: list[dict[str, object]] = []
+        for r, f, linked, apart, joined in zip(*(x.tolist() for x in unpack(block.answers["left"][0])), strict=True):
+            own = int(mix(np.array([r * 2654435761 + block.number], np.int64).astype(np.uint64))[0] % np.uint64(joined if linked else apart))
             data = sets.keys[sets.offsets[r] : sets.offsets[r + 1]].tobytes()
-            out += [(f, min(own, o) * parts + max(own, o), own, int(block.ids[r]), data) for o in range(parts)]
+            # Parts of the unlinked are numbered first, then those of the linked; a cell is a pair of parts.
+            pairs = [(u, apart + own) for u in range(apart)] if linked else [(min(own, u), max(own, u)) for u in range(apart)] + [(own, apart + k) for k in range(joined)]
+            side = apart + own if linked else own
+            out += [{"family": f, "cell": a << 32 | b, "side": side, "id": int(block.ids[r]), "linked": bool(linked), "keys": data} for a, b in pairs]
             if len(out) > 500:
-                yield pa.RecordBatch.from_pylist([dict(zip(("family", "cell", "side", "id", "keys"), x, strict=True)) for x in out], schema=_MEMBER)
+                yield pa.RecordBatch.from_pylist(out, schema=_MEMBER)
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("family", "cell", "side", "id", "keys"), x, strict=True)) for x in out], schema=_MEMBER)
+            yield pa.RecordBatch.from_pylist(out, schema=_MEMBER)
 
     def verified(group: pa.Table) -> pa.Table:
         group = group.sort_by([("id", "ascending"), ("side", "ascending")])
-        ids, sides = group["id"].to_numpy(), group["side"].to_numpy()
-        label = verify_links([np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()], sides, len(np.unique(sides)) > 1, percent)
+        ids, sides, linked = group["id"].to_numpy(), group["side"].to_numpy(), group["linked"].to_numpy()
+        before = np.where(linked, -1, np.arange(len(ids)))
+        cell = group["cell"][0].as_py()
+        label = verify_links([np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()], sides, cell >> 32 != cell & 0xFFFFFFFF, percent, before)
         order = np.lexsort([ids, label])
         head = np.concatenate([[True], label[order][1:] != label[order][:-1]])
         least_ = np.empty(len(ids), np.int64)
         least_[order] = ids[order[head]][np.cumsum(head) - 1]
-        linked = least_ != ids
-        return pa.table({"a": ids[linked], "b": least_[linked]})
+        joined = least_ != ids
+        return pa.table({"a": ids[joined], "b": least_[joined]})
 
-    sent = blocks.map(members, "family long, cell long, side long, id long, keys binary")
-    links = stage.put(sent.groupBy("family", "cell").applyInArrow(verified, "a long, b long"), "links")
+    met = blocks.map(members, "family long, cell long, side long, id long, linked boolean, keys binary").groupBy("family", "cell").applyInArrow(verified, "a long, b long")
+    links = stage.put(met.unionByName(tried.where("linked").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links")
+    forget("left")
+    stage.drop("star", "reps", "nodes", "near")
     joined = components(links, stage, "linked").select(F.col("id").alias("leader"), "component")
 
     def rows(block: Block) -> Iterator[pa.RecordBatch]:
@@ -365,7 +455,7 @@ def _link_documents(blocks: Blocks, n: int, percent: int) -> DataFrame:
     return every.join(joined, "leader", "left").select("id", "n_shingles", F.coalesce("component", "leader").alias("component_id"), "block_id", "row")
 
 
-_MEMBER = pa.schema([("family", pa.int64()), ("cell", pa.int64()), ("side", pa.int64()), ("id", pa.int64()), ("keys", pa.binary())])
+_MEMBER = pa.schema([("family", pa.int64()), ("cell", pa.int64()), ("side", pa.int64()), ("id", pa.int64()), ("linked", pa.bool_()), ("keys", pa.binary())])
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -376,17 +466,18 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id stands for all. Each set's grams are ordered rare first by their exact frequency among classes; only the prefix that any link must
     touch is sent, and only grams that another class has. Where prefix grams meet, candidates pass the
     length, positional and suffix filters (the last by parity bitmaps of what follows the gram) and form
-    families; a family's sets then meet once and each pair of them that no other links have joined is verified
-    once. Long posting lists and large families are cut into parts that meet pairwise, so no task holds an unbounded group.
+    families. A family's member of about the mean size is sent to the blocks of the others and each is verified against it, so a large group of near copies
+    costs one comparison a member. Sets not linked to it meet the rest of the family, where pairs that share a prefix gram
+    and that no links have joined yet are verified once. Long posting lists and large families are cut into parts that meet pairwise, so no task holds an unbounded group.
 
-    A null or empty text has no set and is linked with nothing; one of fewer than n words has its whole sequence as one gram. A null
+    Ids are integers. A null or empty text has no set and is linked with nothing; one of fewer than n words has its whole sequence as one gram. A null
     id comes before all others. Rows with the same id are one document for links. An empty
     table gives no rows; other columns are ignored.
     """
     blocks = Blocks(docs, id_col, text_col, "ngram_join")
     out = _link_documents(blocks, n, percent).select("id", "n_shingles", "component_id")
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return blocks.finish(out.select(null("id"), "n_shingles", null("component_id")).withColumnRenamed("id", id_col), "near", "links")
+    return blocks.finish(out.select(null("id"), "n_shingles", null("component_id")).withColumnRenamed("id", id_col), "links")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -153,6 +153,25 @@ def test_pairs_across_sides_only():
     assert len(set(verify_links(sets[:2], np.array([0, 0]), True, 80))) == 2
 
 
+def test_links_of_cells_are_those_of_all_pairs():
+    rng = np.random.default_rng(9)
+    for percent in (50, 80, 95):
+        base = [rng.choice(200, rng.integers(1, 40), replace=False) for _ in range(12)]
+        sets = []
+        for _ in range(80):
+            own = base[rng.integers(0, 12)]
+            own = np.union1d(own[rng.random(len(own)) < 0.9], rng.integers(0, 300, rng.integers(0, 4)))
+            sets.append(own.astype(np.uint64))
+        label = np.arange(80)
+        for i in range(80):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    label[label == label[i]] = label[j]
+        got = verify_links(sets, np.zeros(80), False, percent)
+        assert (np.equal.outer(got, got) == np.equal.outer(label, label)).all()
+
+
 def test_op4_counts_and_verdicts(spark, sf_dir, awkward, empty):
     got = by_id(queries.op4_quality_rules(spark, sf_dir), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for i, text in rows_of(spark, sf_dir):
