@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.text import by_bytes, ranges, slice_hashes, utf8, word_spans
+from strata.llm.text import WORD, by_bytes, ranges, slice_hashes, utf8, word_spans
 
 #: Words whose ids a worker remembers, about 40 bytes each.
 REMEMBERED = 1_500_000
-PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long"
+PIECES = "deal int, doc_id {id}, start long, length long, ids binary, doc_tokens long"
 
 
 class WordTokenizer:
@@ -32,6 +33,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        for text in ("a b", " a b", "a  b", "a\tb\n", "Ab, cd.  e", "\u00a0a b"):
+            whole = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if whole != [i for w in re.findall(WORD, text) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
+                raise ValueError(f"this tokenizer's ids of a word depend on the white space around it: {text!r}")
         plain = [t for t in json.loads(definition).get("added_tokens", []) if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.mark, self.mark_id = (plain[-1]["content"], plain[-1]["id"]) if plain else (None, None)
         self._forget()
@@ -174,14 +179,17 @@ def lay_out(sizes: np.ndarray, capacity: int, loose: int) -> list[tuple[int, int
     return out
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``longest`` ids of each document: doc_id, start, length, ids (little-endian, 32 bits), doc_tokens."""
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int, groups: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of at most ``longest`` ids of each document: deal, doc_id, start, length, ids (little-endian, 32 bits), doc_tokens.
+
+    ``deal`` is the group that the hash of the document's id and text gives it.
+    """
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = own_tokenizer(definition.value)
-        for batch in by_bytes(batches, 1, 4 << 20):
-            ids, bounds = tokenizer.encode(batch.column(1), end_id)
+        for batch in by_bytes(batches, 2, 4 << 20):
+            ids, bounds = tokenizer.encode(batch.column(2), end_id)
             total = np.diff(bounds)
             count = -(-total // longest)
             doc = np.repeat(np.arange(len(total)), count)
@@ -189,11 +197,13 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int, id
             length = np.minimum(total[doc] - start, longest)
             at = (bounds[:-1][doc] + start).tolist()
             raw = [ids[a : a + n].tobytes() for a, n in zip(at, length.tolist(), strict=True)]
-            columns = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(total[doc])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens"])
+            columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(total[doc])]
+            yield pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "length", "ids", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, PIECES.format(id=kind))
+    text = F.col(text_col).cast("string")
+    deal = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.lit(seed)), F.lit(groups)).cast("int")
+    return docs.select(deal.alias("deal"), F.col(id_col).alias("doc_id"), text.alias("t")).mapInArrow(run, PIECES.format(id=kind))
 
 
 def pack_documents(
@@ -210,7 +220,7 @@ def pack_documents(
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A document is its ids (without special tokens) and ``end_id``. It is cut after every
-    ``capacity`` ids; the pieces are dealt by hash to groups of about ``group_bytes`` of text, and each group is packed on its own by
+    ``capacity`` ids; documents are dealt by hash to groups of about ``group_bytes`` of text, and each group's pieces are packed on their own by
     first-fit decreasing. Sequences with more than ``loose`` free places are cut
     again (see ``lay_out``), so each group pads ``loose`` places a sequence at most. ``ids`` are
     little-endian 32-bit numbers; ``offset`` is the piece's place in its sequence, from 0 and without gaps.
@@ -220,8 +230,7 @@ def pack_documents(
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
     groups = int(max(min(64, -(-size // (1 << 20))), -(-size // group_bytes), 1))
-    pieces = tokenize(docs, tokenizer_path, end_id, capacity, id_col, text_col)
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "start", "length", F.lit(seed)), F.lit(groups)).cast("int"))
+    dealt = tokenize(docs, tokenizer_path, end_id, capacity, groups, seed, id_col, text_col)
 
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("start", "ascending")])
@@ -230,6 +239,7 @@ def pack_documents(
         item, first, length, sequence, offset = (np.array([r[k] for r in rows], np.int64) for k in range(5))
         take = pa.array(item)
         return pa.table({
+            "deal": group["deal"].take(take),
             "doc_id": group["doc_id"].take(take),
             "start": start[item] + first,
             "length": length,
@@ -241,4 +251,4 @@ def pack_documents(
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = dealt.groupBy("deal").applyInArrow(pack, PIECES.format(id=kind) + ", sequence_id long, offset long")
-    return out.withColumnRenamed("doc_id", id_col)
+    return out.drop("deal").withColumnRenamed("doc_id", id_col)

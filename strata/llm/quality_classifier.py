@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.mil import Attention, fit_attention
-from strata.llm.quality_rules import sample_labels
+from strata.llm.quality_rules import labelled_texts, sample_labels
+from strata.llm.staging import Stage
 from strata.llm.stats import FEATURES, segment_features
 from strata.llm.text import by_bytes, slice_hashes, utf8, word_spans
 
@@ -46,8 +47,11 @@ def held_out_part(id_col: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, held_part: int, most: int) -> Attention:
-    """A model fitted to at most ``most`` labelled documents outside the held-out part."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, held_part: int, most: int, most_bytes: int) -> Attention:
+    """A model fitted to at most ``most`` labelled documents, of ``most_bytes`` together, outside the held-out part.
+
+    Documents longer than a sixteenth of ``most_bytes`` are not fitted.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2):
@@ -56,9 +60,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["id", "y", "x"])
 
     open_ = labels.where(held_out_part(F.col(id_col), parts) != held_part)
-    chosen = F.broadcast(sample_labels(open_, id_col, label_col, most).withColumn("id", F.col("id").cast("string")))
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).join(chosen, "id").select("id", "y", "t")
+    stage = Stage(docs.sparkSession, "quality_classifier")
+    rows = labelled_texts(docs, sample_labels(open_, id_col, label_col, most), id_col, text_col, most_bytes, stage)
     found = rows.mapInArrow(encode, "id string, y double, x array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    stage.clear()
     x = found["x"].combine_chunks()
     sizes = np.diff(x.offsets.to_numpy()) // WIDTH if len(found) else np.zeros(0, int)
     return fit_attention(np.asarray(x.flatten(), dtype=np.float64).reshape(-1, WIDTH), np.concatenate([[0], np.cumsum(sizes)]), found["y"].to_numpy())
@@ -74,19 +79,20 @@ def classify_quality(
     parts: int = 4,
     held_part: int = 2,
     fit_rows: int = 3000,
+    fit_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row per document: id, held_out, score in [0, 1] and predicted (1 if score >= accept_at).
 
     Every passage of the whole text is encoded and gets a gated attention
     weight; the score is of the weighted sum of the passages. Learned from at most
-    ``fit_rows`` labelled documents outside the held-out part (crc32 of the id as text, modulo ``parts``,
+    ``fit_rows`` labelled documents (``fit_bytes`` of text) outside the held-out part (crc32 of the id as text, modulo ``parts``,
     equals ``held_part``), chosen by hash; only texts enter the model.
 
     A null text is empty, and an empty text is a document of one passage without words. Null labels
     and labels of unknown ids are ignored; without any label all scores are
     0.5. Repeated rows are scored one by one; an empty table gives no rows.
     """
-    model = fit_quality(docs, labels, id_col, text_col, label_col, parts, held_part, fit_rows)
+    model = fit_quality(docs, labels, id_col, text_col, label_col, parts, held_part, fit_rows, fit_bytes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2):
@@ -110,9 +116,10 @@ def drop_low_quality(
     parts: int = 4,
     held_part: int = 2,
     fit_rows: int = 3000,
+    fit_bytes: int = 64 << 20,
 ) -> DataFrame:
     """The rows of docs that ``classify_quality`` predicts as 1, with all their columns; nothing is shuffled."""
-    model = fit_quality(docs, labels, id_col, text_col, label_col, parts, held_part, fit_rows)
+    model = fit_quality(docs, labels, id_col, text_col, label_col, parts, held_part, fit_rows, fit_bytes)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCOPES: list[list[Stage]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end all that operators called inside have staged: their results must have been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for stage in _SCOPES.pop():
+            stage.clear()
+
+
 class Stage:
     """Staged tables of one operator call, below one folder of their own."""
 
@@ -33,6 +49,8 @@ class Stage:
         self.key = f"{name}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_dir(spark)}/{self.key}"
         self.tables: list[str] = []
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back."""
@@ -53,8 +71,14 @@ class Stage:
             for table in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
             self.tables = []
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        """Delete all that was staged here."""
+        self.drop()
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

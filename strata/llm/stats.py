@@ -76,13 +76,17 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def segment_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, segments: np.ndarray) -> np.ndarray:
-    """FEATURES of the segments [segments[i], segments[i + 1]) of words: an array of n rows."""
+    """FEATURES of the segments [segments[i], segments[i + 1]) of words, each from its first word to the end of its last: an array of n rows."""
     n = len(segments) - 1
     count = np.diff(segments)
     some = np.maximum(count, 1).astype(np.float64)
-    bound = np.concatenate([starts, [len(data)]])
-    at = bound[segments]
-    summed = {k: np.diff(np.concatenate([[0], np.cumsum(c[data], dtype=np.int32 if len(data) < 2**31 else np.int64)])[at]).astype(np.float64) for k, c in _CLASSES.items()}
+    held = np.flatnonzero(count)
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first[held], last[held] = starts[segments[held]], ends[segments[held + 1] - 1]
+    summed = {}
+    for k, c in _CLASSES.items():
+        running = np.concatenate([[0], np.cumsum(c[data], dtype=np.int32 if len(data) < 2**31 else np.int64)])
+        summed[k] = (running[last] - running[first]).astype(np.float64)
     chars = np.maximum(summed["tail"], 1)
     hashes = slice_hashes(data, starts, ends)
     owner = ids_of(segments)

@@ -111,7 +111,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Each level sends a key once per block, see ``blocks``.
 
     A null or empty text, and one of fewer words than the window, keeps all
-    its words. A null id comes before all others. Rows with the same id are
+    its words. Ids are integers; a null id comes before all others. Rows with the same id are
     the same document to each other, so nothing is removed for the sake of one of them. An empty table
     gives no rows; other columns are ignored. Hash level keys cover all windows, at any size.
     """

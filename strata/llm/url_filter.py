@@ -169,7 +169,7 @@ def filter_urls(
     paths = stage.put(rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), blocked.alias("blocked"), allowed.alias("allowed")), "paths")
     grown = generalise(stage, paths, many, each, wide)
     tree = stage.put(grown.groupBy("host", "labels").agg(*(F.sum(c).alias(c) for c in ("n", "blocked", "allowed"))), "tree")
-    found = judge_templates(merge_similar(stage, tree, z), weight, reject)
+    found = stage.put(judge_templates(merge_similar(stage, tree, z), weight, reject), "judged")
     found = stage.put(grown.select("host", "segments", "labels").join(found, ["host", "labels"]).drop("labels"), "found")
     out = rows.join(found, ["host", "segments"])
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", "found").alias("verdict"), "template", "purity")

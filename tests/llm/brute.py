@@ -105,3 +105,58 @@ class PairModel:
         own = self.tokens[i]
         held = zlib.crc32(str(i).encode()) % 10 == 0
         return held, len(own), sum(self.one[w] > 0 for w in own), self.total, sum(math.log10(self.base(w)) for w in own), sum(math.log10(self.after(h, w)) for h, w in zip([None, *own], own))
+
+
+def features(text_words, text):
+    """The plain form of stats.FEATURES for some consecutive words of a text and the bytes from the first to the last of them."""
+    n, some = len(text_words), max(len(text_words), 1)
+    raw = text.encode()
+    chars = max(len(text), 1)
+    share = lambda members: sum(b in members for b in raw) / chars
+    back = [sum(text_words[i] == text_words[i - k] for i in range(k, n)) / some for k in (1, 2)]
+    return [
+        math.log1p(n), len(text) / some, share(b"#*$%&|<>"), share(range(65, 91)), share(range(48, 58)), share(b".?,;:"), share(b"!"), share(b"{}[]()=/\\_@~^\""),
+        1 - (n - len(set(text_words))) / some, *back, sum(len(w.encode()) > 24 for w in text_words) / some,
+    ]
+
+
+def spans(text):
+    return [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+def tree_features(text):
+    at, found = spans(text), counts(text)
+    some = max(found[0], 1)
+    return [*features(words(text), (text or "")[at[0][0] : at[-1][1]] if at else ""), found[4] / some, found[3] / some]
+
+
+def tree_score(trees, x):
+    """One text through every tree, node by node."""
+    margin = trees.base
+    for root in trees.roots.tolist():
+        node = root
+        while trees.left[node] != node:
+            node = int(trees.left[node] if x[trees.feature[node]] <= trees.threshold[node] else trees.right[node])
+        margin += trees.value[node]
+    return 1 / (1 + math.exp(-margin))
+
+
+def attention_score(model, text, passage, buckets, hashed):
+    """One text through the network, passage by passage; ``hashed`` gives a word's 64-bit hash."""
+    at, own = spans(text), words(text)
+    rows = []
+    for k in range(0, max(len(own), 1), passage):
+        some = own[k : k + passage]
+        bag = np.zeros(buckets)
+        for w in some:
+            h = hashed(w)
+            bag[h % buckets] += 1 if h >> 63 else -1
+        rows.append([*features(some, text[at[k][0] : at[k + len(some) - 1][1]] if some else ""), *bag / math.sqrt(max(len(some), 1))])
+    x = np.clip((np.array(rows) - model.mean) / model.spread, -8, 8)
+    p, weights, states = model.p, [], []
+    for row in x:
+        h = np.tanh(row @ p["w"] + p["b"])
+        weights.append(math.exp(float(np.tanh(h @ p["v"]) * (1 / (1 + np.exp(-(h @ p["u"])))) @ p["a"])))
+        states.append(h)
+    z = sum(w * h for w, h in zip(weights, states, strict=True)) / sum(weights)
+    return 1 / (1 + math.exp(-float(z @ p["c"] + p["d"][0])))
