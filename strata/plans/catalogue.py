@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
 from strata.operators import diff, fold, grid, joins, layout, resolve, sequence
 from strata.plans.quality import coverage
+from strata.plans.registry import ORACLE, QUERIES, query, t  # noqa: F401
 from strata.sources import markup, svg
 from strata.streaming.incremental import recompute
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 #: A total order of a line item within its order.
 ITEM = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 _ITEM = ", ".join(ITEM)
@@ -78,10 +58,10 @@ def _(spark, sf):
     """
     SELECT doc_id, upper(replace(w, 'ß', 'SS')) AS upper, lower(w) AS lower, upper(replace(w[1], 'ß', 'SS')) || w[2:] AS first_cap,
            array_to_string(list_transform(string_split(w, ' '), lambda x: upper(replace(x[1], 'ß', 'SS')) || x[2:]), ' ') AS caps
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS w FROM documents)""",
+    FROM (SELECT doc_id, coalesce(text, '') AS w FROM documents)""",
 )
 def _(spark, sf):
-    w = F.split(F.coalesce("text", F.lit("")), "\n")[0]
+    w = F.coalesce("text", F.lit(""))
     return t(spark, sf, "documents").select("doc_id", w.alias("w")).select("doc_id", F.upper("w").alias("upper"), F.lower("w").alias("lower"), num.first_cap(F.col("w")).alias("first_cap"), num.caps(F.col("w")).alias("caps"))
 
 
