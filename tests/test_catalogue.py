@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from strata.plans.catalogue import ORACLE, QUERIES
+from strata.plans import catalogue, document, general, packages  # noqa: F401
+from strata.plans.registry import ORACLE, QUERIES
 
 pytestmark = pytest.mark.filterwarnings("ignore")
 
