@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +39,47 @@ def packed(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str,
     return df.groupBy(*keys).agg(F.aggregate(items, start, put).alias("__p")).select(*keys, F.col("__p.pages").alias("pages"), F.col("__p.fill").alias("last_fill"))
 
 
+def fold_pages(blocks: Sequence[tuple[int, int, bool, bool, bool]], room: int, widows: int) -> list[tuple[int, int, int, int]]:
+    """(block, first line, lines, page) of the pieces of (block, lines, keep_lines, keep_next, break_before), see ``paginate``."""
+    out: list[tuple[int, int, int, int]] = []
+    page, used, top, at, line = 1, 0, 0, 0, 0
+    while at < len(blocks):
+        block, lines, keep_lines, _, breaks = blocks[at]
+        if breaks and line == 0 and used:
+            page, used, top = page + 1, 0, at
+        left = lines - line
+        if used + left <= room:
+            if left:
+                out.append((block, line, left, page))
+            used, at, line = used + left, at + 1, 0
+            continue
+        n = room - used
+        if keep_lines and line == 0 and used:
+            n = 0
+        elif left - n < widows:
+            n = max(0, left - widows)
+        if line == 0 and 0 < n < widows:
+            n = 0
+        if n <= 0 and used:
+            back = at
+            while line == 0 and back > top and blocks[back - 1][3]:
+                back -= 1
+            if top < back < at:
+                # The blocks that move along stand whole at the end of this page.
+                moved = {blocks[k][0] for k in range(back, at)}
+                while out and out[-1][0] in moved:
+                    out.pop()
+                at = back
+            page, used, top = page + 1, 0, at
+            continue
+        n = max(1, min(n if n > 0 else room, left, room))
+        out.append((block, line, n, page))
+        page, used, line, top = page + 1, 0, line + n, at
+        if line >= lines:
+            at, line, top = at + 1, 0, at + 1
+    return out
+
+
 def paginate(blocks: DataFrame, room: int, widows: int = 2) -> DataFrame:
     """Pages of blocks of lines under keep rules: doc_id, block, first_line, lines, page for every piece.
 
@@ -47,50 +88,24 @@ def paginate(blocks: DataFrame, room: int, widows: int = 2) -> DataFrame:
     each side; a block that moves whole takes along those before it that keep with it. If a
     page would be left empty, the keeps are ignored there. One fold per document.
     """
+    told = F.struct("block", "lines", "keep_lines", "keep_next", "break_before")
+    return paginate_rows(blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(told)).alias("blocks")), room, widows)
+
+
+def paginate_rows(documents: DataFrame, room: int, widows: int = 2) -> DataFrame:
+    """As ``paginate``, of rows (doc_id, blocks) that have each document's blocks in order: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, pieces = [], []
+            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = fold_pages([(b["block"], b["lines"], bool(b["keep_lines"]), bool(b["keep_next"]), bool(b["break_before"])) for b in own or ()], room, widows)
+                ids += [doc_id] * len(found)
+                pieces += found
+            columns = [pa.array(ids, pa.int64()), *(pa.array([p[k] for p in pieces], pa.int64()) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "block", "first_line", "lines", "page"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("block").to_dict("records")
-        out: list[tuple[int, int, int, int]] = []
-        page, used, top, at, line = 1, 0, 0, 0, 0
-        while at < len(rows):
-            row = rows[at]
-            if row["break_before"] and line == 0 and used:
-                page, used, top = page + 1, 0, at
-            left = int(row["lines"]) - line
-            if used + left <= room:
-                if left:
-                    out.append((row["block"], line, left, page))
-                used, at, line = used + left, at + 1, 0
-                continue
-            n = room - used
-            if row["keep_lines"] and line == 0 and used:
-                n = 0
-            elif left - n < widows:
-                n = max(0, left - widows)
-            if line == 0 and 0 < n < widows:
-                n = 0
-            if n <= 0 and used:
-                back = at if line == 0 else -1
-                while back > top and rows[back - 1]["keep_next"]:
-                    back -= 1
-                if back > top and back < at:
-                    moved = {rows[k]["block"] for k in range(back, at)}
-                    if all(not (b in moved and p < page) for b, _, _, p in out):
-                        out = [o for o in out if o[0] not in moved]
-                        at = back
-                page, used, top = page + 1, 0, at
-                continue
-            n = max(1, min(n if n > 0 else room, left, room))
-            out.append((row["block"], line, n, page))
-            page, used, line = page + 1, 0, line + n
-            top = at
-            if line >= row["lines"]:
-                at, line, top = at + 1, 0, at + 1
-        frame = pd.DataFrame(out, columns=["block", "first_line", "lines", "page"])
-        frame.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return frame
-
-    return blocks.groupBy("doc_id").applyInPandas(fold, "doc_id long, block long, first_line long, lines long, page long")
+    return documents.select("doc_id", "blocks").mapInArrow(run, "doc_id long, block long, first_line long, lines long, page long")
 
 
 def balanced_height(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, columns: int) -> DataFrame:

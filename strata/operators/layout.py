@@ -11,49 +11,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.numbering import list_items
+from strata.operators.rounds import cut
+
 
 def list_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], level: str, levels: int = 9, start: int = 1) -> DataFrame:
     """label for each list item: counters of its level and all above, like '2.1.3'.
 
     An item adds one at its level (or starts it), missing levels above it start, and levels below
-    it restart. The state is an array of counters, folded in order; 0 is a counter that hasn't started.
+    it restart: one list of ``list_items`` with the plainest templates.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(level).cast("int").alias("__level"))))
-    zero = F.array_repeat(F.lit(start - 1), levels)
-
-    def step(a: Column, x: Column) -> Column:
-        at = x["__level"]
-        new = F.transform(a["had"], lambda c, i: F.when(i < at, F.greatest(c, F.lit(start))).when(i == at, c + 1).otherwise(F.lit(start - 1)))
-        label = F.array_join(F.transform(F.slice(new, F.lit(1), at + 1), lambda c: c.cast("string")), ".")
-        return F.struct(new.alias("had"), F.array_append(a["out"], label).alias("out"))
-
-    fold = F.aggregate("__items", F.struct(zero.alias("had"), F.array().cast("array<string>").alias("out")), step, lambda a: a["out"])
-    done = df.groupBy(*keys).agg(items.alias("__items")).withColumn("__labels", fold)
-    pairs = done.select(*keys, F.explode(F.arrays_zip("__items", "__labels")).alias("__x"))
-    return pairs.select(*keys, *(F.col(f"__x.__items.{c}").alias(c) for c in order), F.col("__x.__items.__level").alias(level), F.col("__x.__labels").alias("label"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("id").cast("int") + 1), lambda k: F.concat(F.lit("%"), k)), ".")
+    none = F.lit(None).cast("long").alias("restart")
+    told = df.sparkSession.range(levels).select(F.lit(1).alias("instance"), F.col("id").cast("int").alias("level"), F.lit("").alias("list"), F.lit(start).cast("long").alias("start"), none, F.lit("decimal").alias("format"), text.alias("text"), F.lit(False).alias("legal"), F.lit(False).alias("override"))
+    items = df.select(*keys, *order, F.col(level).cast("int").alias("level"), F.lit(1).alias("instance"))
+    return list_items(items, keys, order, told, levels).select(*keys, *order, F.col("level").alias(level), "label")
 
 
 def page_numbers(sections: DataFrame, keys: Sequence[str], order: str, pages: str, stated: str, parity: str) -> DataFrame:
     """first_number and blank of each section: a stated start, else the last number + 1.
 
     A section that must start on an odd or even number (parity 'odd' or 'even') gets a blank page before it when the
-    number that would follow has the other parity.
+    number that would follow has the other parity. Such a section's parity is known whatever stands before it, and so
+    is a stated number's: whether a page is blank follows from the pages since the last of these, by running sums.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.col(pages).cast("long").alias("__p"), F.col(stated).cast("long").alias("__s"), F.col(parity).alias("__q"))))
-
-    def step(a: Column, x: Column) -> Column:
-        plain = F.coalesce(x["__s"], a["next"])
-        wrong = ((x["__q"] == "odd") & (plain % 2 == 0)) | ((x["__q"] == "even") & (plain % 2 == 1))
-        wrong = F.coalesce(wrong, F.lit(False))
-        first = F.when(wrong, plain + 1).otherwise(plain)
-        row = F.struct(x["__o"].alias("o"), first.alias("first_number"), wrong.alias("blank"))
-        return F.struct((first + x["__p"]).alias("next"), F.array_append(a["out"], row).alias("out"))
-
-    row_type = "array<struct<o:bigint,first_number:bigint,blank:boolean>>"
-    start = F.struct(F.lit(1).cast("long").alias("next"), F.array().cast(row_type).alias("out"))
-    done = sections.withColumn(order, F.col(order).cast("long")).groupBy(*keys).agg(items.alias("__items"))
-    rows = done.select(*keys, F.inline(F.aggregate("__items", start, step, lambda a: a["out"])))
-    return rows.withColumnRenamed("o", order)
+    w = Window.partitionBy(*keys).orderBy(order)
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    want = F.when(F.col(parity) == "odd", 1).when(F.col(parity) == "even", 0)
+    rows = sections.withColumn("__p", F.coalesce(F.sum(pages).over(before), F.lit(0))).withColumn("__want", want)
+    known = F.coalesce("__want", F.pmod(stated, F.lit(2)))
+    rows = rows.withColumn("__last", F.last(F.when(known.isNotNull(), F.struct(known.alias("a"), F.col("__p").alias("p"))), ignorenulls=True).over(before))
+    plain = F.coalesce(F.pmod(stated, F.lit(2)), F.pmod(F.coalesce(F.col("__last.a") - F.col("__last.p"), F.lit(1)) + F.col("__p"), F.lit(2)))
+    rows = rows.withColumn("blank", F.coalesce(F.col("__want") != plain, F.lit(False)))
+    rows = rows.withColumn("__b", F.sum(F.col("blank").cast("long")).over(upto))
+    told = F.struct(F.col(stated).alias("n"), F.col("__p").alias("p"), (F.col("__b") - F.col("blank").cast("long")).alias("b"))
+    rows = rows.withColumn("__from", F.last(F.when(F.col(stated).isNotNull(), told), ignorenulls=True).over(upto))
+    origin = F.coalesce(F.col("__from.n") - F.col("__from.p") - F.col("__from.b"), F.lit(1))
+    return rows.select(*keys, order, (origin + F.col("__p") + F.col("__b")).alias("first_number"), "blank")
 
 
 def hyphen_points(words: DataFrame, word: str, patterns: DataFrame, exceptions: DataFrame | None = None, left: int = 2, right: int = 2) -> DataFrame:
@@ -63,7 +57,7 @@ def hyphen_points(words: DataFrame, word: str, patterns: DataFrame, exceptions:
     counts, and odd ones may break, ``left`` and ``right`` letters from the ends. ``exceptions`` (word, points) go
     first. Substrings join the patterns by equality; no word meets all patterns.
     """
-    rules = patterns.select(F.regexp_replace("pattern", "[0-9]", "").alias("__letters"), F.col("pattern").alias("__rule")).dropDuplicates(["__letters"])
+    rules = patterns.select(F.regexp_replace("pattern", "[0-9]", "").alias("__letters"), F.col("pattern").alias("__rule")).distinct()
     digits = F.transform(F.split(F.regexp_replace("__rule", "(?<=[^0-9])(?=[^0-9])|^(?=[^0-9])|(?<=[^0-9])$", "0"), "[^0-9]"), lambda d: d.cast("int"))
     rules = rules.select("__letters", digits.alias("__digits"))
     once = words.select(F.col(word).alias("__word")).where(F.length(word) > 0).distinct()
@@ -84,6 +78,14 @@ def hyphen_points(words: DataFrame, word: str, patterns: DataFrame, exceptions:
     return out.select(F.col("__word").alias(word), F.col("__points").alias("points"))
 
 
+def soft_hyphens(text: Column, points: Column) -> Column:
+    """A word with a soft hyphen at each of its points, a list of numbers like '2,5' (letters before the gap)."""
+    at = F.filter(F.split(points, ","), lambda p: p != "")
+    bounds = F.concat(F.array(F.lit(0)), at.cast("array<int>"), F.array(F.length(text)))
+    parts = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda k: F.substring(text, F.get(bounds, k - 1) + 1, F.get(bounds, k) - F.get(bounds, k - 1)))
+    return F.array_join(parts, "\u00ad")
+
+
 def word_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: str, space: int, room: int, align: Column) -> DataFrame:
     """x of each word of a line: left, center, right, or justify with the slack floored cumulatively over the gaps."""
     whole = Window.partitionBy(*keys)
@@ -183,7 +185,7 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int
     """
     now = start
     for passes in range(1, most + 1):
-        new = step(now).checkpoint()
+        new = cut(step(now))
         if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
             return new, passes, True
         now = new

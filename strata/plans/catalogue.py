@@ -726,12 +726,36 @@ def _(spark, sf):
     return fold.packed(t(spark, sf, "lineitem"), ["l_orderkey"], ITEM, "l_quantity", 60)
 
 
-@query("paginate_full")
+@query(
+    "paginate_full",
+    """
+    WITH RECURSIVE p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents),
+    l AS (SELECT doc_id, i - 1 AS block, list_reduce(list_prepend({l: 1::BIGINT, p: 0::BIGINT}, list_transform(list_filter(string_split_regex(ps[i], '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), lambda w: {l: 0::BIGINT, p: length(w)::BIGINT})),
+            lambda a, w: CASE WHEN a.p = 0 THEN {l: a.l, p: w.p} WHEN a.p + 1 + w.p <= 80 THEN {l: a.l, p: a.p + 1 + w.p} ELSE {l: a.l + 1, p: w.p} END).l AS n
+          FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+    c AS (SELECT *, block % 5 = 4 AS kl, block % 40 = 39 AS br, coalesce(max(CASE WHEN block % 7 > 0 THEN block + 1 END) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chain FROM l),
+    s(doc_id, step, pos, line, page, used, top, eb, el, en, ep, back) AS (
+        SELECT doc_id, 0, 0::BIGINT, 0::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM p
+        UNION ALL
+        SELECT doc_id, step + 1,
+               CASE kind WHEN 'whole' THEN pos + 1 WHEN 'move' THEN mv ELSE pos + (line + m >= n)::INT END,
+               CASE WHEN kind = 'cut' AND line + m < n THEN line + m WHEN kind = 'move' AND mv = pos THEN line ELSE 0 END,
+               CASE kind WHEN 'whole' THEN page ELSE page + 1 END, CASE kind WHEN 'whole' THEN used + rest ELSE 0 END,
+               CASE kind WHEN 'whole' THEN top WHEN 'move' THEN mv ELSE pos + (line + m >= n)::INT END,
+               CASE WHEN kind = 'cut' OR (kind = 'whole' AND rest > 0) THEN pos END, line, CASE kind WHEN 'whole' THEN rest ELSE m END, page, CASE WHEN kind = 'move' AND mv < pos THEN mv END
+        FROM (SELECT *, CASE WHEN used + rest <= 50 THEN 'whole' WHEN k <= 0 AND used > 0 THEN 'move' ELSE 'cut' END AS kind, greatest(1, least(CASE WHEN k > 0 THEN k ELSE 50 END, rest, 50)) AS m,
+                     CASE WHEN line = 0 AND greatest(chain, top) > top AND greatest(chain, top) < pos THEN greatest(chain, top) ELSE pos END AS mv
+              FROM (SELECT *, CASE WHEN line = 0 AND j > 0 AND j < 2 THEN 0 ELSE j END AS k
+                    FROM (SELECT *, CASE WHEN kl AND line = 0 AND used > 0 THEN 0 WHEN rest - (50 - used) < 2 THEN greatest(0, rest - 2) ELSE 50 - used END AS j
+                          FROM (SELECT s.doc_id, step, pos, line, c.n, kl, chain, c.n - line AS rest, page + b AS page, CASE WHEN b = 1 THEN 0 ELSE used END AS used, CASE WHEN b = 1 THEN pos ELSE top END AS top
+                                FROM (SELECT s.*, (c.br AND line = 0 AND used > 0)::INT AS b FROM s JOIN c ON c.doc_id = s.doc_id AND c.block = s.pos) s JOIN c ON c.doc_id = s.doc_id AND c.block = s.pos)))))
+    SELECT doc_id, eb AS block, el AS first_line, en AS lines, ep AS page FROM s
+    WHERE eb IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.step > s.step AND s.eb >= t.back AND t.back IS NOT NULL)""",
+)
 def _(spark, sf):
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda p: fold.wrapped(p, 80)["lines"])
-    df = t(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("block", "lines"))
-    blocks = df.select("doc_id", F.col("block").cast("long").alias("block"), "lines", (F.col("block") % 5 == 4).alias("keep_lines"), (F.col("block") % 7 == 0).alias("keep_next"), (F.col("block") % 40 == 39).alias("break_before"))
-    return fold.paginate(blocks, 50)
+    told = F.transform(lines, lambda n, k: F.struct(k.cast("long").alias("block"), n.alias("lines"), (k % 5 == 4).alias("keep_lines"), (k % 7 == 0).alias("keep_next"), (k % 40 == 39).alias("break_before")))
+    return fold.paginate_rows(t(spark, sf, "documents").select("doc_id", told.alias("blocks")), 50)
 
 
 @query(
@@ -1009,15 +1033,41 @@ def _(spark, sf):
     return layout.changed_results(d.where("doc_id % 13 <> 0"), new, "doc_id", "svg")
 
 
-@query("hyphen_points")
-def _(spark, sf):
+#: A few rules of the kind that pattern files hold; any table of patterns can stand here.
+_PATTERNS = ("1ti", "n1d", ".an2d", "e2r1", "3st", "t2h", "1h4e")
+_HYPHENS = """
+    WITH w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(coalesce(text, ''), '[^A-Za-z]+'), lambda x: x <> '')) AS word FROM documents),
+    r(l, d) AS (VALUES ('ti', [1, 0, 0]), ('nd', [0, 1, 0]), ('.and', [0, 0, 0, 2, 0]), ('er', [0, 2, 1]), ('st', [3, 0, 0]), ('th', [0, 2, 0]), ('he', [1, 4, 0])),
+    g AS (SELECT word, o + k - 2 AS gap, max(d[k + 1]) AS digit FROM (SELECT word, l, d, unnest(range(1, length(word) + 3)) AS o FROM w, r), range(7) AS q(k)
+          WHERE ('.' || lower(word) || '.')[o:o + length(l) - 1] = l AND k <= length(l) GROUP BY 1, 2)
+    SELECT w.word, coalesce(string_agg(gap::VARCHAR, ',' ORDER BY gap) FILTER (digit % 2 = 1 AND gap >= 2 AND gap <= length(w.word) - 2), '') AS points FROM w LEFT JOIN g USING (word) GROUP BY 1"""
+
+
+@query("hyphen_points", _HYPHENS)
+def hyphen_points(spark, sf):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"), lambda w: w != "")
-    # A few rules of the kind that pattern files hold; any table of patterns can stand here.
-    rules = spark.createDataFrame([("1ti",), ("n1d",), (".an2d",), ("e2r1",), ("3st",), ("t2h",), ("1h4e",)], "pattern string")
+    rules = spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string")
     return layout.hyphen_points(t(spark, sf, "documents").select(F.explode(words).alias("word")), "word", F.broadcast(rules))
 
 
-@query("fill_free_segments")
+@query("soft_hyphens", f"SELECT word, CASE WHEN points = '' THEN word ELSE (SELECT string_agg(word[b[i] + 1:b[i + 1]], chr(173) ORDER BY i) FROM (SELECT unnest(range(1, len(b))) AS i)) END AS shown FROM (SELECT word, points, list_prepend(0, list_append(list_transform(list_filter(string_split(points, ','), lambda p: p <> ''), lambda p: p::BIGINT), length(word))) AS b FROM ({_HYPHENS}))")
+def _(spark, sf):
+    return hyphen_points(spark, sf).select("word", layout.soft_hyphens(F.col("word"), F.col("points")).alias("shown"))
+
+
+@query(
+    "fill_free_segments",
+    """
+    WITH RECURSIVE w AS (SELECT conv_id, turn, length(coalesce(text, '')) % 60 + 1 AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    g AS (SELECT conv_id, list(20 + turn % 3 * 30 ORDER BY turn * 100) FILTER (20 + turn % 3 * 30 >= 30) AS g FROM conversations GROUP BY 1),
+    s(conv_id, n, turn, seg, pen) AS (
+        SELECT DISTINCT conv_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT FROM w
+        UNION ALL SELECT s.conv_id, w.n, w.turn, z.seg, CASE WHEN z.seg = s.seg AND s.pen > 0 THEN s.pen + 5 + w.w ELSE w.w END
+        FROM s JOIN w ON w.conv_id = s.conv_id AND w.n = s.n + 1 JOIN g ON g.conv_id = s.conv_id,
+        LATERAL (SELECT CASE WHEN s.seg >= coalesce(len(g.g), 0) THEN s.seg WHEN CASE WHEN s.pen > 0 THEN s.pen + 5 ELSE 0 END + w.w <= g.g[s.seg + 1] THEN s.seg
+                 ELSE coalesce(list_min(list_filter(range(s.seg + 1, coalesce(len(g.g), 0)), lambda k: g.g[k + 1] >= w.w)), coalesce(len(g.g), 0)) END AS seg) z)
+    SELECT s.conv_id, turn, CASE WHEN seg < coalesce(len(g.g), 0) THEN seg END AS segment FROM s JOIN g USING (conv_id) WHERE n > 0""",
+)
 def _(spark, sf):
     c = t(spark, sf, "conversations")
     words = c.select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 60 + 1).alias("w"))

@@ -293,7 +293,10 @@ def read_package(path: str, content: bytes) -> Iterator[dict]:
             for id_, kind, target, _ in linked:
                 if kind.endswith(("/header", "/footer")) and near(target) in names:
                     yield from _blocks(path, near(target), ElementTree.fromstring(_read(package, near(target))), f"/{id_}", 0, [0], _Fields())
-            parts = {kind.rpartition("/")[2]: near(target) for _, kind, target, _ in reversed(linked) if near(target) in names}
+            # Parts by their relationship, else where they usually lie.
+            usual = {"styles": "styles.xml", "settings": "settings.xml", "theme": "theme/theme1.xml", "numbering": "numbering.xml", "fontTable": "fontTable.xml", "footnotes": "footnotes.xml", "endnotes": "endnotes.xml"}
+            parts = {kind: near(target) for kind, target in usual.items() if near(target) in names}
+            parts |= {kind.rpartition("/")[2]: near(target) for _, kind, target, _ in reversed(linked) if near(target) in names}
             of = lambda kind: ElementTree.fromstring(_read(package, parts[kind])) if kind in parts else None
             for kind, read in (("settings", _settings), ("theme", _theme), ("numbering", _numbering)):
                 if kind in parts:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
 from strata.operators import diff, fold, grid, joins, layout, resolve, sequence
-from strata.sources.package import paragraphs, scan_packages
-from strata.streaming.incremental import event_windows, keep_current, recompute
+from strata.sources.package import paragraphs, read_package, scan_packages
+from strata.streaming.incremental import current, event_windows, keep_current, recompute
 
 
 def values(df, *columns):
@@ -71,6 +71,12 @@ def test_chains_end_at_cycles_and_other_kinds(spark):
     assert values(got, "id", "d") == [(1, 0), (2, 1), (3, 0), (4, 1), (5, 1), (6, 2)]
 
 
+def test_chains_have_no_greatest_length(spark):
+    nodes = spark.range(60).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS up", "'p' AS kind")
+    got = resolve.chains(nodes, "id", "up", "kind").groupBy("id").agg(F.max("depth").alias("d"), F.max_by("ancestor", "depth").alias("root"))
+    assert values(got, "id", "d", "root") == [(i, i, 0) for i in range(60)]
+
+
 def test_toggles(spark):
     for base, a, b, direct, want in ((False, True, True, None, False), (True, True, True, None, True), (True, False, None, None, False), (False, True, False, None, True), (False, True, None, False, False)):
         one = [F.lit(v).cast("boolean") for v in (base, a, b, direct)]
@@ -122,6 +128,17 @@ def test_package_scan(spark, tmp_path):
     assert kinds["error"] == 1 and kinds["table"] == 1 and kinds["style"] == 1 and kinds["section_end"] == 1
 
 
+def test_damaged_packages_give_error_rows(spark, tmp_path):
+    package(tmp_path / "a.docx", "<w:p><w:r><w:t>text</w:t></w:r></w:p>" * 50)
+    whole = (tmp_path / "a.docx").read_bytes()
+    name = whole.index(b"word/document.xml")
+    (tmp_path / "b.docx").write_bytes(whole[: name + 40] + bytes(60) + whole[name + 100 :])
+    (tmp_path / "c.docx").write_bytes(whole.replace(b"word/document.xml", b"word/document.xyz"))
+    rows = scan_packages(spark, str(tmp_path)).groupBy(F.element_at(F.split("path", "/"), -1).alias("f")).agg(F.count(F.when(F.col("kind") == "error", 1)).alias("e"), F.count(F.when(F.col("kind") == "paragraph", 1)).alias("p"))
+    assert values(rows, "f", "e", "p") == [("a.docx", 0, 50), ("b.docx", 1, 0), ("c.docx", 1, 0)]
+    assert [r["kind"] for r in read_package("none", b"")] == [r["kind"] for r in read_package("none", None)] == ["error"]
+
+
 def measured(df):
     return df.withColumn("size", F.length("text").cast("long"))
 
@@ -141,12 +158,13 @@ def test_recompute_equals_full_after_edits(spark):
 
 def test_stream_of_edits_keeps_the_current_table(spark, tmp_path):
     schema = "id long, version long, text string"
-    for k, edits in enumerate(([(1, 1, "a"), (2, 1, "bb")], [(1, 2, "ccc"), (3, 1, "a")])):
+    for edits in ([(1, 1, "a"), (2, 1, "bb")], [(1, 2, "ccc"), (3, 1, "a")], [(1, 1, "late")], [(2, 5, "dddd")]):
         spark.createDataFrame(edits, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "edits"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "edits"))
         keep_current(spark, stream, str(tmp_path / "state"), "id", "version", ["text"], measured, str(tmp_path / "checkpoint")).awaitTermination()
-        table = spark.read.parquet(str(tmp_path / "state" / str(k)))
-    assert values(table, "id", "version", "size") == [(1, 2, 3), (2, 1, 2), (3, 1, 1)]
+    assert values(current(spark, str(tmp_path / "state")), "id", "version", "size") == [(1, 2, 3), (2, 5, 4), (3, 1, 1)]
+    # Keys lie in parts; one that no manifest of the last two batches names is gone.
+    assert len(list((tmp_path / "state" / "data").rglob("*.parquet"))) <= 5
 
 
 def test_event_windows_over_a_stream(spark, tmp_path):
