@@ -108,3 +108,21 @@ def merged_tabs(base: Column, own: Column) -> Column:
     """Tab stops of two layers (maps of position to kind) as one: own wins, and 'clear' deletes."""
     union = F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own)
     return F.map_filter(union, lambda _, v: v != "clear")
+
+
+def css_twips(value: Column) -> Column:
+    """A CSS length in twips, half up: pt, in, cm, mm, pc and px; a bare number is in pixels of a 96th inch; null for anything else."""
+    number = F.regexp_extract(value, r"^\s*(-?[0-9]*\.?[0-9]+)\s*(pt|in|cm|mm|pc|px|)\s*$", 1)
+    unit = F.regexp_extract(value, r"^\s*(-?[0-9]*\.?[0-9]+)\s*(pt|in|cm|mm|pc|px|)\s*$", 2)
+    each = F.when(unit == "pt", 20).when(unit == "in", 1440).when(unit == "cm", 1440 / 2.54).when(unit == "mm", 144 / 2.54).when(unit == "pc", 240).otherwise(15)
+    return F.when(number != "", F.floor(number.cast("double") * each + 0.5).cast("long"))
+
+
+def may_compress(over: Column, room: Column, before: Column, slack: Column, spaces: Column) -> Column:
+    """Whether a line may be squeezed: its overrun is within the room, and twice the overrun times the words before no more than slack times spaces."""
+    return (over <= room) & (2 * over * before <= slack * spaces)
+
+
+def may_hyphenate(in_a_row: Column, limit: Column, gap: Column, zone: Column, capital: Column, caps_allowed: Column) -> Column:
+    """Whether a line may end in a hyphen: under the limit of such lines in a row (0 or null: none), a gap wider than the zone, and capitals only where allowed."""
+    return ((F.coalesce(limit, F.lit(0)) == 0) | (in_a_row < limit)) & (gap > zone) & (~capital | caps_allowed)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
-from strata.operators import numbering, plan, style, table
+from strata.operators import layout, numbering, plan, spans, style, table
 from strata.plans.registry import query, t
 
 _ITEM = "l_linenumber, l_partkey, l_suppkey, l_quantity"
@@ -448,3 +448,63 @@ def _(spark, sf):
 @query("advance_units", "SELECT p_partkey, (2 * (p_partkey % 2049) * p_size * 2048 + 1000) // 2000 AS units FROM part")
 def _(spark, sf):
     return t(spark, sf, "part").select("p_partkey", num.half_up((F.col("p_partkey") % 2049) * F.col("p_size") * 2048, 1000).alias("units"))
+
+
+# --- markup, pictures, lengths, line predicates, passes
+
+
+@query(
+    "top_level_spans",
+    """
+    WITH p AS (SELECT page_id, unnest(string_split(coalesce(html, ''), '<')) AS piece, generate_subscripts(string_split(coalesce(html, ''), '<'), 1) - 1 AS i FROM pages),
+    s AS (SELECT *, lower(regexp_extract(piece, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, length(piece) + (i > 0)::INT AS size FROM p WHERE i > 0 OR piece <> ''),
+    d AS (SELECT *, CASE WHEN i = 0 OR tag = '' OR tag IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') THEN 0 WHEN piece[1] = '/' THEN -1 WHEN regexp_matches(piece, '^[^>]*/>') THEN 0 ELSE 1 END AS step FROM s),
+    e AS (SELECT *, sum(step) OVER w AS depth, sum(size) OVER w - size AS z FROM d WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+    b AS (SELECT page_id, i, z, tag, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n, lead(i) OVER (PARTITION BY page_id ORDER BY i) AS nxt FROM e WHERE step = 1 AND depth = 1)
+    SELECT b.page_id, b.n, b.z::BIGINT AS first, b.tag, (SELECT sum(size) FROM e WHERE e.page_id = b.page_id AND e.i >= b.i AND (b.nxt IS NULL OR e.i < b.nxt) AND e.i <= coalesce((SELECT min(c.i) FROM e c WHERE c.page_id = b.page_id AND c.i > b.i AND c.depth <= 0 AND NOT (c.step = 1 AND c.depth = 1)), 1000000000))::BIGINT AS length FROM b""",
+)
+def _(spark, sf):
+    return spans.top_level(t(spark, sf, "pages"), "page_id", "html")
+
+
+@query("picture_elements", "SELECT p_partkey, '<image width=\"' || p_size || '\" href=\"data:image/png;base64,' || to_base64(encode(p_name)) || '\"/>' AS element, 100 * p_size // (100 - p_partkey % 50) AS cropped FROM part")
+def _(spark, sf):
+    shown = F.concat(F.lit('<image width="'), "p_size", F.lit('" href="data:image/png;base64,'), F.base64(F.col("p_name").cast("binary")), F.lit('"/>'))
+    return t(spark, sf, "part").select("p_partkey", shown.alias("element"), F.expr("100 * p_size div (100 - p_partkey % 50)").alias("cropped"))
+
+
+@query(
+    "css_lengths",
+    """
+    SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN floor(p_size * 20 + 0.5) WHEN 1 THEN floor(p_size * 1440 + 0.5) WHEN 2 THEN floor((p_size / 2.0::DOUBLE) * (1440 / 2.54::DOUBLE) + 0.5) WHEN 3 THEN floor(p_size * 15 + 0.5) WHEN 4 THEN floor(p_size * 15 + 0.5) END::BIGINT AS twips FROM part""",
+)
+def _(spark, sf):
+    value = F.expr("CASE p_partkey % 6 WHEN 0 THEN concat(p_size, 'pt') WHEN 1 THEN concat(p_size, 'in') WHEN 2 THEN concat(p_size / 2, 'cm') WHEN 3 THEN concat(p_size, 'px') WHEN 4 THEN CAST(p_size AS STRING) ELSE 'auto' END")
+    return t(spark, sf, "part").select("p_partkey", style.css_twips(value).alias("twips"))
+
+
+@query(
+    "line_predicates",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, a % 40 <= 25 AND 2 * (a % 40) * (b % 9) <= 50 * (a % 12) AS compress, (coalesce(nullif(a % 4, 3), 0) = 0 OR b % 3 < a % 4) AND l_quantity > 18 AND (l_returnflag <> 'A' OR a % 2 = 0) AS hyphenate,
+           a % 40 BETWEEN 10 AND 30 AS in_range FROM (SELECT *, l_partkey AS a, l_suppkey AS b FROM lineitem)""",
+)
+def _(spark, sf):
+    a, b = F.col("l_partkey"), F.col("l_suppkey")
+    limit = F.when(a % 4 != 3, a % 4)
+    hyphenate = style.may_hyphenate(b % 3, limit, F.col("l_quantity"), F.lit(18), F.col("l_returnflag") == "A", a % 2 == 0)
+    return t(spark, sf, "lineitem").select("l_orderkey", *_ITEMS, style.may_compress(a % 40, F.lit(25), b % 9, F.lit(50), a % 12).alias("compress"), hyphenate.alias("hyphenate"), (a % 40).between(10, 30).alias("in_range"))
+
+
+@query("fixpoint_passes", "SELECT n_nationkey, greatest(n_nationkey, 20)::BIGINT AS v, 4 AS passes, true AS settled FROM nation")
+def _(spark, sf):
+    """Each pass moves values up by 7 as far as 20; the fourth changes nothing."""
+    start = t(spark, sf, "nation").select("n_nationkey", F.col("n_nationkey").cast("long").alias("v"))
+    found, passes, settled = layout.fixpoint(start, lambda d: d.select("n_nationkey", F.greatest("v", F.least(F.col("v") + 7, F.lit(20))).alias("v")))
+    return found.withColumn("passes", F.lit(passes)).withColumn("settled", F.lit(settled))
+
+
+@query("error_kinds", "SELECT event_id, CASE WHEN event_type <> 'error' THEN 'none' WHEN value < 10 THEN 'recoverable' WHEN user_id % 2 = 0 THEN 'named' ELSE 'control' END AS kind FROM events")
+def _(spark, sf):
+    kind = plan.first_reason([("none", F.col("event_type") != "error"), ("recoverable", F.col("value") < 10), ("named", F.col("user_id") % 2 == 0)], "control")
+    return t(spark, sf, "events").select("event_id", kind.alias("kind"))

@@ -6,9 +6,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from strata.__main__ import main
 from strata.functions import numbers as num
 from strata.operators import diff, fold, grid, joins, layout, resolve, sequence
+from strata.operators.numbering import list_items
 from strata.sources.package import paragraphs, read_package, scan_packages
+from strata.sources.patterns import read_exceptions, read_patterns
 from strata.streaming.incremental import current, event_windows, keep_current, recompute
 
 
@@ -212,3 +215,29 @@ def test_fixpoint_settles_or_stops(spark, tmp_path):
     table, passes, settled = layout.fixpoint(start, lambda d: d.selectExpr("id", "least(v + 20, 50) AS v"))
     assert settled and passes == 4 and {r.v for r in table.collect()} == {50}
     assert layout.fixpoint(start, lambda d: d.selectExpr("id", "v + 1 AS v"))[1:] == (4, False)
+
+
+def test_pattern_files_and_word_lists(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "hyph_en.dic").write_text("UTF-8\nLEFTHYPHENMIN 2\n% comment\n1ti\nn1d % why\n\n1ti\n")
+    with gzip.open(tmp_path / "hyph_de.dic.gz", "wt") as f:
+        f.write("ISO8859-1\n.an2d\n")
+    rules = read_patterns(spark, str(tmp_path / "hyph_*"))
+    assert values(rules, "pattern") == [(".an2d",), ("1ti",), ("n1d",)]
+    (tmp_path / "words.txt").write_text("ta-ble\nun-der-Stand\nplain\n")
+    assert values(read_exceptions(spark, str(tmp_path / "words.txt")), "word", "points") == [("plain", ""), ("table", "2"), ("understand", "2,5")]
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    assert main(["list"]) == 0 and "fitted_grids" in capsys.readouterr().out
+    assert main(["cube_orders", sf_dir, str(tmp_path / "out"), "--strict"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    assert main(["no such query", sf_dir, str(tmp_path / "out")], spark) == 2
+
+
+def test_list_items_of_unknown_levels_have_no_label(spark):
+    levels = spark.createDataFrame([(1, 0, "a", 1, None, "decimal", "%1.", False, False)], "instance long, level int, list string, start long, restart long, format string, text string, legal boolean, override boolean")
+    items = spark.createDataFrame([(1, k, i, lv) for k, (i, lv) in enumerate([(1, 0), (1, 5), (9, 0), (1, 0), (None, None)])], "doc long, o long, instance long, level int")
+    assert values(list_items(items, ["doc"], ["o"], levels), "o", "number", "label") == [(0, 1, "1."), (1, None, None), (2, None, None), (3, 2, "2."), (4, None, None)]
+    assert list_items(items.where("false"), ["doc"], ["o"], levels).count() == 0
