@@ -75,9 +75,9 @@ class _Suffixes:
     def __init__(self, block: Block, width: int, counts: Counts):
         self.block, self.width, self.counts = block, width, counts
         self.docs = block.ids
-        at = np.flatnonzero(window_ok(block.offsets, width))
-        if not len(at):
-            self.first = self.sizes = self.owner = at
+        ok = window_ok(block.offsets, width)
+        if not ok.any():
+            self.first = self.sizes = self.owner = np.zeros(0, np.int64)
             self.keys = np.zeros(0, np.uint64)
             return
         words = np.ndarray((len(block.data) - 7,), dtype="<u8", buffer=block.data, strides=(1,))
@@ -86,10 +86,12 @@ class _Suffixes:
             b = min(a + STEP, len(anchor))
             grams = _gram_keys([words[a + k : b + k + width - GRAM] for k in range(0, GRAM, 8)])
             anchor[a:b] = leftmost_min(grams, width - GRAM + 1) + a
-        anchor = anchor[at]
-        head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
-        self.first, self.sizes = at[head], np.diff(np.append(head, len(at)))
-        place = anchor[head].astype(np.int64)
+        # A context begins where the gram's place changes or a text begins, and ends before the next one or its text's end.
+        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        new[1:] |= ~ok[:-1]
+        self.first = np.flatnonzero(new & ok)
+        self.sizes = np.flatnonzero(ok & np.concatenate([new[1:] | ~ok[1:], [True]])) + 1 - self.first
+        place = anchor[self.first].astype(np.int64)
         # Least hashes crowd at the low end; mixed once more they fill all ranges alike.
         self.keys = mix(_gram_keys([words[place + k] for k in range(0, GRAM, 8)]))
         self.owner = np.searchsorted(block.offsets, self.first, side="right") - 1
@@ -276,7 +278,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
         spans = span_columns(first, last, block.offsets)
         total = np.diff(block.offsets)
         left = block.data[~gone].tobytes()
-        edge = np.concatenate([[0], np.cumsum(~gone)])[block.offsets]
+        edge = np.concatenate([[0], np.cumsum(~gone, dtype=np.int32 if len(gone) < 2**31 else np.int64)])[block.offsets].astype(np.int64)
         kept = [left[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
         columns = [pa.array(block.ids), pa.array(total), pa.array(total - np.diff(edge)), *spans, pa.array(kept, pa.binary())]
         for at in range(0, len(total), 1000):

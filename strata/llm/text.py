@@ -119,16 +119,22 @@ def window_hashes(items: np.ndarray, width: int) -> np.ndarray:
     return items
 
 
+def _runs_mask(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n items are in one of the runs [start, end), which don't overlap; two bytes an item."""
+    edge = np.zeros(n + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.subtract.at(edge, ends, 1)
+    return np.cumsum(edge[:n], dtype=np.int8) > 0
+
+
 def window_ok(offsets: np.ndarray, width: int) -> np.ndarray:
     """For each of n - width + 1 windows over items, whether it lies in one text."""
     n = int(offsets[-1])
-    ok = np.zeros(max(0, n - width + 1), dtype=bool)
-    if not len(ok):
-        return ok
-    sizes = np.maximum(np.diff(offsets) - width + 1, 0)
-    starts = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-    ok[starts] = True
-    return ok
+    if n < width:
+        return np.zeros(0, dtype=bool)
+    some = np.flatnonzero(np.diff(offsets))
+    # A window that starts in a text's last width - 1 items runs out of it.
+    return ~_runs_mask(np.maximum(offsets[some], offsets[some + 1] - width + 1), offsets[some + 1], n)[: n - width + 1]
 
 
 def leftmost_min(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -144,8 +150,11 @@ def leftmost_min(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n items a window [start, start + width) covers."""
-    edge = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + width, minlength=n + 1)[: n + 1]
-    return np.cumsum(edge[:n]) > 0
+    starts = np.sort(starts)
+    if not len(starts):
+        return np.zeros(n, dtype=bool)
+    apart = starts[1:] > starts[:-1] + width
+    return _runs_mask(starts[np.concatenate([[True], apart])], starts[np.concatenate([apart, [True]])] + width, n)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
