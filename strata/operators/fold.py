@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,12 +13,21 @@ WORDS = "[ \\t\\n\\r\\f\\x0B]+"
 
 def wrapped(text: Column, width: int) -> Column:
     """Lines and used width of the last one when words are set greedily; a word on its own line may exceed width."""
+    return _set_words(text, lambda _: F.lit(width))
+
+
+def wrapped_beside(text: Column, widths: Column, rest: int) -> Column:
+    """As ``wrapped``, with a width of its own for each of the first lines (an array), and ``rest`` for all further ones."""
+    return _set_words(text, lambda line: F.coalesce(F.get(widths, (line - 1).cast("int")), F.lit(rest)))
+
+
+def _set_words(text: Column, width: Callable[[Column], Column]) -> Column:
     words = F.filter(F.split(F.coalesce(text, F.lit("")), WORDS), lambda w: w != "")
     start = F.struct(F.lit(1).cast("long").alias("lines"), F.lit(0).cast("long").alias("pen"))
 
     def put(a: Column, w: Column) -> Column:
         n = F.length(w).cast("long")
-        fits = (a["pen"] == 0) | (a["pen"] + 1 + n <= width)
+        fits = (a["pen"] == 0) | (a["pen"] + 1 + n <= width(a["lines"]))
         return F.struct(
             F.when(fits, a["lines"]).otherwise(a["lines"] + 1).alias("lines"),
             F.when(a["pen"] == 0, n).when(fits, a["pen"] + 1 + n).otherwise(n).alias("pen"),

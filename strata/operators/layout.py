@@ -5,9 +5,10 @@ Each fold runs once per document, list, table or line, so it is split by that ke
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,25 +118,35 @@ def scaled_widths(df: DataFrame, keys: Sequence[str], order: Sequence[str], widt
     return rows.withColumn("scaled", F.col("__edge") - F.coalesce(F.lag("__edge").over(upto), F.lit(0))).select(*df.columns, "scaled")
 
 
+def _folded(df: DataFrame, key: str, order: str, columns: Sequence[str], fold: Callable[[list[dict]], list[int | None]], name: str, beside: Sequence[str] = ()) -> DataFrame:
+    """(key, order, name): what fold says of each of a key's rows, in order. The rows travel as one array, with the ``beside`` columns of their first."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), *columns))).alias("rows")
+    grouped = df.groupBy(F.col(key).cast("long").alias("k")).agg(rows, *(F.first(c, ignorenulls=True).alias(c) for c in beside))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for told in batch.to_pylist():
+                own = told["rows"]
+                found = fold([{**{c: told[c] for c in beside}, **x} for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array([told["k"]] * len(own), pa.int64()), pa.array([x["o"] for x in own], pa.int64()), pa.array(found, pa.int64())], names=[key, order, name])
+
+    return grouped.mapInArrow(run, f"{key} long, {order} long, {name} long")
+
+
 def packed_rows(df: DataFrame, table: str, order: str, height: str, header: str, room: int) -> DataFrame:
     """page of each table row; leading header rows are repeated on every further page and take its room."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        heads = 0
-        for flag, h in zip(pdf[header], pdf[height], strict=True):
-            if not flag:
-                break
-            heads += int(h)
-        page, used, pages, fresh = 1, 0, [], True
-        for h in pdf[height]:
-            if not fresh and used + h > room:
+    def fold(rows: list[dict]) -> list[int | None]:
+        heads = sum(x[height] for x in itertools.takewhile(lambda x: x[header], rows))
+        page, used, pages = 1, None, []
+        for x in rows:
+            if used is not None and used + x[height] > room:
                 page, used = page + 1, heads if heads < room else 0
             pages.append(page)
-            used, fresh = used + int(h), False
-        return pd.DataFrame({table: pdf[table], order: pdf[order], "page": pages})
+            used = (used or 0) + x[height]
+        return pages
 
-    return df.select(table, order, height, header).groupBy(table).applyInPandas(fold, f"{table} long, {order} long, page long")
+    return _folded(df, table, order, [height, header], fold, "page")
 
 
 def fill_segments(words: DataFrame, segments: DataFrame, key: str, order: str, width: str, space: int, least: int) -> DataFrame:
@@ -144,20 +155,45 @@ def fill_segments(words: DataFrame, segments: DataFrame, key: str, order: str, w
     A segment that can't hold the next word is passed over; words beyond the last segment have null.
     """
     free = segments.where(F.col("free_to") - F.col("free_from") >= least)
-    spans = free.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("free_from", "free_to"))).alias("__spans"))
+    spans = free.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("free_from", "free_to"))).alias("spans"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans_ = [(s["free_from"], s["free_to"]) for s in (pdf["__spans"].iloc[0] if pdf["__spans"].iloc[0] is not None else [])]
+    def fold(rows: list[dict]) -> list[int | None]:
+        rooms = [s["free_to"] - s["free_from"] for s in rows[0]["spans"] or ()]
         at, pen, out = 0, 0, []
-        pdf = pdf.sort_values(order)
-        for w in pdf[width]:
-            while at < len(spans_) and pen + (space if pen else 0) + w > spans_[at][1] - spans_[at][0]:
+        for w in (x[width] for x in rows):
+            while at < len(rooms) and pen + (space if pen else 0) + w > rooms[at]:
                 at, pen = at + 1, 0
             pen += (space if pen else 0) + w
-            out.append(at if at < len(spans_) else None)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "segment": pd.array(out, dtype="Int64")})
+            out.append(at if at < len(rooms) else None)
+        return out
 
-    return words.join(spans, key, "left").groupBy(key).applyInPandas(fold, f"{key} long, {order} long, segment long")
+    return _folded(words.join(spans, key, "left"), key, order, [width], fold, "segment", ["spans"])
+
+
+def note_pages(notes: Column, room: int) -> Column:
+    """Pages of lines with notes at the foot, from an array with the length of each line's notes (0: none): struct of page, body, foot and carry.
+
+    A line stands with one line of its notes at least, under a separator that takes a line too; the rest
+    of the notes goes on at the foot of the next pages, before theirs. What is left after the last line fills pages of its own, counted in ``pages``.
+    """
+    start = F.struct(*(F.lit(v).cast("long").alias(c) for c, v in (("page", 1), ("body", 0), ("foot", 0), ("carry", 0))))
+
+    def put(s: Column, k: Column) -> Column:
+        separator = F.when((s["foot"] == 0) & (k > 0), 1).otherwise(0)
+        fits = (s["carry"] == 0) & (s["body"] + 1 + s["foot"] + separator + F.least(k, F.lit(1)) <= room) | ((s["body"] == 0) & (s["foot"] == 0))
+        taken = F.least(s["carry"], F.lit(room - 3))
+        body = F.when(fits, s["body"]).otherwise(0) + 1
+        foot = F.when(fits, s["foot"]).otherwise(F.when(s["carry"] > 0, taken + 1).otherwise(0))
+        carry = F.when(fits, s["carry"]).otherwise(s["carry"] - taken)
+        page = s["page"] + F.when(fits, 0).otherwise(1)
+        line = F.when((foot == 0) & (k > 0), 1).otherwise(0)
+        fit = F.when(carry > 0, 0).otherwise(F.greatest(F.least(k, room - body - foot - line), F.lit(0)))
+        return F.struct(page.cast("long").alias("page"), body.cast("long").alias("body"), (foot + F.when(fit > 0, line + fit).otherwise(0)).cast("long").alias("foot"), (carry + k - fit).cast("long").alias("carry"))
+
+    def end(s: Column) -> Column:
+        return s.withField("pages", s["page"] + F.ceil(s["carry"] / (room - 1)))
+
+    return F.aggregate(notes, start, put, end)
 
 
 def anchored(align: Column, offset: Column, size: Column, low: Column, high: Column) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
-from strata.operators import layout, numbering, plan, spans, style, table
+from strata.operators import fold, layout, numbering, plan, spans, style, table
+from strata.plans.packages import scanned
 from strata.plans.registry import query, t
+from strata.sources.package import paragraphs
 
 _ITEM = "l_linenumber, l_partkey, l_suppkey, l_quantity"
 _ITEMS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
@@ -508,3 +510,98 @@ def _(spark, sf):
 def _(spark, sf):
     kind = plan.first_reason([("none", F.col("event_type") != "error"), ("recoverable", F.col("value") < 10), ("named", F.col("user_id") % 2 == 0)], "control")
     return t(spark, sf, "events").select("event_id", kind.alias("kind"))
+
+
+# --- notes at the foot, tables over pages, margins from stories
+
+
+@query(
+    "note_pages",
+    f"""
+    WITH l AS (SELECT l_orderkey % 200 AS doc, list(CASE WHEN l_returnflag = 'A' THEN l_quantity::BIGINT % 13 ELSE 0 END ORDER BY l_orderkey, {_ITEM}) AS x FROM lineitem GROUP BY 1),
+    r AS (SELECT doc, list_reduce(list_prepend({{p: 1::BIGINT, b: 0::BIGINT, f: 0::BIGINT, c: 0::BIGINT, k: 0::BIGINT}}, list_transform(x, lambda v: {{p: 0::BIGINT, b: 0::BIGINT, f: 0::BIGINT, c: 0::BIGINT, k: v}})), lambda s, v:
+        CASE WHEN (s.c = 0 AND s.b + 1 + s.f + CASE WHEN s.f = 0 AND v.k > 0 THEN 1 ELSE 0 END + least(v.k, 1) <= 20) OR (s.b = 0 AND s.f = 0)
+             THEN CASE WHEN v.k = 0 THEN {{p: s.p, b: s.b + 1, f: s.f, c: s.c, k: 0::BIGINT}}
+                  ELSE {{p: s.p, b: s.b + 1, f: s.f + (s.f = 0)::BIGINT + least(v.k, 20 - s.b - 1 - s.f - (s.f = 0)::BIGINT), c: v.k - least(v.k, 20 - s.b - 1 - s.f - (s.f = 0)::BIGINT), k: 0::BIGINT}} END
+             WHEN s.c > 17 THEN {{p: s.p + 1, b: 1::BIGINT, f: 18::BIGINT, c: s.c - 17 + v.k, k: 0::BIGINT}}
+             WHEN v.k = 0 THEN {{p: s.p + 1, b: 1::BIGINT, f: CASE WHEN s.c > 0 THEN s.c + 1 ELSE 0 END, c: 0::BIGINT, k: 0::BIGINT}}
+             ELSE {{p: s.p + 1, b: 1::BIGINT, f: 1 + s.c + least(v.k, 18 - s.c), c: v.k - least(v.k, 18 - s.c), k: 0::BIGINT}} END) AS s FROM l)
+    SELECT doc, s.p AS page, s.b AS body, s.f AS foot, s.c AS carry, s.p + ceil(s.c / 19.0)::BIGINT AS pages FROM r""",
+)
+def _(spark, sf):
+    note = F.when(F.col("l_returnflag") == "A", F.col("l_quantity").cast("long") % 13).otherwise(0)
+    rows = t(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 200).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", *_ITEMS, note.alias("k")))).alias("x"))
+    return rows.select("doc", layout.note_pages(F.transform("x", lambda v: v["k"]), 20).alias("s")).select("doc", "s.page", "s.body", "s.foot", "s.carry", "s.pages")
+
+
+@query(
+    "table_flow",
+    r"""
+    WITH w AS (SELECT conv_id, turn, [list_filter(string_split_regex(coalesce(role, ''), '[ \t\n\r\f\v]+'), lambda x: x <> ''), list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '')] AS cells FROM conversations),
+    h AS (SELECT conv_id, turn, list_max(list_transform(range(1, 3), lambda i: list_reduce(list_prepend({l: 1::BIGINT, p: 0::BIGINT}, list_transform(cells[i], lambda x: {l: 0::BIGINT, p: length(x)::BIGINT})), lambda a, x:
+            CASE WHEN a.p = 0 THEN {l: a.l, p: x.p} WHEN a.p + 1 + x.p <= CASE i WHEN 1 THEN 10 ELSE 40 END THEN {l: a.l, p: a.p + 1 + x.p} ELSE {l: a.l + 1, p: x.p} END).l)) AS h FROM w),
+    i AS (SELECT conv_id, list({o: turn, h: h, f: turn = 0} ORDER BY turn) AS x FROM h GROUP BY 1),
+    n AS (SELECT conv_id, x, CASE WHEN x[1].f THEN x[1].h ELSE 0 END AS heads, unnest(range(1, len(x) + 1)) AS n FROM i),
+    r AS (SELECT conv_id, x[n].o AS turn, x[n].h AS height, list_reduce(list_prepend({h: 0::BIGINT, g: 1::BIGINT, u: -1::BIGINT}, list_transform(x[1:n], lambda v: {h: v.h, g: 0::BIGINT, u: 0::BIGINT})), lambda a, v:
+        CASE WHEN a.u >= 0 AND a.u + v.h > 50 THEN {h: v.h, g: a.g + 1, u: CASE WHEN heads < 50 THEN heads ELSE 0 END + v.h} ELSE {h: v.h, g: a.g, u: greatest(a.u, 0) + v.h} END) AS s FROM n)
+    SELECT conv_id, turn, height, s.g AS page FROM r""",
+)
+def _(spark, sf):
+    """Cells wrapped in their columns, rows as high as their highest cell, rows on pages under a repeated header."""
+    height = F.greatest(fold.wrapped(F.col("role"), 10)["lines"], fold.wrapped(F.col("text"), 40)["lines"])
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", height.alias("height"), (F.col("turn") == 0).alias("head"))
+    return rows.select("conv_id", "turn", "height").join(layout.packed_rows(rows, "conv_id", "turn", "height", "head", 50), ["conv_id", "turn"])
+
+
+@query("story_margins", "SELECT DISTINCT conv_id || '.docx' AS path, 2 AS lines, CASE WHEN conv_id % 7 = 0 THEN 720 ELSE greatest(conv_id % 7 * 200 - 100, 720 + 2 * 240) END AS margin FROM conversations")
+def _(spark, sf):
+    """The top margin pushed in by a header that is wrapped like any other text: 'Conversation', and its number on the next line."""
+    rows = scanned(spark, sf, "story_reference", "relationship", "paragraph", "run")
+    linked = rows.where("kind = 'relationship'").select("path", F.col("name").alias("value"), F.concat(F.lit("word/"), F.col("value")).alias("part"))
+    used = rows.where("kind = 'story_reference'").select("path", "value").join(linked, ["path", "value"])
+    parts = rows.where("kind = 'paragraph'").select("path", "part", "parent")
+    text = paragraphs(rows).select("path", "parent", "text").join(parts, ["path", "parent"]).join(used, ["path", "part"])
+    lines = text.groupBy("path").agg(F.sum(fold.wrapped(F.col("text"), 12)["lines"]).alias("lines"))
+    k = F.regexp_extract("path", "^[0-9]+", 0).cast("long") % 7
+    stated = F.when(k == 0, -720).otherwise(k * 200 - 100)
+    return lines.select("path", "lines", table.text_box(stated, 720 + F.col("lines") * 240).alias("margin"))
+
+
+# --- lines beside obstacles, layered records
+
+
+@query(
+    "wrapped_beside",
+    """
+    WITH f AS (SELECT doc_id, list_reduce(list_prepend({l: 1::BIGINT, p: 0::BIGINT}, list_transform(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), lambda w: {l: 0::BIGINT, p: length(w)::BIGINT})), lambda a, w:
+        CASE WHEN a.p = 0 THEN {l: a.l, p: w.p} WHEN a.p + 1 + w.p <= CASE WHEN a.l <= 3 THEN 30 WHEN a.l <= 5 THEN 50 ELSE 80 END THEN {l: a.l, p: a.p + 1 + w.p} ELSE {l: a.l + 1, p: w.p} END) AS r FROM documents)
+    SELECT doc_id, r.l AS lines, r.p AS last_width FROM f""",
+)
+def _(spark, sf):
+    """Three lines beside one obstacle, two beside a narrower one, the rest at full width."""
+    w = fold.wrapped_beside(F.col("text"), F.array(*(F.lit(n) for n in (30, 30, 30, 50, 50))), 80)
+    return t(spark, sf, "documents").select("doc_id", w.alias("r")).select("doc_id", F.col("r.lines").alias("lines"), F.col("r.pen").alias("last_width"))
+
+
+@query(
+    "outline_layers",
+    """
+    SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 30 END, CASE WHEN s_suppkey % 3 = 0 THEN 9 END, 1) AS width, coalesce(CASE WHEN s_suppkey % 5 = 0 THEN '' END, CASE WHEN s_suppkey % 3 = 0 THEN 'FF0000' END, '000000') AS colour,
+           CASE WHEN s_suppkey % 2 = 0 THEN 'own' WHEN s_suppkey % 3 = 0 THEN 'style' ELSE 'default' END AS width_by FROM supplier""",
+)
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    own, base = F.when(k % 2 == 0, k % 30), F.when(k % 3 == 0, 9)
+    by = plan.first_reason([("own", own.isNotNull()), ("style", base.isNotNull())], "default")
+    return t(spark, sf, "supplier").select("s_suppkey", style.stated(own, base, F.lit(1)).alias("width"), style.stated(F.when(k % 5 == 0, ""), F.when(k % 3 == 0, "FF0000"), F.lit("000000")).alias("colour"), by.alias("width_by"))
+
+
+@query("first_defaults", "SELECT p_brand, p_size % 4 AS kind, arg_min(p_partkey, p_partkey) AS style, count(*) AS stated FROM part WHERE p_partkey % 3 > 0 GROUP BY 1, 2")
+def _(spark, sf):
+    return t(spark, sf, "part").where("p_partkey % 3 > 0").groupBy("p_brand", (F.col("p_size") % 4).alias("kind")).agg(F.min("p_partkey").alias("style"), F.count(F.lit(1)).alias("stated"))
+
+
+@query("reason_texts", "SELECT event_id, 'layout-placeholder:' || event_type || ' at user ' || user_id || CASE WHEN value > 50 THEN ' (large)' ELSE '' END AS reason FROM events WHERE event_type IN ('error', 'click')")
+def _(spark, sf):
+    large = F.when(F.col("value") > 50, " (large)").otherwise("")
+    return t(spark, sf, "events").where(F.col("event_type").isin("error", "click")).select("event_id", F.concat(F.lit("layout-placeholder:"), "event_type", F.lit(" at user "), "user_id", large).alias("reason"))
