@@ -100,6 +100,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_suffix_dedup": r"""
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 99)) AS i FROM h)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1 AS dead FROM w),
+        b AS (SELECT doc_id, unnest(regexp_extract_all(x, '..')) AS byte, unnest(range(length(x) // 2)) AS i FROM h),
+        g AS (SELECT b.doc_id, b.i, byte, coalesce(max(CASE WHEN dead THEN b.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i) > b.i - 100, false) AS gone FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.i = b.i),
+        r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+        k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
+        SELECT h.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
