@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.staging import Stage
@@ -55,7 +55,7 @@ def generalise(stage: Stage, paths: DataFrame, many: int, each: int, wide: int)
     end = F.array(F.lit(""))
     while True:
         over = F.size("segments") <= level
-        done.append(stage.put(active.where(over).withColumn("labels", F.concat("labels", end)), f"ended{level}"))
+        done.append(active.where(over).withColumn("labels", F.concat("labels", end)))
         active = active.where(~over)
         segment = F.get("segments", F.lit(level))
         children = stage.put(active.groupBy("host", "labels", segment.alias("segment")).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("paths")), f"children{level}")
@@ -109,10 +109,11 @@ def merge_similar(stage: Stage, tree: DataFrame, z: float, main: float = 0.05) -
         labelled = F.col("blocked") + F.col("allowed")
         rate = (F.col("pb") + 1) / (F.col("pb") + F.col("pa") + 2)
         near = (labelled == 0) | (F.abs(F.col("blocked") / F.greatest(labelled, F.lit(1)) - rate) <= z * F.sqrt(rate * (1 - rate) / F.greatest(labelled, F.lit(1))))
-        alike = stage.put(held.where(near & (F.col("x2") <= F.col("free") + z * F.sqrt(2 * F.col("free")) + 1e-9)).select(*key, "label", F.size("kids").alias("width"), F.col("kids")[0]["child"].alias("only")), f"alike{at}")
-        several = alike.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+        alike = held.where(near & (F.col("x2") <= F.col("free") + z * F.sqrt(2 * F.col("free")) + 1e-9)).select(*key, "label", F.size("kids").alias("width"), F.col("kids")[0]["child"].alias("only"))
+        # Siblings are bounded in number, so a window over them is too.
+        several = alike.withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("alike > 1")
         leaf = (F.col("width") == 1) & (F.col("only") == "")
-        names = alike.join(several, key).select("host", "parent", "label", F.when(leaf, "*").otherwise(F.concat(F.lit("*"), F.substring(F.sha2("form", 256), 1, 8))).alias("name"))
+        names = several.select("host", "parent", "label", F.when(leaf, "*").otherwise(F.concat(F.lit("*"), F.substring(F.sha2("form", 256), 1, 8))).alias("name"))
         renamed = tree.withColumn("parent", parent).withColumn("label", label).join(names, ["host", "parent", "label"], "left")
         new = F.when(F.col("name").isNull(), F.col("merged")).otherwise(F.transform("merged", lambda x, i: F.when(i == at - 1, F.col("name")).otherwise(x)))
         tree = stage.put(renamed.withColumn("merged", new).drop("parent", "label", "name"), f"merged{at}")
