@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
-from strata.operators import fold, layout, numbering, plan, spans, style, table
+from strata.operators import fold, layout, numbering, plan, resolve, spans, style, table
 from strata.plans.packages import scanned
 from strata.plans.registry import query, t
 from strata.sources.package import paragraphs
@@ -605,3 +605,58 @@ def _(spark, sf):
 def _(spark, sf):
     large = F.when(F.col("value") > 50, " (large)").otherwise("")
     return t(spark, sf, "events").where(F.col("event_type").isin("error", "click")).select("event_id", F.concat(F.lit("layout-placeholder:"), "event_type", F.lit(" at user "), "user_id", large).alias("reason"))
+
+
+# --- cascades of tables, the flow of blocks, fixpoints after an edit
+
+
+@query(
+    "table_cascade",
+    f"""
+    WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ITEM}) AS n FROM lineitem)
+    SELECT l_orderkey, n, coalesce(CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 50 END, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 20 END, CASE WHEN n % 2 = 0 THEN 7 END, l_orderkey % 9) AS padding,
+           CASE WHEN l_partkey % 5 = 0 THEN 'cell' WHEN l_suppkey % 3 = 0 THEN 'row' WHEN n % 2 = 0 THEN 'band' ELSE 'table' END AS decided_by FROM i""",
+)
+def _(spark, sf):
+    """A cell's padding: its own, its row's, its band's, its table's; each layer a row, the highest one decides."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ITEMS)).cast("long")
+    i = t(spark, sf, "lineitem").select("l_orderkey", n.alias("n"), "l_partkey", "l_suppkey")
+    layers = [("table", F.col("l_orderkey") % 9), ("band", F.when(F.col("n") % 2 == 0, 7)), ("row", F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 20)), ("cell", F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 50))]
+    told = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(name).alias("origin"), value.cast("long").alias("value")) for k, (name, value) in enumerate(layers)))
+    declared = i.select("l_orderkey", "n", F.inline(told)).withColumn("name", F.lit("padding"))
+    found = resolve.cascade(declared, ["l_orderkey", "n"], "name", "value", "rank", "origin")
+    return found.select("l_orderkey", "n", F.col("value").alias("padding"), F.col("origin").alias("decided_by"))
+
+
+@query(
+    "flow_of_blocks",
+    r"""
+    WITH w AS (SELECT conv_id, turn, role, coalesce(text, '') AS x, list_reduce(list_prepend({l: 1::BIGINT, p: 0::BIGINT}, list_transform(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda w: w <> ''), lambda w: {l: 0::BIGINT, p: length(w)::BIGINT})),
+            lambda a, w: CASE WHEN a.p = 0 THEN {l: a.l, p: w.p} WHEN a.p + 1 + w.p <= 60 THEN {l: a.l, p: a.p + 1 + w.p} ELSE {l: a.l + 1, p: w.p} END).l AS lines FROM conversations),
+    f AS (SELECT *, count(*) FILTER (role = 'user') OVER o AS a, CASE WHEN first_value(role) OVER o = 'user' THEN 0 ELSE 1 END AS z, lag(role) OVER o AS before FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY turn) - CASE WHEN a > 0 THEN 1 ELSE 0 END AS b FROM f)
+    SELECT conv_id, turn, CASE WHEN role = 'user' THEN (a + z) || '.' ELSE (a + z) || '.' || b || '.' END AS label, lines * 240 AS height, CASE WHEN before IS NULL OR before = role THEN 0 ELSE 120 END AS gap, role = 'user' AS keep_next,
+           CASE WHEN lines > 25 THEN 'too long' WHEN x = '' THEN 'empty' END AS reason,
+           sum(lines * 240 + CASE WHEN before IS NULL OR before = role THEN 0 ELSE 120 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS y_end FROM g""",
+)
+def _(spark, sf):
+    """Label, height, space, keep and reason of every block, and where it ends."""
+    user = F.col("role") == "user"
+    blocks = t(spark, sf, "conversations").withColumn("x", F.coalesce("text", F.lit(""))).withColumn("lines", fold.wrapped(F.col("text"), 60)["lines"]).withColumn("level", F.when(user, 0).otherwise(1)).withColumn("instance", F.lit(1))
+    levels = spark.sql("SELECT 1 AS instance, CAST(c1 AS INT) AS level, 'a' AS list, CAST(1 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS restart, 'decimal' AS format, c2 AS text, false AS legal, false AS override FROM VALUES (0, '%1.'), (1, '%1.%2.') AS v(c1, c2)")
+    rows = numbering.list_items(blocks, ["conv_id"], ["turn"], levels, depth=2)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.lag("role").over(w)
+    rows = rows.withColumn("height", F.col("lines") * 240).withColumn("gap", F.when(before.isNull() | (before == F.col("role")), 0).otherwise(120))
+    reason = plan.first_reason([("too long", F.col("lines") > 25), ("empty", F.col("x") == "")])
+    return rows.select("conv_id", "turn", "label", "height", "gap", user.alias("keep_next"), reason.alias("reason"), F.sum(F.col("height") + F.col("gap")).over(w).alias("y_end"))
+
+
+@query("fixpoint_after_edit", "SELECT n_nationkey, greatest(n_nationkey, 20)::BIGINT AS v, 2 AS passes, true AS settled FROM nation")
+def _(spark, sf):
+    """Settled values of the last version are kept where nothing changed; nations from 14 on begin anew and settle in one pass, the second changes nothing."""
+    nation = t(spark, sf, "nation").select("n_nationkey")
+    held = nation.where("n_nationkey < 14").select("n_nationkey", F.lit(20).cast("long").alias("v"))
+    fresh = nation.where("n_nationkey >= 14").select("n_nationkey", F.col("n_nationkey").cast("long").alias("v"))
+    found, passes, settled = layout.fixpoint(held.unionByName(fresh), lambda d: d.select("n_nationkey", F.greatest("v", F.least(F.col("v") + 7, F.lit(20))).alias("v")))
+    return found.withColumn("passes", F.lit(passes)).withColumn("settled", F.lit(settled))
