@@ -260,7 +260,7 @@ def _(spark, sf):
     "field_depths",
     """
     WITH s AS (SELECT *, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT event_id, total - least(min(total) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS depth FROM s""",
+    SELECT event_id, (total - least(min(total) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0))::BIGINT AS depth FROM s""",
 )
 def _(spark, sf):
     df = plan.nesting(t(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "purchase")
@@ -379,7 +379,7 @@ def _(spark, sf):
     WITH v AS (SELECT s_suppkey AS k, [{x: 0, y: 0}, {x: 60 + s_suppkey % 40, y: 20 + s_suppkey % 30}, {x: s_suppkey % 50, y: 90}] AS p FROM supplier),
     e AS (SELECT k, unnest([{a: p[1], b: p[2]}, {a: p[2], b: p[3]}, {a: p[3], b: p[1]}]) AS s FROM v),
     c AS (SELECT k, unnest([greatest(least(s.a.y, s.b.y), 30), least(greatest(s.a.y, s.b.y), 50)]) AS y, s FROM e WHERE least(s.a.y, s.b.y) < 50 AND greatest(s.a.y, s.b.y) > 30)
-    SELECT k AS s_suppkey, min(s.a.x + (s.b.x - s.a.x) * (y - s.a.y) / (s.b.y - s.a.y)::DOUBLE) AS low, max(s.a.x + (s.b.x - s.a.x) * (y - s.a.y) / (s.b.y - s.a.y)::DOUBLE) AS high FROM c WHERE s.a.y <> s.b.y GROUP BY 1""",
+    SELECT k AS s_suppkey, round(min(s.a.x + (s.b.x - s.a.x) * (y - s.a.y) / (s.b.y - s.a.y)::DOUBLE), 6) AS low, round(max(s.a.x + (s.b.x - s.a.x) * (y - s.a.y) / (s.b.y - s.a.y)::DOUBLE), 6) AS high FROM c WHERE s.a.y <> s.b.y GROUP BY 1""",
 )
 def _(spark, sf):
     """The x-extent of each polygon inside the band 30 to 50, by its edges."""
@@ -388,7 +388,7 @@ def _(spark, sf):
     edges = edges.withColumn("low_y", F.greatest(F.least("a.y", "b.y"), F.lit(30))).withColumn("high_y", F.least(F.greatest("a.y", "b.y"), F.lit(50))).where("low_y < 50 AND high_y > 30 AND low_y <= high_y AND a.y <> b.y")
     ends = edges.select("s_suppkey", "a", "b", F.explode(F.array("low_y", "high_y")).alias("y"))
     x = F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("y") - F.col("a.y")) / (F.col("b.y") - F.col("a.y"))
-    return ends.groupBy("s_suppkey").agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    return ends.groupBy("s_suppkey").agg(F.round(F.min(x), 6).alias("low"), F.round(F.max(x), 6).alias("high"))
 
 
 # --- recomputing

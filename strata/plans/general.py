@@ -156,9 +156,9 @@ def _(spark, sf):
     return sql(spark, sf, _CHAIN.format(half="here div 2"))
 
 
-@query("ordered_lists", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders, median(o_totalprice) AS middle, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")
+@query("ordered_lists", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders, round(median(o_totalprice), 4) AS middle, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")
 def _(spark, sf):
-    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("orders"), F.median("o_totalprice").alias("middle"), F.count_distinct("o_orderstatus").alias("kinds"))
+    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("orders"), F.round(F.median("o_totalprice"), 4).alias("middle"), F.count_distinct("o_orderstatus").alias("kinds"))
 
 
 @query("left_full_semi_anti", "SELECT coalesce(c_nationkey, s_nationkey)::INT AS nation, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_nationkey % 3 > 0 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_nationkey % 2 > 0 GROUP BY 1) ON c_nationkey = s_nationkey")
