@@ -57,10 +57,10 @@ def generalise(stage: Stage, paths: DataFrame, many: int, each: int, wide: int)
         over = F.size("segments") <= level
         done.append(active.where(over).withColumn("labels", F.concat("labels", end)))
         active = active.where(~over)
+        if active.isEmpty():
+            break
         segment = F.get("segments", F.lit(level))
         children = stage.put(active.groupBy("host", "labels", segment.alias("segment")).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("paths")), f"children{level}")
-        if children.isEmpty():
-            break
         parents = children.groupBy("host", "labels").agg(F.greatest(F.lit(each), F.sum("pages") / wide).alias("bar"))
         rare = children.join(parents, ["host", "labels"]).groupBy("host", "labels", "bar").agg(F.count(F.when(F.col("pages") < F.col("bar"), 1)).alias("rare"))
         bars = rare.where(F.col("rare") >= many).select("host", "labels", "bar")
@@ -171,6 +171,6 @@ def filter_urls(
     grown = generalise(stage, paths, many, each, wide)
     tree = stage.put(grown.groupBy("host", "labels").agg(*(F.sum(c).alias(c) for c in ("n", "blocked", "allowed"))), "tree")
     found = stage.put(judge_templates(merge_similar(stage, tree, z), weight, reject), "judged")
-    found = stage.put(grown.select("host", "segments", "labels").join(found, ["host", "labels"]).drop("labels"), "found")
+    found = grown.select("host", "segments", "labels").join(found, ["host", "labels"]).drop("labels")
     out = rows.join(found, ["host", "segments"])
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", "found").alias("verdict"), "template", "purity")
