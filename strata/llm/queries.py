@@ -14,6 +14,7 @@ from strata.llm.quality_classifier import classify_quality
 from strata.llm.quality_rules import quality_rules
 from strata.llm.substring_dedup import drop_repeated_windows
 from strata.llm.suffix_dedup import drop_repeated_strings
+from strata.llm.toxicity import score_toxicity
 from strata.llm.url_filter import filter_urls
 
 
@@ -86,6 +87,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
+    "op12_toxicity": op12_toxicity,
 }
 
 ORACLE = {

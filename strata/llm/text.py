@@ -11,6 +11,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
+#: Bytes of letters: those of ASCII and of all code points beyond it.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -66,11 +69,11 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte and end of every word, and for each text the number of words before it (n + 1)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, inner: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of every word (of bytes that ``inner`` marks), and for each text the number of words before it (n + 1)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = _IS_WORD[data]
+    inside = inner[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     first = inside.copy()
