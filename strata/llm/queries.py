@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.conversation_repair import conversation_digests, damage_conversations, repair_conversations
 from strata.llm.divergence import audit_sources
 from strata.llm.exact_dedup import exact_groups
 from strata.llm.lm_scoring import score_texts
@@ -88,6 +89,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of which no row is left after the damage have nothing to repair."""
+    given = table(spark, sf_dir, "conversations")
+    found = conversation_digests(repair_conversations(damage_conversations(given))).withColumnRenamed("conv_id", "id")
+    every = given.select("conv_id").distinct()
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.join(found, every["conv_id"].eqNullSafe(found["id"]), "left").select("conv_id", *zero.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"))
@@ -108,11 +118,42 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_toxicity": op12_toxicity,
     "op13_divergence": op13_divergence,
 }
 
+def _repair_sql() -> str:
+    """The cheapest edits by a fold from the last row to the first: cost, letters and text for each position (start, after system, after user, after assistant)."""
+    row = lambda q, due, name: f"""list_min([{{'c': 2 + v[{q}].c, 'a': 'D' || v[{q}].a, 't': v[{q}].t}}] || CASE WHEN f IN ('blank', 'duplicate') THEN []::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)[] ELSE [{{'c': 1 + late + v[{due}].c, 'a': 'R' || v[{due}].a, 't': chr(10) || '{name}:' || x || v[{due}].t}}] || {{kept}} END)"""
+    keep = lambda *pairs: "(CASE i " + " ".join(f"WHEN '{i}' THEN [{{'c': late + v[{to}].c, 'a': 'K' || v[{to}].a, 't': chr(10) || role || ':' || x || v[{to}].t}}]" for i, to in pairs) + " ELSE [] END)"
+    before = [row(1, 3, "user").replace("{kept}", keep(("s", 2), ("u", 3))), row(2, 3, "user").replace("{kept}", keep(("u", 3))), row(3, 4, "assistant").replace("{kept}", keep(("a", 4))), row(4, 3, "user").replace("{kept}", keep(("u", 3)))]
+    more = lambda v, to, name: f"{{'c': 5 + {v}[{to}].c, 'a': 'I' || {v}[{to}].a, 't': chr(10) || '{name}:' || {v}[{to}].t}}"
+    shut = lambda v: "[" + ", ".join(f"least({v}[{q}], {more(v, to, name)})" for q, to, name in ((1, 3, "user"), (2, 3, "user"), (3, 4, "assistant"), (4, 3, "user"))) + "]"
+    crc = "list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: list_concat([ord(s)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END)"
+    return rf"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS x, xor({crc}, 4294967295::BIGINT) % 20 AS k FROM conversations),
+        d AS (SELECT coalesce('=' || conv_id::VARCHAR, '') AS g, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS x,
+              unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+        b AS (SELECT *, left(role, 1) AS i, regexp_replace(x, '[ 	-]+$', '') AS bare, row_number() OVER w AS n, lag(left(role, 1)) OVER w AS was, row_number() OVER (PARTITION BY g, role, x ORDER BY turn NULLS FIRST) AS seen
+              FROM d WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(x))),
+        r AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f FROM b),
+        s AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
+              count(*) FILTER (f = 'truncated') AS truncated, count(*) FILTER (n > 1 AND was || i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+        e AS (SELECT [{{'c': 0::BIGINT, 'a': '', 't': ''}}, {{'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': 5, 'a': 'I', 't': chr(10) || 'assistant:'}}, {{'c': 0, 'a': '', 't': ''}}] AS v),
+        p(g, n, v) AS (
+            SELECT s.g, s.n, e.v FROM s, e
+            UNION ALL
+            SELECT g, n - 1, {shut("v")} FROM (SELECT g, n, {shut("v")} AS v FROM (
+                SELECT g, n, [{", ".join(before)}] AS v FROM (SELECT p.g, p.n, p.v, r.f, r.i, r.role, r.x, CASE WHEN r.f = 'truncated' THEN 5 ELSE 0 END AS late FROM p JOIN r ON r.g = p.g AND r.n = p.n)))),
+        o AS (SELECT s.*, p.v[1] AS o FROM s JOIN p ON p.g = s.g AND p.n = 0)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(o.o.c, 0)::BIGINT AS cost, coalesce(o.o.a, '') AS audit, sha256(substr(coalesce(o.o.t, ''), 2)) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN o ON o.g = coalesce('=' || c.conv_id::VARCHAR, '')"""
+
+
 ORACLE = {
+    "op11_conversation_repair": _repair_sql(),
     "op13_divergence": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
