@@ -132,11 +132,12 @@ def _repair_sql() -> str:
     shut = lambda v: "[" + ", ".join(f"least({v}[{q}], {more(v, to, name)})" for q, to, name in ((1, 3, "user"), (2, 3, "user"), (3, 4, "assistant"), (4, 3, "user"))) + "]"
     crc = "list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: list_concat([ord(s)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END)"
     return rf"""
-        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS x, xor({crc}, 4294967295::BIGINT) % 20 AS k FROM conversations),
-        d AS (SELECT coalesce('=' || conv_id::VARCHAR, '') AS g, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS x,
+        WITH RECURSIVE k AS (SELECT conv_id, turn, row_number() OVER () AS id, coalesce(role, ' ') AS role, coalesce(text, ' ') AS x, xor({crc}, 4294967295::BIGINT) % 20 AS k FROM conversations),
+        d AS (SELECT coalesce('=' || conv_id::VARCHAR, '') AS g, turn, id, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS x,
               unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
-        b AS (SELECT *, left(role, 1) AS i, regexp_replace(x, '[ 	-]+$', '') AS bare, row_number() OVER w AS n, lag(left(role, 1)) OVER w AS was, row_number() OVER (PARTITION BY g, role, x ORDER BY turn NULLS FIRST) AS seen
-              FROM d WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(x))),
+        b AS (SELECT *, left(role, 1) AS i, regexp_replace(x, '[ 	-
+]+$', '') AS bare, row_number() OVER w AS n, lag(left(role, 1)) OVER w AS was, row_number() OVER (PARTITION BY g, role, x ORDER BY turn NULLS FIRST, id, copy) AS seen
+              FROM d WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(x), id, copy)),
         r AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f FROM b),
         s AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
               count(*) FILTER (f = 'truncated') AS truncated, count(*) FILTER (n > 1 AND was || i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),

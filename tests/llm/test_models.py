@@ -94,7 +94,7 @@ def test_tokenizers_that_see_white_space_are_refused():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "pages"):
+    for table in ("documents", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     result = con.execute(queries.ORACLE[name])
     columns = [d[0] for d in result.description]
