@@ -84,7 +84,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     bags = np.concatenate([[0], np.cumsum(found["n"].to_numpy())]).astype(np.int64)
     features, owners = found["features"].combine_chunks(), found["owners"].combine_chunks()
     sizes = np.diff(features.offsets.to_numpy()) if len(found) else np.zeros(0, int)
-    return fit_noisy_or(features.flatten().to_numpy().astype(np.int64), owners.flatten().to_numpy() + np.repeat(bags[:-1], sizes), bags, found["y"].to_numpy(), BUCKETS)
+    return fit_noisy_or(features.flatten().to_numpy(), owners.flatten().to_numpy() + np.repeat(bags[:-1].astype(np.int32), sizes), bags, found["y"].to_numpy(), BUCKETS)
 
 
 def score_toxicity(
@@ -97,8 +97,8 @@ def score_toxicity(
     offend_at: float = 0.1,
     parts: int = 4,
     held_part: int = 2,
-    fit_rows: int = 9000,
-    fit_bytes: int = 64 << 20,
+    fit_rows: int = 4000,
+    fit_bytes: int = 24 << 20,
 ) -> DataFrame:
     """One row per document: id, held_out, score in [0, 1], predicted (1 if score >= flag_at), n_sentences and offending.
 

@@ -13,7 +13,7 @@ from strata.llm.noisy_or import either, fit_noisy_or
 from strata.llm.text import slice_hashes
 from strata.llm.toxicity import BUCKETS, LONGEST, STEM, fit_toxicity, score_toxicity
 
-MODEL = ("doc_id", "text", "toxic", 4, 2, 9000, 64 << 20)
+MODEL = ("doc_id", "text", "toxic", 4, 2, 4000, 24 << 20)
 
 
 def bucket(raw, seed):
