@@ -170,32 +170,6 @@ def fill_segments(words: DataFrame, segments: DataFrame, key: str, order: str, w
     return _folded(words.join(spans, key, "left"), key, order, [width], fold, "segment", ["spans"])
 
 
-def note_pages(notes: Column, room: int) -> Column:
-    """Pages of lines with notes at the foot, from an array with the length of each line's notes (0: none): struct of page, body, foot and carry.
-
-    A line stands with one line of its notes at least, under a separator that takes a line too; the rest
-    of the notes goes on at the foot of the next pages, before theirs. What is left after the last line fills pages of its own, counted in ``pages``.
-    """
-    start = F.struct(*(F.lit(v).cast("long").alias(c) for c, v in (("page", 1), ("body", 0), ("foot", 0), ("carry", 0))))
-
-    def put(s: Column, k: Column) -> Column:
-        separator = F.when((s["foot"] == 0) & (k > 0), 1).otherwise(0)
-        fits = (s["carry"] == 0) & (s["body"] + 1 + s["foot"] + separator + F.least(k, F.lit(1)) <= room) | ((s["body"] == 0) & (s["foot"] == 0))
-        taken = F.least(s["carry"], F.lit(room - 3))
-        body = F.when(fits, s["body"]).otherwise(0) + 1
-        foot = F.when(fits, s["foot"]).otherwise(F.when(s["carry"] > 0, taken + 1).otherwise(0))
-        carry = F.when(fits, s["carry"]).otherwise(s["carry"] - taken)
-        page = s["page"] + F.when(fits, 0).otherwise(1)
-        line = F.when((foot == 0) & (k > 0), 1).otherwise(0)
-        fit = F.when(carry > 0, 0).otherwise(F.greatest(F.least(k, room - body - foot - line), F.lit(0)))
-        return F.struct(page.cast("long").alias("page"), body.cast("long").alias("body"), (foot + F.when(fit > 0, line + fit).otherwise(0)).cast("long").alias("foot"), (carry + k - fit).cast("long").alias("carry"))
-
-    def end(s: Column) -> Column:
-        return s.withField("pages", s["page"] + F.ceil(s["carry"] / (room - 1)))
-
-    return F.aggregate(notes, start, put, end)
-
-
 def anchored(align: Column, offset: Column, size: Column, low: Column, high: Column) -> Column:
     """Position in the frame [low, high): by alignment where there is one, else by offset."""
     room = high - low - size

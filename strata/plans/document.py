@@ -515,25 +515,6 @@ def _(spark, sf):
 # --- notes at the foot, tables over pages, margins from stories
 
 
-@query(
-    "note_pages",
-    f"""
-    WITH l AS (SELECT l_orderkey % 200 AS doc, list(CASE WHEN l_returnflag = 'A' THEN l_quantity::BIGINT % 13 ELSE 0 END ORDER BY l_orderkey, {_ITEM}) AS x FROM lineitem GROUP BY 1),
-    r AS (SELECT doc, list_reduce(list_prepend({{p: 1::BIGINT, b: 0::BIGINT, f: 0::BIGINT, c: 0::BIGINT, k: 0::BIGINT}}, list_transform(x, lambda v: {{p: 0::BIGINT, b: 0::BIGINT, f: 0::BIGINT, c: 0::BIGINT, k: v}})), lambda s, v:
-        CASE WHEN (s.c = 0 AND s.b + 1 + s.f + CASE WHEN s.f = 0 AND v.k > 0 THEN 1 ELSE 0 END + least(v.k, 1) <= 20) OR (s.b = 0 AND s.f = 0)
-             THEN CASE WHEN v.k = 0 THEN {{p: s.p, b: s.b + 1, f: s.f, c: s.c, k: 0::BIGINT}}
-                  ELSE {{p: s.p, b: s.b + 1, f: s.f + (s.f = 0)::BIGINT + least(v.k, 20 - s.b - 1 - s.f - (s.f = 0)::BIGINT), c: v.k - least(v.k, 20 - s.b - 1 - s.f - (s.f = 0)::BIGINT), k: 0::BIGINT}} END
-             WHEN s.c > 17 THEN {{p: s.p + 1, b: 1::BIGINT, f: 18::BIGINT, c: s.c - 17 + v.k, k: 0::BIGINT}}
-             WHEN v.k = 0 THEN {{p: s.p + 1, b: 1::BIGINT, f: CASE WHEN s.c > 0 THEN s.c + 1 ELSE 0 END, c: 0::BIGINT, k: 0::BIGINT}}
-             ELSE {{p: s.p + 1, b: 1::BIGINT, f: 1 + s.c + least(v.k, 18 - s.c), c: v.k - least(v.k, 18 - s.c), k: 0::BIGINT}} END) AS s FROM l)
-    SELECT doc, s.p AS page, s.b AS body, s.f AS foot, s.c AS carry, s.p + ceil(s.c / 19.0)::BIGINT AS pages FROM r""",
-)
-def _(spark, sf):
-    note = F.when(F.col("l_returnflag") == "A", F.col("l_quantity").cast("long") % 13).otherwise(0)
-    rows = t(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 200).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", *_ITEMS, note.alias("k")))).alias("x"))
-    return rows.select("doc", layout.note_pages(F.transform("x", lambda v: v["k"]), 20).alias("s")).select("doc", "s.page", "s.body", "s.foot", "s.carry", "s.pages")
-
-
 @query(
     "table_flow",
     r"""
