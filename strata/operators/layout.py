@@ -5,7 +5,6 @@ Each fold runs once per document, list, table or line, so it is split by that ke
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -118,56 +117,67 @@ def scaled_widths(df: DataFrame, keys: Sequence[str], order: Sequence[str], widt
     return rows.withColumn("scaled", F.col("__edge") - F.coalesce(F.lag("__edge").over(upto), F.lit(0))).select(*df.columns, "scaled")
 
 
-def _folded(df: DataFrame, key: str, order: str, columns: Sequence[str], fold: Callable[[list[dict]], list[int | None]], name: str, beside: Sequence[str] = ()) -> DataFrame:
-    """(key, order, name): what fold says of each of a key's rows, in order. The rows travel as one array, with the ``beside`` columns of their first."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), *columns))).alias("rows")
-    grouped = df.groupBy(F.col(key).cast("long").alias("k")).agg(rows, *(F.first(c, ignorenulls=True).alias(c) for c in beside))
+def _folded(df: DataFrame, key: str, order: str, columns: Sequence[str], step: Callable[[tuple | None, tuple], tuple[tuple, int | None]], name: str) -> DataFrame:
+    """(key, order, name): what step says of each row, from the state that the row before it in its key left (None before the first).
+
+    A key's rows pass one by one, in order, so a key may have any number of them.
+    """
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(order).cast("long").alias("o"), *columns).repartition("k").sortWithinPartitions("k", "o")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, begun = None, None, False
         for batch in batches:
-            for told in batch.to_pylist():
-                own = told["rows"]
-                found = fold([{**{c: told[c] for c in beside}, **x} for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array([told["k"]] * len(own), pa.int64()), pa.array([x["o"] for x in own], pa.int64()), pa.array(found, pa.int64())], names=[key, order, name])
+            found = []
+            keys = batch.column(0).to_pylist()
+            for k, row in zip(keys, zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True), strict=True):
+                if k != at or not begun:
+                    at, state, begun = k, None, True
+                state, value = step(state, row)
+                found.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=[key, order, name])
 
-    return grouped.mapInArrow(run, f"{key} long, {order} long, {name} long")
+    return rows.mapInArrow(run, f"{key} long, {order} long, {name} long")
 
 
 def packed_rows(df: DataFrame, table: str, order: str, height: str, header: str, room: int) -> DataFrame:
     """page of each table row; leading header rows are repeated on every further page and take its room."""
+    by = Window.partitionBy(table)
+    so_far = by.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    leading = df.withColumn("__leads", F.min(F.coalesce(F.col(header), F.lit(False))).over(so_far))
+    heads = F.coalesce(F.sum(F.when(F.col("__leads"), F.col(height))).over(by), F.lit(0))
 
-    def fold(rows: list[dict]) -> list[int | None]:
-        heads = sum(x[height] for x in itertools.takewhile(lambda x: x[header], rows))
-        page, used, pages = 1, None, []
-        for x in rows:
-            if used is not None and used + x[height] > room:
-                page, used = page + 1, heads if heads < room else 0
-            pages.append(page)
-            used = (used or 0) + x[height]
-        return pages
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, int]:
+        (page, used), (own, heads) = state or (1, None), row
+        if used is not None and used + own > room:
+            page, used = page + 1, heads if heads < room else 0
+        return (page, (used or 0) + own), page
 
-    return _folded(df, table, order, [height, header], fold, "page")
+    return _folded(leading.withColumn("__heads", heads), table, order, [height, "__heads"], step, "page")
 
 
 def fill_segments(words: DataFrame, segments: DataFrame, key: str, order: str, width: str, space: int, least: int) -> DataFrame:
     """(key, order, segment): words set into free segments from left to right; segments under ``least`` are dropped.
 
-    A segment that can't hold the next word is passed over; words beyond the last segment have null.
+    A segment that can't hold the next word is passed over; words beyond the last segment have null. The segments go before their key's words,
+    so only they are kept in memory.
     """
     free = segments.where(F.col("free_to") - F.col("free_from") >= least)
-    spans = free.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("free_from", "free_to"))).alias("spans"))
-
-    def fold(rows: list[dict]) -> list[int | None]:
-        rooms = [s["free_to"] - s["free_from"] for s in rows[0]["spans"] or ()]
-        at, pen, out = 0, 0, []
-        for w in (x[width] for x in rows):
-            while at < len(rooms) and pen + (space if pen else 0) + w > rooms[at]:
-                at, pen = at + 1, 0
-            pen += (space if pen else 0) + w
-            out.append(at if at < len(rooms) else None)
-        return out
-
-    return _folded(words.join(spans, key, "left"), key, order, [width], fold, "segment", ["spans"])
+    nothing = F.lit(None).cast("long")
+    rows = words.select(key, F.col(order).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.col(width).cast("long").alias("__size"), F.col(order).cast("long").alias(order))
+    spans = free.select(key, F.col("free_from").cast("long").alias("__at"), F.lit(0).alias("__kind"), (F.col("free_to") - F.col("free_from")).cast("long").alias("__size"), nothing.alias(order))
+    both = rows.unionByName(spans).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__kind", "__at", F.desc("__size"))))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, int | None]:
+        (rooms, at, pen), (kind, size) = state or ([], 0, 0), row
+        if kind == 0:
+            rooms.append(size)
+            return (rooms, 0, 0), None
+        while at < len(rooms) and pen + (space if pen else 0) + size > rooms[at]:
+            at, pen = at + 1, 0
+        return (rooms, at, pen + (space if pen else 0) + size), at if at < len(rooms) else None
+
+    found = _folded(both, key, "__n", ["__kind", "__size"], step, "segment")
+    return found.join(both.where("__kind = 1").select(key, "__n", order), [key, "__n"]).select(key, order, "segment")
 
 
 def anchored(align: Column, offset: Column, size: Column, low: Column, high: Column) -> Column:

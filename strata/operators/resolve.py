@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.rounds import cut
+from strata.operators.trees import ancestors_of
 
 
 def cascade(declared: DataFrame, keys: Sequence[str], name: str, value: str, rank: str, origin: str) -> DataFrame:
@@ -29,17 +29,11 @@ def toggled(base: Column, levels: Sequence[Column], direct: Column) -> Column:
 def chains(nodes: DataFrame, id_: str, parent: str, kind: str) -> DataFrame:
     """(id, depth, ancestor): each node's ancestors of its own kind, itself first; a cycle or another kind ends the chain.
 
-    A level is one join and is written once; levels go on until none is left, as chains have no greatest length.
+    Chains of any length: rounds double what is known, see ``trees.ancestors_of``.
     """
-    links = nodes.select(F.col(id_).alias("__id"), F.col(parent).alias("__up"), F.col(kind).alias("__kind"))
-    step = nodes.select(F.col(id_).alias("id"), F.lit(0).alias("depth"), F.col(id_).alias("ancestor"), F.col(parent).alias("__next"), F.col(kind).alias("__of"), F.array(F.col(id_)).alias("__path"))
-    out = step
-    while True:
-        joined = step.join(links, (step["__next"] == links["__id"]) & (step["__of"] == links["__kind"])).where(~F.array_contains("__path", F.col("__id")))
-        step = cut(joined.select("id", (F.col("depth") + 1).alias("depth"), F.col("__id").alias("ancestor"), F.col("__up").alias("__next"), "__of", F.array_append("__path", F.col("__id")).alias("__path")))
-        if step.isEmpty():
-            return out.select("id", "depth", "ancestor")
-        out = out.unionByName(step)
+    own = nodes.select(F.col(id_).alias("id"), F.col(parent).alias("up"), F.col(kind).alias("kind"))
+    above = nodes.select(F.col(id_).alias("up"), F.col(kind).alias("kind"))
+    return ancestors_of(own.join(above, ["up", "kind"]).select("id", "up"), own.select("id")).select("id", F.col("depth").cast("int").alias("depth"), "ancestor")
 
 
 def merged_stops(layers: DataFrame, keys: Sequence[str], at: str, kind: str, rank: str) -> DataFrame:
