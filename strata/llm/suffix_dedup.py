@@ -18,7 +18,7 @@ from strata.llm.text import covered, gather, leftmost_min, mix, pair, ranges, sl
 GRAM = 32
 #: Positions that are hashed at a time.
 STEP = 1 << 16
-#: A gram in this many different contexts, about, is split by longer grams.
+#: A gram in this many different contexts, about, is split by longer grams and then by whole windows.
 HEAVY = 64
 
 
@@ -69,7 +69,8 @@ class _Suffixes:
     The suffixes that share one gram's occurrence are neighbours and travel as one
     context: the bytes from the first one's start to the last one's window's end.
     Where a gram has many different contexts (a line that many documents share) its suffixes are
-    dealt anew, by the least gram of almost the window's length, and only those travel whose long gram occurs elsewhere.
+    dealt anew, by the least gram of almost the window's length. Where a long gram occurs elsewhere, each window goes by itself, keyed by all its bytes, if it
+    does too: what reaches out of a long line stays behind, and equal windows of a block travel once.
     """
 
     def __init__(self, block: Block, width: int, counts: Counts):
@@ -97,31 +98,34 @@ class _Suffixes:
         self.owner = np.searchsorted(block.offsets, self.first, side="right") - 1
         self.words = words
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct grams, how many different contexts each seems to have here (255 at most), and a byte of one's signature."""
-        if not len(self.keys):
-            return self.keys, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
-        ends = self.first + self.sizes + self.width - 9
-        sign = (mix(self.words[self.first] + self.words[ends] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-        order = np.lexsort([sign, self.keys])
-        keys, sign = self.keys[order], sign[order]
+    def _kinds(self, first: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys of contexts, how many different contexts each seems to have here (255 at most), and a byte of one's signature."""
+        if not len(keys):
+            return keys, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        ends = first + sizes + self.width - 9
+        sign = (mix(self.words[first] + self.words[ends] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+        order = np.lexsort([sign, keys])
+        keys, sign = keys[order], sign[order]
         head = np.concatenate([[True], keys[1:] != keys[:-1]])
         fresh = head | np.concatenate([[True], sign[1:] != sign[:-1]])
         heads = np.flatnonzero(head)
         return keys[heads], np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 255).astype(np.uint8), sign[heads]
 
-    def _hits(self) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts whose gram occurs elsewhere, and those of them with a heavy one."""
-        known, _, _, place = grouped(self.keys, np.arange(len(self.keys)))
+    def _hits(self, keys: np.ndarray, name: str, ranges_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts whose key occurs elsewhere, and those of them with a heavy one."""
+        known, _, _, place = grouped(keys, np.arange(len(keys)))
         hit, heavy = np.bincount(place, minlength=len(known)) > 1, np.zeros(len(known), bool)
-        for bucket, a, b in split_sorted(known, self.counts.grams):
-            if bucket in self.block.answers.get("grams", {}):
-                found, split = (np.unpackbits(x, count=b - a).astype(bool) for x in unpack(self.block.answers["grams"][bucket]))
+        for bucket, a, b in split_sorted(known, ranges_):
+            if bucket in self.block.answers.get(name, {}):
+                found, split = (np.unpackbits(x, count=b - a).astype(bool) for x in unpack(self.block.answers[name][bucket]))
                 hit[a:b] |= found
                 heavy[a:b] = split
         hit |= heavy
         return np.flatnonzero((hit & ~heavy)[place]), np.flatnonzero(heavy[place])
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self._kinds(self.first, self.sizes, self.keys)
+
     def long_contexts(self, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First start, size and key of the contexts into which long grams cut the heavy ones."""
         span = self.width - 4
@@ -138,20 +142,37 @@ class _Suffixes:
             at = to
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def _elsewhere(self, keys: np.ndarray, name: str) -> np.ndarray:
+        """Which keys occur again in this block or, by the answers, in another."""
+        known, _, _, place = grouped(keys, np.arange(len(keys)))
+        return ((np.bincount(place, minlength=len(known)) > 1) | shared_keys(known, self.block.answers.get(name, {}), self.counts.long))[place]
+
     def long_keys(self) -> np.ndarray:
         """Sorted distinct long grams of the heavy contexts."""
-        _, heavy = self._hits()
-        return distinct(self.long_contexts(heavy)[2])
+        return distinct(self.long_contexts(self._hits(self.keys, "grams", self.counts.grams)[1])[2])
+
+    def windows(self, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and key of each window of the heavy contexts whose long gram occurs elsewhere."""
+        long, sizes, keys = self.long_contexts(heavy)
+        used = self._elsewhere(keys, "long")
+        first = ranges(long[used], sizes[used])
+        keys = np.empty(len(first), np.uint64)
+        for at in range(0, len(first), STEP):
+            keys[at : at + STEP] = slice_hashes(self.block.data, first[at : at + STEP], first[at : at + STEP] + self.width)
+        return first, mix(keys + np.uint64(2))
+
+    def window_keys(self) -> np.ndarray:
+        """Their sorted distinct keys."""
+        return distinct(self.windows(self._hits(self.keys, "grams", self.counts.grams)[1])[1])
 
     def in_use(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Contexts whose gram occurs elsewhere, by gram and then place: first start, size, key, document, and of each the first equal one."""
-        light, heavy = self._hits()
+        light, heavy = self._hits(self.keys, "grams", self.counts.grams)
         first, sizes, keys = self.first[light], self.sizes[light], self.keys[light]
         if len(heavy):
-            more = self.long_contexts(heavy)
-            known, _, _, place = grouped(more[2], np.arange(len(more[2])))
-            used = ((np.bincount(place, minlength=len(known)) > 1) | shared_keys(known, self.block.answers.get("long", {}), self.counts.long))[place]
-            first, sizes, keys = (np.concatenate([x, y[used]]) for x, y in zip((first, sizes, keys), more, strict=True))
+            starts, own = self.windows(heavy)
+            used = self._elsewhere(own, "windows")
+            first, sizes, keys = np.concatenate([first, starts[used]]), np.concatenate([sizes, np.ones(int(used.sum()), np.int64)]), np.concatenate([keys, own[used]])
         owner = np.searchsorted(self.block.offsets, first, side="right") - 1
         order = np.lexsort([first - self.block.offsets[owner], self.docs[owner], keys])
         first, sizes, keys, owner = first[order], sizes[order], keys[order], owner[order]
@@ -201,21 +222,29 @@ def seen_grams(payloads: list[bytes], heavy: int) -> list[bytes | None]:
 
 
 def find_grams(blocks: Blocks, width: int, counts: Counts) -> None:
-    """Ask which grams occur elsewhere and, for heavy ones, which long grams do."""
+    """Ask which grams occur elsewhere and, for heavy ones, which long grams and then which whole windows do."""
 
     def grams(block: Block) -> Iterator[tuple[int, bytes]]:
         known, kinds, sign = _Suffixes(block, width, counts).grams()
         for bucket, a, b in split_sorted(known, counts.grams):
             yield bucket, flat(kinds[a:b], sign[a:b], *pack_keys(known[a:b]))
 
+    def split(block: Block) -> bool:
+        return any(unpack(a)[1].any() for a in block.answers.get("grams", {}).values())
+
     def long(block: Block) -> Iterator[tuple[int, bytes]]:
-        answers = (unpack(a)[1] for a in block.answers.get("grams", {}).values())
-        known = _Suffixes(block, width, counts).long_keys() if any(a.any() for a in answers) else np.zeros(0, np.uint64)
+        known = _Suffixes(block, width, counts).long_keys() if split(block) else np.zeros(0, np.uint64)
+        for bucket, a, b in split_sorted(known, counts.long):
+            yield bucket, flat(*pack_keys(known[a:b]))
+
+    def windows(block: Block) -> Iterator[tuple[int, bytes]]:
+        known = _Suffixes(block, width, counts).window_keys() if split(block) else np.zeros(0, np.uint64)
         for bucket, a, b in split_sorted(known, counts.long):
             yield bucket, flat(*pack_keys(known[a:b]))
 
     blocks.ask("grams", grams, lambda payloads: seen_grams(payloads, counts.heavy))
     blocks.ask("long", long, seen_twice)
+    blocks.ask("windows", windows, seen_twice)
 
 
 def sort_suffixes(payloads: list[bytes], width: int) -> list[bytes | None]:
@@ -256,7 +285,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bytes, ends exclusive; kept is all other bytes, which need not be valid UTF-8.
 
     Suffixes are dealt to buckets by the least 32-byte gram of their window. Grams that
-    occur once end there, and one in ``heavy`` different contexts or more, about, is split by longer grams. The contexts of the others meet by bucket, equal ones joined
+    occur once end there, and one in ``heavy`` different contexts or more, about, is split by longer grams and then by whole windows. The contexts of the others meet by bucket, equal ones joined
     first within their block, and each range of buckets is sorted blockwise: 8 bytes
     first, long ties by ranks of a difference-cover sample (``suffix``); neighbours in that order are compared
     byte by byte. Memory is that of one range's distinct contexts.
