@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.numbers import floor_div, half_up
+from strata.operators import sweeps
 
 
 def from_mode(mode: Column, least: int = 15) -> Column:
@@ -126,3 +127,13 @@ def may_compress(over: Column, room: Column, before: Column, slack: Column, spac
 def may_hyphenate(in_a_row: Column, limit: Column, gap: Column, zone: Column, capital: Column, caps_allowed: Column) -> Column:
     """Whether a line may end in a hyphen: under the limit of such lines in a row (0 or null: none), a gap wider than the zone, and capitals only where allowed."""
     return ((F.coalesce(limit, F.lit(0)) == 0) | (in_a_row < limit)) & (gap > zone) & (~capital | caps_allowed)
+
+
+def by_coverage(chars: DataFrame, faces: DataFrame, held: DataFrame) -> DataFrame:
+    """(face, at, drawn_by) of chars (face, at): the face itself where one of its intervals holds the code point, else the face of least rank that has one, else null.
+
+    ``faces``: face and rank; ``held``: face, low and high (code points, both ends included).
+    """
+    own = sweeps.covered(chars, held, "face")
+    others = sweeps.first_covering(own.where("NOT covered"), held.join(faces, "face").select("low", "high", "rank", F.col("face").alias("name")))
+    return own.join(others, "at", "left").select("face", "at", F.when(F.col("covered"), F.col("face")).otherwise(F.col("name")).alias("drawn_by"))

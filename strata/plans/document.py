@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
-from strata.operators import fold, layout, numbering, plan, resolve, spans, style, table
+from strata.operators import fold, layout, numbering, plan, resolve, spans, style, sweeps, table
 from strata.plans.packages import scanned
 from strata.plans.registry import query, t
 from strata.sources.package import paragraphs
@@ -175,6 +175,25 @@ def _(spark, sf):
     return t(spark, sf, "part").select("p_partkey", style.device_size(s).alias("px"), style.script_size(s).alias("script"), style.script_raise(k % 9, s).alias("raised"), row.alias("baseline"))
 
 
+@query(
+    "glyph_coverage",
+    """
+    WITH v AS (SELECT p_brand AS face, 90 + p_partkey % 30 AS low, 90 + p_partkey % 30 + p_size % 3 AS high FROM part WHERE p_partkey % 7 = 0),
+    f AS (SELECT DISTINCT p_brand AS face, dense_rank() OVER (ORDER BY p_brand) AS r FROM part),
+    c AS (SELECT DISTINCT p_brand AS face, ascii(ch) AS code FROM (SELECT p_brand, unnest(string_split(p_name, '')) AS ch FROM part) WHERE ch <> ''),
+    b AS (SELECT c.code, arg_min(v.face, r) AS face FROM (SELECT DISTINCT code FROM c) c JOIN v ON c.code BETWEEN low AND high JOIN f ON f.face = v.face GROUP BY 1)
+    SELECT c.face, c.code, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.face = c.face AND c.code BETWEEN low AND high) THEN c.face ELSE b.face END AS drawn_by FROM c LEFT JOIN b ON b.code = c.code""",
+)
+def _(spark, sf):
+    """The face that draws each character: its own where that covers it, else the first that does; faces cover intervals of code points."""
+    part = t(spark, sf, "part")
+    low = 90 + F.col("p_partkey") % 30
+    held = part.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("face"), low.alias("low"), (low + F.col("p_size") % 3).alias("high"))
+    chars = part.select(F.col("p_brand").alias("face"), F.explode(F.split("p_name", "")).alias("ch")).where("ch <> ''").select("face", F.ascii("ch").alias("at")).distinct()
+    faces = part.select(F.col("p_brand").alias("face")).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy("face")))
+    return style.by_coverage(chars, faces, held).withColumnRenamed("at", "code")
+
+
 @query(
     "glyph_fallback",
     """
@@ -320,10 +339,10 @@ def _(spark, sf):
         FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey <> s_suppkey) WHERE r <= 3 GROUP BY 1""",
 )
 def _(spark, sf):
-    c, s = t(spark, sf, "customer"), t(spark, sf, "supplier")
-    both = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") != F.col("s_suppkey"))).withColumn("d", F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("c_custkey").orderBy("d", "s_suppkey"))).where("r <= 3")
-    return best.groupBy("c_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s_suppkey"))), lambda x: x["s_suppkey"].cast("string")), ",").alias("candidates"))
+    c = t(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    s = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value"))
+    best = sweeps.nearest(c, s, "nation", 3, apart=True)
+    return best.groupBy(F.col("id").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"].cast("string")), ",").alias("candidates"))
 
 
 # --- placement and drawing
@@ -365,12 +384,9 @@ def _(spark, sf):
 def _(spark, sf):
     e = t(spark, sf, "events")
     k = F.col("event_id")
-    obstacles = e.where("event_type = 'error'").select("user_id", (k % 400).alias("top"), (k % 400 + 40).alias("bottom"), (k % 5 * 50).alias("w"))
-    blocks = e.where("event_type = 'view'").select("event_id", "user_id", (k % 300).alias("y"), (100 + k % 7 * 20).alias("need"))
-    below = blocks.join(obstacles, "user_id").where("bottom > y").select("event_id", "user_id", "need", F.col("bottom").alias("at"))
-    places = blocks.select("event_id", "user_id", "need", F.col("y").alias("at")).unionByName(below).distinct()
-    held = (places["user_id"] == obstacles["user_id"]) & (obstacles["top"] < places["at"] + 20) & (obstacles["bottom"] > places["at"]) & (300 - obstacles["w"] < places["need"])
-    return places.join(obstacles, held, "left_anti").groupBy("event_id").agg(F.min("at").alias("y"))
+    obstacles = e.where("event_type = 'error'").select("user_id", (k % 400).alias("top"), (k % 400 + 40).alias("bottom"), (k % 5 * 50).alias("width"))
+    blocks = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("id"), (k % 300).alias("y"), (100 + k % 7 * 20).alias("need"))
+    return sweeps.lowest_free(blocks, obstacles, "user_id", 20, 300).select(F.col("id").alias("event_id"), "y")
 
 
 @query(
