@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators import pages
+from strata.operators import pages, spans
 from strata.operators.fold import WORDS
 from strata.operators.pages import Rules
 from strata.operators.rounds import cut
@@ -130,3 +130,29 @@ def _(spark, sf):
     rows = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*_ITEMS, pages.block(None, None, obstacle, box).alias("block")))).alias("rows"))
     found = pages.page_fold(rows.select("doc_id", F.col("rows.block").alias("blocks")), Rules(60, 30))
     return found.where("kind <> 'page'").select("doc_id", "page", "kind", "block", "x", "y")
+
+
+def _markup(parts: Column) -> Column:
+    """Paragraphs as elements, each with two runs inside."""
+    return F.array_join(F.transform(parts, lambda p, k: F.concat(F.lit("<p><r>"), F.replace(p, F.lit("<"), F.lit("&lt;")), F.lit("</r>"), F.when(k % 3 == 1, F.lit("<br>")).otherwise(F.lit("")), F.lit("<r/></p>"))), "")
+
+
+@query(
+    "spans_rescanned",
+    """
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+    e AS (SELECT doc_id, len(w) AS m, CASE WHEN doc_id % 3 = 0 THEN list_concat(w[1:len(w) // 2 + 1], w[len(w) // 2 + 1:]) WHEN doc_id % 3 = 1 THEN list_concat(w[1:len(w) // 2], w[len(w) // 2 + 2:]) ELSE w END AS w FROM d),
+    p AS (SELECT doc_id, unnest(w) AS p, unnest(range(1, len(w) + 1)) AS n FROM e),
+    l AS (SELECT doc_id, n, length(replace(p, '<', '&lt;')) + 18 + CASE WHEN (n - 1) % 3 = 1 THEN 4 ELSE 0 END AS length FROM p)
+    SELECT doc_id, n, (sum(length) OVER (PARTITION BY doc_id ORDER BY n) - length)::BIGINT AS first, length::BIGINT AS length, 'p' AS tag FROM l""",
+)
+def _(spark, sf):
+    """Elements of documents in which a paragraph was doubled or removed: only what lies between the versions' common ends is scanned again."""
+    d = t(spark, sf, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("w"))
+    middle, size = (F.size("w") / 2).cast("int"), F.size("w")
+    doubled = F.concat(F.slice("w", F.lit(1), middle + 1), F.slice("w", middle + 1, size))
+    without = F.concat(F.slice("w", F.lit(1), middle), F.slice("w", middle + 2, size))
+    after = F.when(F.col("doc_id") % 3 == 0, doubled).when(F.col("doc_id") % 3 == 1, without).otherwise(F.col("w"))
+    old, new = cut(d.select("doc_id", _markup(F.col("w")).alias("x"))), cut(d.select("doc_id", _markup(after).alias("x")))
+    found, orderly = cut(spans.top_level(old, "doc_id", "x")), cut(spans.tidy(old, "doc_id", "x"))
+    return spans.rescanned(old, new, found, orderly, "doc_id", "x").drop("source")
