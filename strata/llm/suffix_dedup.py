@@ -18,7 +18,7 @@ from strata.llm.text import covered, gather, leftmost_min, mix, pair, ranges, sl
 GRAM = 32
 #: Positions that are hashed at a time.
 STEP = 1 << 16
-#: A gram in this many different contexts, about, is split by longer grams and then by whole windows.
+#: A gram in this many different contexts, about, is split by whole windows.
 HEAVY = 64
 
 
@@ -57,7 +57,7 @@ class Counts:
     """Hash ranges of the three questions, and how many different contexts make a gram heavy."""
 
     grams: int
-    long: int
+    windows: int
     suffixes: int
     heavy: int = HEAVY
 
@@ -69,8 +69,8 @@ class _Suffixes:
     The suffixes that share one gram's occurrence are neighbours and travel as one
     context: the bytes from the first one's start to the last one's window's end.
     Where a gram has many different contexts (a line that many documents share) its suffixes are
-    dealt anew, by the least gram of almost the window's length. Where a long gram occurs elsewhere, each window goes by itself, keyed by all its bytes, if it
-    does too: what reaches out of a long line stays behind, and equal windows of a block travel once.
+    dealt anew: each window goes by itself, keyed by all its bytes, if it occurs elsewhere. What reaches out of a shared line stays behind, and equal windows of a
+    block travel once.
     """
 
     def __init__(self, block: Block, width: int, counts: Counts):
@@ -126,36 +126,14 @@ class _Suffixes:
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self._kinds(self.first, self.sizes, self.keys)
 
-    def long_contexts(self, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First start, size and key of the contexts into which long grams cut the heavy ones."""
-        span = self.width - 4
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-        ends, at = np.cumsum(self.sizes[heavy] + 4), 0
-        while at < len(heavy):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
-            first, sizes = self.first[heavy[at:to]], self.sizes[heavy[at:to]]
-            starts = ranges(first, sizes + 4)
-            hashes = slice_hashes(self.block.data, starts, starts + span)
-            least = leftmost_min(hashes, 5)[ranges(np.cumsum(sizes + 4) - sizes - 4, sizes)]
-            head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            out.append((ranges(first, sizes)[head], np.diff(np.append(head, len(least))), mix(hashes[least[head]] + np.uint64(1))))
-            at = to
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
     def _elsewhere(self, keys: np.ndarray, name: str) -> np.ndarray:
         """Which keys occur again in this block or, by the answers, in another."""
         known, _, _, place = grouped(keys, np.arange(len(keys)))
-        return ((np.bincount(place, minlength=len(known)) > 1) | shared_keys(known, self.block.answers.get(name, {}), self.counts.long))[place]
-
-    def long_keys(self) -> np.ndarray:
-        """Sorted distinct long grams of the heavy contexts."""
-        return distinct(self.long_contexts(self._hits(self.keys, "grams", self.counts.grams)[1])[2])
+        return ((np.bincount(place, minlength=len(known)) > 1) | shared_keys(known, self.block.answers.get(name, {}), self.counts.windows))[place]
 
     def windows(self, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First byte and key of each window of the heavy contexts whose long gram occurs elsewhere."""
-        long, sizes, keys = self.long_contexts(heavy)
-        used = self._elsewhere(keys, "long")
-        first = ranges(long[used], sizes[used])
+        """First byte and key of each window of the heavy contexts."""
+        first = ranges(self.first[heavy], self.sizes[heavy])
         keys = np.empty(len(first), np.uint64)
         for at in range(0, len(first), STEP):
             keys[at : at + STEP] = slice_hashes(self.block.data, first[at : at + STEP], first[at : at + STEP] + self.width)
@@ -222,7 +200,7 @@ def seen_grams(payloads: list[bytes], heavy: int) -> list[bytes | None]:
 
 
 def find_grams(blocks: Blocks, width: int, counts: Counts) -> None:
-    """Ask which grams occur elsewhere and, for heavy ones, which long grams and then which whole windows do."""
+    """Ask which grams occur elsewhere and, for heavy ones, which whole windows do."""
 
     def grams(block: Block) -> Iterator[tuple[int, bytes]]:
         known, kinds, sign = _Suffixes(block, width, counts).grams()
@@ -232,18 +210,12 @@ def find_grams(blocks: Blocks, width: int, counts: Counts) -> None:
     def split(block: Block) -> bool:
         return any(unpack(a)[1].any() for a in block.answers.get("grams", {}).values())
 
-    def long(block: Block) -> Iterator[tuple[int, bytes]]:
-        known = _Suffixes(block, width, counts).long_keys() if split(block) else np.zeros(0, np.uint64)
-        for bucket, a, b in split_sorted(known, counts.long):
-            yield bucket, flat(*pack_keys(known[a:b]))
-
     def windows(block: Block) -> Iterator[tuple[int, bytes]]:
         known = _Suffixes(block, width, counts).window_keys() if split(block) else np.zeros(0, np.uint64)
-        for bucket, a, b in split_sorted(known, counts.long):
+        for bucket, a, b in split_sorted(known, counts.windows):
             yield bucket, flat(*pack_keys(known[a:b]))
 
     blocks.ask("grams", grams, lambda payloads: seen_grams(payloads, counts.heavy))
-    blocks.ask("long", long, seen_twice)
     blocks.ask("windows", windows, seen_twice)
 
 
@@ -285,7 +257,7 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bytes, ends exclusive; kept is all other bytes, which need not be valid UTF-8.
 
     Suffixes are dealt to buckets by the least 32-byte gram of their window. Grams that
-    occur once end there, and one in ``heavy`` different contexts or more, about, is split by longer grams and then by whole windows. The contexts of the others meet by bucket, equal ones joined
+    occur once end there, and one in ``heavy`` different contexts or more, about, is split by whole windows. The contexts of the others meet by bucket, equal ones joined
     first within their block, and each range of buckets is sorted blockwise: 8 bytes
     first, long ties by ranks of a difference-cover sample (``suffix``); neighbours in that order are compared
     byte by byte. Memory is that of one range's distinct contexts.
