@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,12 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
     """(id, component) for each id in edges (a, b): the least id it reaches.
 
     Each round an id takes the least label among its own, its neighbours' and that of its label (which
-    halves the way); rounds end when none changes. Every round is staged.
+    halves the way); rounds go on until none changes, as labels only get less. Every round is staged.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stage.put(both, f"{name}_edges")
     labels = stage.put(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), f"{name}_0")
-    for k in range(1, 64):
+    for k in count(1):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         far = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
         new = labels.join(near, "id", "left").join(far, "component", "left")
@@ -28,4 +30,4 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         labels = new.select("id", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
+    raise AssertionError  # count() has no end
