@@ -7,7 +7,8 @@ looked at a changed block, until a page begins as an old one did.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -311,14 +312,37 @@ def page_fold(documents: DataFrame, rules: Rules) -> DataFrame:
     the foot of the next pages, before theirs, and has pages of its own at the end. An obstacle or a line that doesn't fit goes to the next page: ``widows`` lines
     stay on each side of a split, a block that keeps its lines moves whole, and takes along those before it that keep with it;
     none of this counts where it would leave a page empty. A null or empty list of blocks gives no rows. A document is one row, so nothing is shuffled.
+    A column ``room``, where there is one, has each document's own lines of a page.
     """
+    own = F.col("room").cast("long") if "room" in documents.columns else F.lit(None).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, blocks in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield _batch(doc_id, fold([_block(b) for b in blocks.as_py() or ()], rules)[0])
+            for doc_id, blocks, room in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                yield _batch(doc_id, fold([_block(b) for b in blocks.as_py() or ()], rules if room is None else rules._replace(room=room))[0])
 
-    return documents.select("doc_id", F.col("blocks").cast(f"array<{BLOCK}>")).mapInArrow(run, SCHEMA)
+    return documents.select("doc_id", F.col("blocks").cast(f"array<{BLOCK}>"), own).mapInArrow(run, SCHEMA)
+
+
+def with_stories(documents: DataFrame, rules: Rules, height: Callable[[Column], Column], most: int = 4) -> DataFrame:
+    """(doc_id, pages, story, passes, settled): documents whose header is as high as the number of pages makes it, and takes that room from every page.
+
+    ``height``: the header's lines from the number of pages. Pages are folded with the room that the last number of pages leaves until it comes back, ``most`` times at the utmost; then the last one stands,
+    unsettled. Only documents that haven't settled are folded again. A header leaves one line of a page at least.
+    """
+    now = cut(documents.select("doc_id", "blocks", F.lit(1).cast("long").alias("n")))
+    out: list[DataFrame] = []
+    for passes in range(1, most + 1):
+        story = F.least(height(F.col("n")), F.lit(rules.room - 1)).cast("long")
+        asked = now.withColumn("story", story).withColumn("room", rules.room - F.col("story"))
+        found = page_fold(asked.select("doc_id", "blocks", "room"), rules).groupBy("doc_id").agg(F.max("page").alias("pages"))
+        step = cut(asked.join(found, "doc_id").withColumn("settled", F.col("pages") == F.col("n")))
+        done = step if passes == most else step.where("settled")
+        out.append(done.select("doc_id", "pages", "story", F.lit(passes).alias("passes"), "settled"))
+        now = step.where("NOT settled").select("doc_id", "blocks", F.col("pages").alias("n"))
+        if passes == most or now.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
 
 
 def resumed(old: DataFrame, new: DataFrame, folded: DataFrame, rules: Rules) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators import pages, spans
-from strata.operators.fold import WORDS
+from strata.operators.fold import WORDS, wrapped
 from strata.operators.pages import Rules
 from strata.operators.rounds import cut
 from strata.plans.registry import query, t
@@ -156,3 +156,30 @@ def _(spark, sf):
     old, new = cut(d.select("doc_id", _markup(F.col("w")).alias("x"))), cut(d.select("doc_id", _markup(after).alias("x")))
     found, orderly = cut(spans.top_level(old, "doc_id", "x")), cut(spans.tidy(old, "doc_id", "x"))
     return spans.rescanned(old, new, found, orderly, "doc_id", "x").drop("source")
+
+
+@query(
+    "stories_settled",
+    r"""
+    WITH RECURSIVE g AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS par FROM documents),
+    l AS (SELECT doc_id, sum(list_reduce(list_prepend({l: 1::BIGINT, p: 0::BIGINT}, list_transform(list_filter(string_split_regex(par, '[ 	
+
+]+'), lambda w: w <> ''), lambda w: {l: 0::BIGINT, p: length(w)::BIGINT})),
+            lambda a, w: CASE WHEN a.p = 0 THEN {l: a.l, p: w.p} WHEN a.p + 1 + w.p <= 30 THEN {l: a.l, p: a.p + 1 + w.p} ELSE {l: a.l + 1, p: w.p} END).l)::BIGINT AS lines FROM g GROUP BY 1),
+    s(doc_id, lines, passes, n, story, settled) AS (
+        SELECT doc_id, lines, 0, 1::BIGINT, 0::BIGINT, false FROM l
+        UNION ALL
+        SELECT doc_id, lines, passes + 1, (lines + 12 - h - 1) // (12 - h), h, (lines + 12 - h - 1) // (12 - h) = n
+        FROM (SELECT *, least(11, list_reduce(list_prepend({l: 1::BIGINT, p: 0::BIGINT}, list_transform(range(1, n + 1), lambda k: {l: 0::BIGINT, p: length(k::VARCHAR)::BIGINT})),
+                lambda a, w: CASE WHEN a.p = 0 THEN {l: a.l, p: w.p} WHEN a.p + 1 + w.p <= 30 THEN {l: a.l, p: a.p + 1 + w.p} ELSE {l: a.l + 1, p: w.p} END).l) AS h FROM s WHERE NOT settled AND passes < 6))
+    SELECT doc_id, n AS pages, story, passes, settled FROM s WHERE settled OR passes = 6""",
+)
+def _(spark, sf):
+    """A header that lists all pages takes room from every page, so there are more of them: until both agree, six times at most."""
+
+    def one(p: Column) -> Column:
+        return pages.block(F.transform(F.filter(F.split(p, WORDS), lambda w: w != ""), F.length))
+
+    docs = t(spark, sf, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), one).alias("blocks"))
+    numbers = lambda n: F.array_join(F.sequence(F.lit(1).cast("long"), n).cast("array<string>"), " ")
+    return pages.with_stories(docs, Rules(30, 12, widows=1), lambda n: wrapped(numbers(n), 30)["lines"], most=6)
