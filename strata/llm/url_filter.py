@@ -48,28 +48,35 @@ def generalise(stage: Stage, paths: DataFrame, many: int, each: int, wide: int)
     The tree grows level by level for all hosts at once. A child is rare if it has
     under ``each`` pages, or under a ``wide``-th of its parent's. Where a parent has ``many`` rare children or more
     their segment is variable: they become one child '*'. So no parent has more than ``wide + many`` children. A path that shares its node with no
-    other ends there, and what is left of it is one label. Rounds go on to the last level at which paths
-    are still together.
+    other ends there, and what is left of it is one label. Segments that all paths of a child have in common are passed in its round, so
+    rounds go on while paths part, however long they are.
     """
-    active, done, level = paths.withColumn("labels", F.array().cast("array<string>")), [], 0
+    active, done, level = paths.withColumn("labels", F.array().cast("array<string>")).withColumn("at", F.lit(0)), [], 0
     end = F.array(F.lit(""))
     while True:
-        over = F.size("segments") <= level
-        done.append(active.where(over).withColumn("labels", F.concat("labels", end)))
+        over = F.size("segments") <= F.col("at")
+        done.append(active.where(over).drop("at").withColumn("labels", F.concat("labels", end)))
         active = active.where(~over)
         if active.isEmpty():
             break
-        segment = F.get("segments", F.lit(level))
-        children = stage.put(active.groupBy("host", "labels", segment.alias("segment")).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("paths")), f"children{level}")
+        segment = F.get("segments", F.col("at"))
+        counts = [F.sum("n").alias("pages"), F.count(F.lit(1)).alias("paths"), F.min("left").alias("low"), F.max("left").alias("high")]
+        left = active.withColumn("left", F.slice("segments", F.col("at") + 1, F.size("segments")))
+        children = stage.put(left.groupBy("host", "labels", segment.alias("segment")).agg(*counts), f"children{level}")
         parents = children.groupBy("host", "labels").agg(F.greatest(F.lit(each), F.sum("pages") / wide).alias("bar"))
         rare = children.join(parents, ["host", "labels"]).groupBy("host", "labels", "bar").agg(F.count(F.when(F.col("pages") < F.col("bar"), 1)).alias("rare"))
         bars = rare.where(F.col("rare") >= many).select("host", "labels", "bar")
-        named = children.join(bars, ["host", "labels"], "left").select("host", "labels", "segment", F.coalesce(F.col("pages") < F.col("bar"), F.lit(False)).alias("variable"), "paths")
+        # What the least and the greatest of the rests have in common all of them have.
+        parting = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+        shared = F.when(parting > 0, parting - 1).otherwise(F.size("low"))
+        named = children.join(bars, ["host", "labels"], "left").select("host", "labels", "segment", F.coalesce(F.col("pages") < F.col("bar"), F.lit(False)).alias("variable"), "paths", shared.alias("shared"))
         grown = active.withColumn("segment", segment).join(named, ["host", "labels", "segment"])
         alone = ~F.col("variable") & (F.col("paths") == 1)
-        label = F.when(F.col("variable"), "*").when(alone, F.array_join(F.slice("segments", level + 1, F.size("segments")), "/")).otherwise(F.col("segment"))
-        columns = [c for c in active.columns if c != "labels"]
-        grown = stage.put(grown.select(*columns, F.concat("labels", F.array(label)).alias("labels"), alone.alias("alone")), f"grown{level}")
+        step = F.when(F.col("variable"), F.lit(1)).otherwise(F.col("shared"))
+        rest = F.array_join(F.slice("segments", F.col("at") + 1, F.size("segments")), "/")
+        label = F.when(F.col("variable"), F.array(F.lit("*"))).when(alone, F.array(rest)).otherwise(F.slice("segments", F.col("at") + 1, step))
+        columns = [c for c in active.columns if c not in ("labels", "at")]
+        grown = stage.put(grown.select(*columns, F.concat("labels", label).alias("labels"), (F.col("at") + step).alias("at"), alone.alias("alone")), f"grown{level}")
         done.append(grown.where("alone").select(*columns, F.concat("labels", end).alias("labels")))
         active, level = grown.where("not alone").drop("alone"), level + 1
     out = done[0]
@@ -81,15 +88,19 @@ def generalise(stage: Stage, paths: DataFrame, many: int, each: int, wide: int)
 def merge_similar(stage: Stage, tree: DataFrame, z: float, main: float = 0.05) -> DataFrame:
     """tree (host, labels, n, blocked, allowed) with ``merged``: labels, in which similar branches have one name.
 
-    From the deepest level up. Sibling branches have the same form if their main
+    From the deepest level up, levels without siblings left out. Sibling branches have the same form if their main
     children (``main`` of a branch's pages or more) have the same names. Each is held
     against all siblings of its form together: chi-square of its pages by child within ``z`` standard deviations of what chance
     gives, and its labelled block rate within ``z`` standard errors of theirs (a branch without labels has no rate that could differ). Those
     alike, if two or more, are merged, children of one name with them; the others stay. A merged leaf is '*', any other '*' and a digest of its form.
     """
+    # Levels at which some branch has a sibling, the last one aside: one number each.
+    steps = tree.select("host", F.posexplode("labels").alias("k", "label"), "labels").select("host", F.col("k").alias("at"), F.xxhash64(F.slice("labels", F.lit(1), F.col("k"))).alias("above"), "label")
+    parted = steps.groupBy("host", "at", "above").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    levels = sorted((r.at + 1 for r in parted.select("at").distinct().collect()), reverse=True)
     depth = tree.agg(F.max(F.size("labels"))).first()[0] or 0
     tree = tree.withColumn("merged", F.col("labels"))
-    for at in range(depth - 1, 0, -1):
+    for at in [k for k in levels if k < depth]:
         parent, label, child = F.slice("merged", 1, at - 1).alias("parent"), F.get("merged", F.lit(at - 1)).alias("label"), F.get("merged", F.lit(at)).alias("child")
         counted = [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
         kids = tree.where(F.size("merged") > at).groupBy("host", parent, label, child).agg(*counted)

@@ -103,3 +103,15 @@ def test_rules_and_awkward_urls(spark):
     assert [got[k][:3] for k in (6, 7, 8, 9)] == [("notnet", "/es/1", None), ("x.net", "/esx/1", None), ("c.com", "", None), ("b:", "//c/d", None)]
     assert got[10][:2] == ("h.org", "/\n/é")
     assert filter_urls(pages.where("false"), queries.URL_RULES).count() == 0
+
+
+def test_long_shared_paths_take_few_rounds(spark):
+    """Two paths that share a thousand segments, and two that part early: one round for each parting."""
+    import time
+
+    long = "/".join(f"s{i}" for i in range(1000))
+    urls = [f"http://a.com/{long}/x/1", f"http://a.com/{long}/y/2", f"http://a.com/{long}", "http://b.com/p/q/r", "http://b.com/p/q/t"]
+    began = time.perf_counter()
+    got = {r.page_id: (r.template, r.verdict) for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), []).collect()}
+    assert time.perf_counter() - began < 90
+    assert [got[i][0] for i in range(5)] == [f"/{long}/*", f"/{long}/*", f"/{long}", "/p/q/*", "/p/q/*"]  # like leaves are merged
