@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from strata.plans import catalogue, document, general, nesting, packages, paging  # noqa: F401
+from strata.plans import catalogue, document, general, nesting, packages, paging, words  # noqa: F401
 from strata.plans.registry import ORACLE, QUERIES
 
 pytestmark = pytest.mark.filterwarnings("ignore")
