@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.operators.rounds import shared_folder
 from strata.plans.registry import query, t
+from strata.streaming.cache import cached, with_store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
@@ -166,3 +170,23 @@ def _(spark, sf):
     c = t(spark, sf, "customer").where("c_nationkey % 3 > 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("c"))
     s = t(spark, sf, "supplier").where("s_nationkey % 2 > 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("s"))
     return c.join(s, "nation", "full")
+
+
+@query(
+    "cache_stream",
+    """
+    WITH r AS (SELECT user_id AS lineage, event_id, event_type AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    p AS (SELECT *, lag(i) OVER (PARTITION BY lineage, key ORDER BY i) AS before FROM r)
+    SELECT lineage, event_id AS seq, key, coalesce((SELECT count(DISTINCT b.key) FROM p b WHERE b.lineage = a.lineage AND b.i > a.before AND b.i < a.i) < 3, false) AND before IS NOT NULL AS hit, i AS version FROM p a""",
+)
+def _(spark, sf):
+    """Every user's events as requests of a cache of three kinds, least recently used first out, kept as a stream's state: a request hits if fewer than three others came since its last."""
+    with_store(spark)
+    found = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(t(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")  # a pattern: a stream takes no path of one file
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = F.array(seconds, F.col("event_id").cast("long"))
+    requests = events.select(F.col("user_id").alias("lineage"), F.col("event_type").alias("key"), F.lit(1).cast("long").alias("size"), order.alias("seq"))
+    stream = cached(requests, 3).writeStream.format("parquet").option("path", f"{found}/rows").option("checkpointLocation", f"{found}/state").outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(f"{found}/rows").select("lineage", F.col("seq")[1].alias("seq"), "key", "hit", "version")
