@@ -978,7 +978,7 @@ def _(spark, sf):
 def _(spark, sf):
     advances = spark.range(26).select(F.char(F.col("id") + 97).alias("ch"), (400 + 10 * F.col("id")).alias("adv"))
     kerns = spark.createDataFrame([("r", "e", -30), ("t", "o", -30), ("l", "o", -30)], "l string, r string, adj int")
-    return layout.kerned_width(t(spark, sf, "part"), "p_partkey", "p_name", F.broadcast(advances), F.broadcast(kerns))
+    return layout.kerned_width(t(spark, sf, "part"), "p_partkey", "p_name", advances, kerns)
 
 
 @query(
@@ -1047,7 +1047,7 @@ _HYPHENS = """
 def hyphen_points(spark, sf):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"), lambda w: w != "")
     rules = spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string")
-    return layout.hyphen_points(t(spark, sf, "documents").select(F.explode(words).alias("word")), "word", F.broadcast(rules))
+    return layout.hyphen_points(t(spark, sf, "documents").select(F.explode(words).alias("word")), "word", rules)
 
 
 @query("soft_hyphens", f"SELECT word, CASE WHEN points = '' THEN word ELSE (SELECT string_agg(word[b[i] + 1:b[i + 1]], chr(173) ORDER BY i) FROM (SELECT unnest(range(1, len(b))) AS i)) END AS shown FROM (SELECT word, points, list_prepend(0, list_append(list_transform(list_filter(string_split(points, ','), lambda p: p <> ''), lambda p: p::BIGINT), length(word))) AS b FROM ({_HYPHENS}))")
