@@ -37,3 +37,9 @@ def test_equals_sql(spark, duck, sf_dir, name):
 def test_the_rest_runs(spark, sf_dir):
     for name in sorted(set(QUERIES) - set(ORACLE)):
         assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_recursion_goes_on_beyond_a_million_rows_and_a_hundred_levels(spark, sf_dir):
+    deep = "WITH RECURSIVE r(n) AS (SELECT 0 UNION ALL SELECT n + 1 FROM r WHERE n < 150) SELECT max(n) AS n FROM r"
+    wide = "WITH RECURSIVE r(id, n) AS (SELECT id, 0 FROM range(400000) UNION ALL SELECT id, n + 1 FROM r WHERE n < 2) SELECT count(*) AS n FROM r"
+    assert [general.sql(spark, sf_dir, text).first().n for text in (deep, wide)] == [150, 1_200_000]
