@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.llm.exact_dedup import drop_exact_copies
 from strata.llm.mixing import mixed
 from strata.llm.ngram_join import drop_similar
-from strata.llm.packing import pack_documents
+from strata.llm.packing import pack_in_order
 from strata.llm.quality_classifier import drop_low_quality
 from strata.llm.queries import MIX_WEIGHTS, table, tokenizer_path
 from strata.llm.staging import Stage, scope
@@ -37,8 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, with their ids and their places in sequences of 4096."""
-    return pack_documents(docs, tokenizer_path(), end_id=2, capacity=4096)
+    """Pieces of documents, with their ids and their places in sequences of 4096: each sequence from one stretch of the mixture."""
+    return pack_in_order(docs, tokenizer_path(), end_id=2, capacity=4096)
 
 
 STAGES = [

@@ -10,7 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.text import WORD, by_bytes, ranges, slice_hashes, utf8, word_spans
@@ -179,6 +180,38 @@ def lay_out(sizes: np.ndarray, capacity: int, loose: int) -> list[tuple[int, int
     return out
 
 
+def pieces(tokenizer: WordTokenizer, batch: pa.RecordBatch, end_id: int, longest: int) -> pa.RecordBatch:
+    """The pieces of a batch of deal, id and text."""
+    ids, bounds = tokenizer.encode(batch.column(2), end_id)
+    total = np.diff(bounds)
+    count = -(-total // longest)
+    doc = np.repeat(np.arange(len(total)), count)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * longest
+    length = np.minimum(total[doc] - start, longest)
+    at = (bounds[:-1][doc] + start).tolist()
+    raw = [ids[a : a + n].tobytes() for a, n in zip(at, length.tolist(), strict=True)]
+    columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(total[doc])]
+    return pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "length", "ids", "doc_tokens"])
+
+
+def packed(group: pa.Table, deal: int, capacity: int, loose: int) -> pa.Table:
+    """A group's pieces in their sequences, which are numbered from ``deal`` times 2^32 on."""
+    ids, start = group["ids"].to_pylist(), group["start"].to_numpy()
+    rows = lay_out(group["length"].to_numpy(), capacity, loose)
+    item, first, length, sequence, offset = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+    take = pa.array(item)
+    return pa.table({
+        "deal": group["deal"].take(take),
+        "doc_id": group["doc_id"].take(take),
+        "start": start[item] + first,
+        "length": length,
+        "ids": pa.array([ids[i][4 * a : 4 * (a + n)] for i, a, n, _, _ in rows], pa.binary()),
+        "doc_tokens": group["doc_tokens"].take(take),
+        "sequence_id": (deal << 32) + sequence,
+        "offset": offset,
+    })
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int, groups: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``longest`` ids of each document: deal, doc_id, start, length, ids (little-endian, 32 bits), doc_tokens.
 
@@ -189,16 +222,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int, gr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = own_tokenizer(definition.value)
         for batch in by_bytes(batches, 2, 4 << 20):
-            ids, bounds = tokenizer.encode(batch.column(2), end_id)
-            total = np.diff(bounds)
-            count = -(-total // longest)
-            doc = np.repeat(np.arange(len(total)), count)
-            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * longest
-            length = np.minimum(total[doc] - start, longest)
-            at = (bounds[:-1][doc] + start).tolist()
-            raw = [ids[a : a + n].tobytes() for a, n in zip(at, length.tolist(), strict=True)]
-            columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(total[doc])]
-            yield pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "length", "ids", "doc_tokens"])
+            yield pieces(tokenizer, batch, end_id, longest)
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
@@ -233,22 +257,66 @@ def pack_documents(
     dealt = tokenize(docs, tokenizer_path, end_id, capacity, groups, seed, id_col, text_col)
 
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending")])
-        ids, start = group["ids"].to_pylist(), group["start"].to_numpy()
-        rows = lay_out(group["length"].to_numpy(), capacity, loose)
-        item, first, length, sequence, offset = (np.array([r[k] for r in rows], np.int64) for k in range(5))
-        take = pa.array(item)
-        return pa.table({
-            "deal": group["deal"].take(take),
-            "doc_id": group["doc_id"].take(take),
-            "start": start[item] + first,
-            "length": length,
-            "ids": pa.array([ids[i][4 * a : 4 * (a + n)] for i, a, n, _, _ in rows], pa.binary()),
-            "doc_tokens": group["doc_tokens"].take(take),
-            "sequence_id": (key[0].as_py() << 32) + sequence,
-            "offset": offset,
-        })
+        return packed(group.sort_by([("doc_id", "ascending"), ("start", "ascending")]), key[0].as_py(), capacity, loose)
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = dealt.groupBy("deal").applyInArrow(pack, PIECES.format(id=kind) + ", sequence_id long, offset long")
     return out.drop("deal").withColumnRenamed("doc_id", id_col)
+
+
+def pack_in_order(
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int = 2,
+    capacity: int = 4096,
+    loose: int = 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group_bytes: int = 16 << 20,
+) -> DataFrame:
+    """As ``pack_documents``, of documents in an order that counts: a mixture's.
+
+    The order is that of the files' names and their rows, or of partitions and their rows where there are no files. A group is a
+    stretch of about ``group_bytes`` of it, so its sequences hold documents that come near each other, and groups
+    are numbered in order. Every document counts 16 bytes beside its text.
+    """
+    definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
+    text = F.col(text_col).cast("string")
+    try:
+        file = docs.select("_metadata.file_name") and F.col("_metadata.file_name")
+    except AnalysisException:  # not read from files
+        file = F.lit("")
+    rows = docs.select(file.alias("file"), F.monotonically_increasing_id().alias("at"), F.col(id_col).alias("doc_id"), text.alias("t"))
+    bytes_ = F.sum(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long") + 16)
+    parts = rows.groupBy("file", F.shiftrightunsigned("at", 33).alias("part")).agg(bytes_.alias("bytes"))
+    # One row for each file's piece that a task reads.
+    before = F.sum("bytes").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("file", "part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("bytes").over(Window.partitionBy()).alias("total"))
+    # As many groups as pack_documents makes.
+    groups = f"greatest(least(64, ceil(total / {1 << 20})), ceil(total / {group_bytes}), 1)"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = own_tokenizer(definition.value)
+        last, done = None, 0
+        for batch in by_bytes(batches, 3, 4 << 20):
+            files = batch.column(0).to_pylist()
+            sizes = (np.diff(utf8(batch.column(3))[1]) + 16).tolist()
+            run_ = []
+            for file, size in zip(files, sizes, strict=True):
+                last, done = file, (done if file == last else 0) + size
+                run_.append(done - size)
+            own = pieces(tokenizer, pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows, dtype=np.int32)), batch.column(2), batch.column(3)], names=["deal", "doc_id", "t"]), end_id, capacity)
+            row = own.column(0)
+            told = [batch.column(0).take(row), batch.column(1).take(row), pa.array(run_, pa.int64()).take(row), *own.columns[1:]]
+            yield pa.RecordBatch.from_arrays(told, names=["file", "at", "run", *own.schema.names[1:]])
+
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return packed(group.sort_by([("file", "ascending"), ("at", "ascending"), ("start", "ascending")]), key[0].as_py(), capacity, loose)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    held = PIECES.format(id=kind).replace("deal int", "file string, at long, run long")
+    found = rows.mapInArrow(run, held).withColumn("part", F.shiftrightunsigned("at", 33)).join(parts, ["file", "part"], "left")
+    deal = F.coalesce(F.expr(f"(before + run) div ceil(total / {groups})"), F.lit(0)).cast("int")
+    out = found.withColumn("deal", deal).select("deal", "doc_id", "start", "length", "ids", "doc_tokens", "file", "at")
+    out = out.groupBy("deal").applyInArrow(pack, PIECES.format(id=kind) + ", sequence_id long, offset long")
+    return out.drop("deal").withColumnRenamed("doc_id", id_col)
