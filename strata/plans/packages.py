@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata.operators.rounds import cut
 from strata.plans.registry import query, t
 from strata.sources.package import lists, paragraphs, scan_contents
 from strata.sources.writer import packages
@@ -18,7 +19,8 @@ def contents(spark, sf):
 
 
 def scanned(spark, sf, *kinds):
-    return scan_contents(contents(spark, sf)).where(F.col("kind").isin(*kinds))
+    """Rows of some kinds, staged: queries take them apart and join the parts, and each part would scan all packages again."""
+    return cut(scan_contents(contents(spark, sf), kinds))
 
 
 def value_of(kind, name, column="value"):
@@ -165,7 +167,7 @@ def _(spark, sf):
 def _(spark, sf):
     odd = F.regexp_extract("path", "^[0-9]+", 0).cast("long") % 2 == 1
     damaged = contents(spark, sf).withColumn("content", F.when(odd, F.expr("substring(content, 1, 100)")).otherwise(F.col("content")))
-    return scan_contents(damaged).groupBy("path").agg(F.count(F.when(F.col("kind") == "error", 1)).alias("errors"), F.count(F.when(F.col("kind") == "part", 1)).alias("parts"))
+    return scan_contents(damaged, ("error", "part")).groupBy("path").agg(F.count(F.when(F.col("kind") == "error", 1)).alias("errors"), F.count(F.when(F.col("kind") == "part", 1)).alias("parts"))
 
 
 @query(

@@ -10,7 +10,8 @@ from strata.__main__ import main
 from strata.functions import numbers as num
 from strata.operators import diff, fold, grid, joins, layout, resolve, sequence
 from strata.operators.numbering import list_items
-from strata.sources.package import paragraphs, read_package, scan_packages
+from strata.plans.packages import contents, scanned
+from strata.sources.package import paragraphs, read_package, scan_contents, scan_packages
 from strata.sources.patterns import read_exceptions, read_patterns
 from strata.streaming.incremental import current, event_windows, keep_current, recompute
 
@@ -241,3 +242,10 @@ def test_list_items_of_unknown_levels_have_no_label(spark):
     items = spark.createDataFrame([(1, k, i, lv) for k, (i, lv) in enumerate([(1, 0), (1, 5), (9, 0), (1, 0), (None, None)])], "doc long, o long, instance long, level int")
     assert values(list_items(items, ["doc"], ["o"], levels), "o", "number", "label") == [(0, 1, "1."), (1, None, None), (2, None, None), (3, 2, "2."), (4, None, None)]
     assert list_items(items.where("false"), ["doc"], ["o"], levels).count() == 0
+
+
+def test_packages_are_scanned_once_and_only_kinds_asked_for_leave_the_worker(spark, sf_dir):
+    files = contents(spark, sf_dir)
+    assert {r.kind for r in scan_contents(files, ("style", "pages")).collect()} == {"style", "pages"}
+    assert values(scan_contents(files, ("style",)), "path", "name") == values(scan_contents(files).where("kind = 'style'"), "path", "name")
+    assert "MapInArrow" not in scanned(spark, sf_dir, "style")._jdf.queryExecution().toString()
