@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -288,20 +289,47 @@ def block(words: Column | None = None, notes: Column | None = None, obstacle: Co
     return F.struct(*((F.lit(None) if c is None else c).alias(n) for c, n in zip(given, names, strict=True))).cast(BLOCK)
 
 
-def _block(b: dict) -> Block:
-    o, x = b["obstacle"], b["box"]
-    notes = [(n["word"], n["lines"]) for n in b["notes"] or ()]
-    return Block(b["words"] or (), notes, o and (o["left"], o["right"], o["height"], o["down"]), x and (x["width"], x["height"]), bool(b["keep_lines"]), bool(b["keep_next"]), bool(b["break_before"]))
+#: Documents whose blocks are unpacked, and rows that leave a worker, at a time.
+BATCH_DOCS, BATCH_ROWS = 64, 5000
 
 
-def _batch(doc_id: int, pages: list[tuple[State, int, list[Row]]], more: Sequence[tuple] = ()) -> pa.RecordBatch:
-    rows: list[tuple] = [(doc_id, *r, None) for r in more]
+def _plain(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count < len(column) else [None] * len(column)
+
+
+def _blocks(lists: pa.ListArray) -> Iterator[list[Block]]:
+    """The blocks of every document, column by column; a null list is empty."""
+    words, notes, obstacles, boxes, *keeps = (_plain(c) for c in lists.flatten().flatten())
+    told = [
+        Block(w or (), [(x["word"], x["lines"]) for x in n] if n else (), o and (o["left"], o["right"], o["height"], o["down"]), x and (x["width"], x["height"]), bool(lines), bool(after), bool(before))
+        for w, n, o, x, lines, after, before in zip(words, notes, obstacles, boxes, *keeps, strict=True)
+    ]
+    at = 0
+    for n in lists.value_lengths().to_pylist():
+        yield told[at : at + (n or 0)]
+        at += n or 0
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, BATCH_DOCS) for at in range(0, batch.num_rows, BATCH_DOCS))
+
+
+def _rows(doc_id: int, pages: list[tuple[State, int, list[Row]]], more: Sequence[tuple] = ()) -> Iterator[tuple]:
+    for r in more:
+        yield (doc_id, *r, None)
     for state, looked, own in pages:
-        rows.append((doc_id, state.page, "page", state.block, state.word, looked, None, None, [n._asdict() for n in state.carry]))
-        rows += [(doc_id, *r, None) for r in own]
+        yield (doc_id, state.page, "page", state.block, state.word, looked, None, None, [n._asdict() for n in state.carry])
+        for r in own:
+            yield (doc_id, *r, None)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of many documents in each batch: short documents don't cost a batch of their own."""
     long, carry = pa.int64(), pa.list_(pa.struct([(c, pa.int64()) for c in Note._fields]))
     kinds = [long, long, pa.string(), long, long, long, long, long, carry]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_NAMES)
+    while some := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)], names=_NAMES)
 
 
 def page_fold(documents: DataFrame, rules: Rules) -> DataFrame:
@@ -316,10 +344,13 @@ def page_fold(documents: DataFrame, rules: Rules) -> DataFrame:
     """
     own = F.col("room").cast("long") if "room" in documents.columns else F.lit(None).cast("long")
 
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in _slices(batches):
+            for doc_id, blocks, room in zip(batch.column(0).to_pylist(), _blocks(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                yield from _rows(doc_id, fold(blocks, rules if room is None else rules._replace(room=room))[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, blocks, room in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                yield _batch(doc_id, fold([_block(b) for b in blocks.as_py() or ()], rules if room is None else rules._replace(room=room))[0])
+        return _batches(folded(batches))
 
     return documents.select("doc_id", F.col("blocks").cast(f"array<{BLOCK}>"), own).mapInArrow(run, SCHEMA)
 
@@ -360,16 +391,20 @@ def resumed(old: DataFrame, new: DataFrame, folded: DataFrame, rules: Rules) ->
     states = folded.where("kind = 'page'").groupBy("doc_id").agg(F.array_sort(F.collect_list(state)).alias("states"))
     told = both.join(states, "doc_id", "left").select("doc_id", "b", "head", "tail", F.size("a").alias("was"), "states")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, new_, head, tail, was, states_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks, shift = [_block(x) for x in new_], len(new_) - was
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in _slices(batches):
+            ids, _, *others = batch.columns
+            for doc_id, blocks, head, tail, was, states_ in zip(ids.to_pylist(), _blocks(batch.column(1)), *(c.to_pylist() for c in others), strict=True):
+                shift = len(blocks) - was
                 states = [(State(s["page"], s["block"], s["word"], tuple(Note(**n) for n in s["carry"])), s["looked"]) for s in states_ or ()]
                 start = next((s for s, looked in states if looked >= head), State(1, 0, 0))
                 known = {(s.block, s.word): s.page for s, _ in states if not s.carry}
                 pages, met = fold(blocks, rules, start, known, shift, len(blocks) - tail)
                 # Of the old pages: kept before the first, then from ``first`` on with page + y and block + block.
-                yield _batch(doc_id, pages, [(start.page, "plan", shift, met[1] if met else None, len(pages), met[0] - met[1] if met else None, None)])
+                yield from _rows(doc_id, pages, [(start.page, "plan", shift, met[1] if met else None, len(pages), met[0] - met[1] if met else None, None)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(again(batches))
 
     found = cut(told.mapInArrow(run, SCHEMA))
     plan = found.where("kind = 'plan'").select("doc_id", F.col("page").alias("from"), F.col("block").alias("shift"), F.col("first").alias("met"), F.col("y").alias("later"))

@@ -166,3 +166,13 @@ def test_only_reached_pages_are_folded_again(spark, monkeypatch):
     assert pages_by["fresh"] < 0.5 * sum(pages_by.values()) and pages_by["spliced"] > 20 and pages_by["kept"] > 20
     changed = {i for (i, d), (_, e) in zip(old, new, strict=False) if d != e} | {33}
     assert {r.doc_id for r in found.where("source <> 'kept'").collect()} <= changed
+
+
+def test_short_documents_share_batches(spark):
+    given = [(k, [([5, 5], None, None, None, False, False, False), ([], None, (0, 3, 2, 0), (4, 2), None, None, None)]) for k in range(300)] + [(300, None), (301, [])]
+    docs = spark.createDataFrame(given, f"doc_id long, blocks array<{pages.BLOCK}>").coalesce(1)
+    rows = [r for d in range(300) for r in pages._rows(d, pages.fold([pages.Block([5, 5]), pages.Block((), (), (0, 3, 2, 0), (4, 2))], pages.Rules(12, 6))[0])]
+    sizes = [b.num_rows for b in pages._batches(iter(rows))]
+    assert len(sizes) == -(-len(rows) // pages.BATCH_ROWS)
+    found = [tuple(r)[:8] for r in pages.page_fold(docs, pages.Rules(12, 6)).collect()]
+    assert sorted(found, key=repr) == sorted((tuple(r)[:8] for r in rows), key=repr)
