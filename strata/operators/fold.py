@@ -120,7 +120,7 @@ def paginate_rows(documents: DataFrame, room: int, widows: int = 2) -> DataFrame
 def balanced_height(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, columns: int) -> DataFrame:
     """The least column height at which ``columns`` columns hold all items in order.
 
-    It lies between the greatest item and the sum; 40 halvings, each a fold over the items, find it.
+    It lies between the greatest item and the sum; halvings, 40 at most and each one fold over the items, find it. None is made once both ends meet.
     """
     items = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("__size")))), lambda x: x["__size"].cast("long"))
     grouped = df.groupBy(*keys).agg(items.alias("__items"))
@@ -133,8 +133,10 @@ def balanced_height(df: DataFrame, keys: Sequence[str], order: Sequence[str], si
     bounds = F.struct(F.array_max("__items").alias("low"), F.aggregate("__items", F.lit(0).cast("long"), lambda a, s: a + s).alias("high"))
 
     def halve(b: Column, _: Column) -> Column:
-        middle = ((b["low"] + b["high"]) / 2).cast("long")
-        enough = needed(middle) <= columns
-        return F.struct(F.when(enough, b["low"]).otherwise(F.least(middle + 1, b["high"])).alias("low"), F.when(enough, middle).otherwise(b["high"]).alias("high"))
+        # What is used twice is bound by a transform of one element, or it would be folded twice.
+        middle = F.array(((b["low"] + b["high"]) / 2).cast("long"))
+        told = F.transform(middle, lambda m: F.struct(m.alias("m"), (needed(m) <= columns).alias("enough")))
+        half = lambda x: F.struct(F.when(x["enough"], b["low"]).otherwise(F.least(x["m"] + 1, b["high"])).alias("low"), F.when(x["enough"], x["m"]).otherwise(b["high"]).alias("high"))
+        return F.when(b["low"] >= b["high"], b).otherwise(F.transform(told, half)[0])
 
     return grouped.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(40)), bounds, halve, lambda b: b["high"]).alias("height"))
