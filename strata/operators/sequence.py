@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.rounds import dealt
+
 Keys = Sequence[str]
 
 
@@ -105,7 +107,7 @@ def collapsed_gaps(df: DataFrame, keys: Keys, order: Keys, before: str, after: s
 def places(df: DataFrame, keys: Keys, order: Keys, section: str, page: str) -> DataFrame:
     """Each row's place in its document, section and page."""
     count = lambda *by: F.count(F.lit(1)).over(_up_to([*keys, *by], order))
-    return df.withColumn("in_document", count()).withColumn("in_section", count(section)).withColumn("in_page", count(page))
+    return dealt(df, keys).withColumn("in_document", count()).withColumn("in_section", count(section)).withColumn("in_page", count(page))
 
 
 def offsets(df: DataFrame, keys: Keys, order: Keys, length: Column) -> DataFrame:

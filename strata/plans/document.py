@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import numbers as num
 from strata.operators import fold, layout, numbering, plan, resolve, spans, style, sweeps, table
+from strata.operators.rounds import dealt
 from strata.plans.packages import scanned
 from strata.plans.registry import query, t
 from strata.sources.package import paragraphs
@@ -617,7 +618,7 @@ def _(spark, sf):
 def _(spark, sf):
     """A cell's padding: its own, its row's, its band's, its table's; each layer a row, the highest one decides."""
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ITEMS)).cast("long")
-    i = t(spark, sf, "lineitem").select("l_orderkey", n.alias("n"), "l_partkey", "l_suppkey")
+    i = dealt(t(spark, sf, "lineitem").select("l_orderkey", *_ITEMS), ["l_orderkey"]).select("l_orderkey", n.alias("n"), "l_partkey", "l_suppkey")
     layers = [("table", F.col("l_orderkey") % 9), ("band", F.when(F.col("n") % 2 == 0, 7)), ("row", F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 20)), ("cell", F.when(F.col("l_partkey") % 5 == 0, F.col("l_partkey") % 50))]
     told = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(name).alias("origin"), value.cast("long").alias("value")) for k, (name, value) in enumerate(layers)))
     declared = i.select("l_orderkey", "n", F.inline(told)).withColumn("name", F.lit("padding"))

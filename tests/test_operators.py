@@ -10,7 +10,10 @@ from strata.__main__ import main
 from strata.functions import numbers as num
 from strata.operators import diff, fold, grid, joins, layout, resolve, sequence
 from strata.operators.numbering import list_items
+from strata.operators.rounds import dealt
+from strata.plans import catalogue, document  # noqa: F401
 from strata.plans.packages import contents, scanned
+from strata.plans.registry import QUERIES
 from strata.sources.package import paragraphs, read_package, scan_contents, scan_packages
 from strata.sources.patterns import read_exceptions, read_patterns
 from strata.streaming.incremental import current, event_windows, keep_current, recompute
@@ -249,3 +252,13 @@ def test_packages_are_scanned_once_and_only_kinds_asked_for_leave_the_worker(spa
     assert {r.kind for r in scan_contents(files, ("style", "pages")).collect()} == {"style", "pages"}
     assert values(scan_contents(files, ("style",)), "path", "name") == values(scan_contents(files).where("kind = 'style'"), "path", "name")
     assert "MapInArrow" not in scanned(spark, sf_dir, "style")._jdf.queryExecution().toString()
+
+
+def test_partitions_grow_with_the_rows(spark, sf_dir):
+    rows = spark.range(4000).withColumn("k", F.col("id") % 400)
+    found = dealt(rows, ["k"], rows=100)
+    assert found.rdd.getNumPartitions() == 40 and found.count() == 4000
+    assert found.groupBy("k", F.spark_partition_id()).count().count() == 400
+    assert dealt(rows, ["k"]).rdd.getNumPartitions() == 8
+    for name in ("footnote_places", "table_cascade"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
