@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.rounds import cut
+from strata.operators.rounds import cut, dealt
 
 
 def ancestors_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -84,72 +87,135 @@ def mapped(map_: str, x: Column, y: Column) -> tuple[Column, Column]:
     return m("a") * x + m("c") * y + m("e"), m("b") * x + m("d") * y + m("f")
 
 
-def _settled(rows: DataFrame, spanning: DataFrame) -> DataFrame:
-    """Row heights (table, row, height) after the cells that span rows, by row and column: each makes the last of its rows taller where all are too low.
-
-    Only rows under spans that meet one another are folded together.
-    """
+def _islands(spanning: DataFrame) -> DataFrame:
+    """(table, row, island, cells) of the rows under spanning cells: spans that meet one another are an island, whose first row has its cells by row and column."""
     w = Window.partitionBy("table").orderBy("row", "column")
     reach = F.max(F.col("row") + F.col("rows")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     cells = spanning.withColumn("new", (F.col("row") >= F.coalesce(reach, F.lit(-1))).cast("long")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     islands = cells.groupBy("table", "island").agg(F.min("row").alias("low"), F.max(F.col("row") + F.col("rows")).alias("high"), F.array_sort(F.collect_list(F.struct("row", "column", "rows", "content"))).alias("cells"))
-    covered = islands.select("table", "island", F.explode(F.sequence("low", F.col("high") - 1)).alias("row"))
-    own = covered.join(rows, ["table", "row"]).groupBy("table", "island").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "height"))), lambda x: x["height"]).alias("heights"))
+    covered = islands.select("table", "island", "low", "cells", F.explode(F.sequence("low", F.col("high") - 1)).alias("row"))
+    return covered.select("table", "row", "island", F.when(F.col("row") == F.col("low"), F.col("cells")).alias("cells"))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """``rows`` (table, row, height, held, and island and cells as of ``_islands``) with their heights after the cells that span rows: each makes the last of its rows taller where all are too low.
+
+    Only the rows of an island are folded together.
+    """
 
     def grow(heights: Column, cell: Column, low: Column) -> Column:
         first, last = cell["row"] - low, cell["row"] - low + cell["rows"] - 1
         there = F.aggregate(F.slice(heights, (first + 1).cast("int"), cell["rows"].cast("int")), F.lit(0).cast("long"), lambda a, h: a + h)
         return F.transform(heights, lambda h, k: h + F.when(k == last, F.greatest(cell["content"] - there, F.lit(0))).otherwise(0))
 
-    grown = islands.join(own, ["table", "island"]).select("table", "low", F.aggregate("cells", F.col("heights"), lambda h, c: grow(h, c, F.col("low"))).alias("heights"))
-    after = grown.select("table", F.posexplode("heights").alias("k", "taller"), "low").select("table", (F.col("k") + F.col("low")).alias("row"), "taller")
-    return rows.join(after, ["table", "row"], "left").select("table", "row", F.coalesce("taller", "height").alias("height"))
+    own = F.array_sort(F.collect_list(F.struct("row", "height", "held"))).alias("own")
+    islands = rows.where("island IS NOT NULL").groupBy("table", "island").agg(own, F.first("cells", ignorenulls=True).alias("cells"))
+    grown = islands.select("table", "own", F.aggregate("cells", F.col("own.height"), lambda h, c: grow(h, c, F.col("own")[0]["row"])).alias("heights"))
+    after = grown.select("table", F.explode(F.transform("own", lambda r, k: F.struct(r["row"].alias("row"), F.get("heights", k).alias("height"), r["held"].alias("held")))).alias("r")).select("table", "r.*")
+    return rows.where("island IS NULL").select("table", "row", "height", "held").unionByName(after)
+
+
+def _levels(tables: DataFrame) -> list[DataFrame]:
+    """``tables`` with their root, by depth: the outermost ones, those in them, and so on. What no outermost one holds is left out."""
+    columns = ["table", "up", "up_row", "up_column", "root"]
+    inner = tables.where("up IS NOT NULL")
+    level, levels = cut(tables.where("up IS NULL").withColumn("root", F.col("table")).select(columns)), []
+    while not level.isEmpty():
+        levels.append(level)
+        level = cut(inner.join(level.select(F.col("table").alias("up"), "root"), "up").select(columns))
+    return levels
+
 
+_CELL = ["table", "row", "column"]
+_IN = ["up", "up_row", "up_column"]
 
-def nested_tables(tables: DataFrame, cells: DataFrame) -> DataFrame:
+
+def _named(df: DataFrame, old: list[str], new: list[str], *more: str) -> DataFrame:
+    return df.select(*(F.col(o).alias(n) for o, n in zip(old, new, strict=True)), *more)
+
+
+def _measured(tables: DataFrame, cells: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each depth its tables (_IN, table, root, content of the cell it is in, total height) and rows (table, row, height, at, held: has a table in a cell).
+
+    Cells are dealt by table once. Those that span no rows and hold no table are at once one record for each row; the others stay apart, as they grow by what they hold.
+    """
+    levels = _levels(tables)
+    if not levels:
+        return []
+    none = F.lit(None).cast("long")
+    cells = cells.select(*_CELL, F.greatest(F.col("rows"), F.lit(1)).cast("long").alias("rows"), F.col("content").cast("long").alias("content"), F.lit(False).alias("held"))
+    depths = [_named(level.withColumn("depth", F.lit(k)), _IN, _CELL, "depth", F.col("table").alias("id")) for k, level in enumerate(levels)]
+    every = reduce(DataFrame.unionByName, depths)
+    for level in depths[1:]:
+        cells = cells.unionByName(level.select(*_CELL, none.alias("rows"), none.alias("content"), F.lit(True).alias("held")))
+    marked = dealt(cells, ["table"]).withColumn("held", F.max("held").over(Window.partitionBy(*_CELL))).where("rows IS NOT NULL")
+    apart = F.col("held") | (F.col("rows") > 1)
+    flat = marked.groupBy("table", "row", F.when(apart, F.col("column")).alias("column"), "rows", "held").agg(F.max("content").alias("content"))
+    flat = cut(flat.join(every.select(F.col("id").alias("table"), "depth"), "table"))
+    sizes = {r.depth: (r.n, r.spans) for r in flat.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), (F.max("rows") > 1).alias("spans")).collect()}  # one row for each level
+    least = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    so_far = Window.partitionBy("table").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    found, inner = [], None
+    for depth in reversed(range(len(levels))):
+        n, spans = sizes.get(depth, (0, False))
+        own = flat.where(F.col("depth") == depth)
+        special = own.where(apart)
+        if inner is not None:
+            special = special.join(inner, _CELL, "left").withColumn("content", F.col("content") + F.coalesce("inner", F.lit(0)))
+        special = cut(special) if spans else special
+        reached = special.select("table", F.explode(F.sequence("row", F.col("row") + F.col("rows") - 1)).alias("row"), F.when(F.col("rows") == 1, F.col("content")).alias("content"), "held")
+        rows = own.where(~apart).select("table", "row", "content", "held").unionByName(reached)
+        largest = [F.coalesce(F.max("content"), F.lit(0)).alias("height"), F.coalesce(F.max("held"), F.lit(False)).alias("held")]
+        parts = max(least, -(-n // 500_000))
+        if spans:
+            rows = rows.unionByName(_islands(special.where("rows > 1")), allowMissingColumns=True).repartition(parts, "table")
+            rows = _settled(cut(rows.groupBy("table", "row").agg(*largest, F.max("island").alias("island"), F.first("cells", ignorenulls=True).alias("cells")))).repartition(parts, "table")
+        else:
+            rows = rows.repartition(parts, "table").groupBy("table", "row").agg(*largest)
+        rows = cut(rows.withColumn("at", F.coalesce(F.sum("height").over(so_far), F.lit(0))))
+        level = levels[depth].join(rows.groupBy("table").agg(F.sum("height").alias("total")), "table", "left")
+        if depth:
+            level = cut(level)
+            inner = _named(level, _IN, _CELL, "total").groupBy(*_CELL).agg(F.sum("total").alias("inner"))
+            level = level.join(_named(flat.where((F.col("depth") == depth - 1) & F.col("held")), _CELL, _IN, "content"), _IN, "left")
+        found.append((level, rows))
+    return found[::-1]
+
+
+def nested_tables(tables: DataFrame, cells: DataFrame, marks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(table, depth, root, row, height, y, root_row): rows of tables in tables, their heights from the innermost out, and their place below the outermost table's top.
 
     ``tables``: table, and the cell it is in (up, up_row, up_column; null for outermost ones); several in one cell are stacked below its own content, by id.
     ``cells``: table, row, column, rows (that it spans, 1 at least, all of them with a cell of their own or not) and content. A row is as high as its highest cell of one row; a
     spanning cell that is higher than its rows makes the last one taller, in order. Levels are taken from the deepest one up, one round for each. Rows are numbered from 0 without gaps.
     A table in itself, or in an unknown one, has no place and is left out.
+    ``marks`` takes the outermost rows (table, row, height) and gives (table, row, mark), such as their page: every row has that of the outermost row that it is in, as ``mark``.
     """
-    cells = cells.select("table", "row", "column", F.greatest(F.col("rows"), F.lit(1)).cast("long").alias("rows"), F.col("content").cast("long").alias("content"))
-    chain = ancestors_of(tables.select(F.col("table").alias("id"), "up"), tables.select(F.col("table").alias("id")))
-    roots = tables.where("up IS NULL").select(F.col("table").alias("root"))
-    known = chain.join(roots, chain["ancestor"] == roots["root"]).select(F.col("id").alias("table"), "depth", "root")
-    tables = cut(tables.join(known, "table"))
-    levels = [r.depth for r in tables.select("depth").distinct().collect()]  # one number for each level of nesting
-    heights, inner = None, None
-    for depth in sorted(levels, reverse=True):
-        own = cells.join(tables.where(F.col("depth") == depth).select("table"), "table", "left_semi")
-        if inner is not None:
-            own = own.join(inner, ["table", "row", "column"], "left").withColumn("content", F.col("content") + F.coalesce("inner", F.lit(0)))
-        rows = own.withColumn("row", F.explode(F.sequence("row", F.col("row") + F.col("rows") - 1))).groupBy("table", "row").agg(F.coalesce(F.max(F.when(F.col("rows") == 1, F.col("content"))), F.lit(0)).alias("height"))
-        level = cut(_settled(rows, own.where("rows > 1")))
-        heights = level if heights is None else heights.unionByName(level)
-        total = level.groupBy("table").agg(F.sum("height").alias("total"))
-        above = tables.where((F.col("depth") == depth) & F.col("up").isNotNull()).join(total, "table", "left")
-        inner = above.groupBy(F.col("up").alias("table"), F.col("up_row").alias("row"), F.col("up_column").alias("column")).agg(F.sum("total").alias("inner"))
-    if heights is None:
-        return tables.select("table", "depth", "root", *(F.lit(0).cast("long").alias(c) for c in ("row", "height", "y", "root_row")))
-    so_far = Window.partitionBy("table").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut(heights.withColumn("at", F.coalesce(F.sum("height").over(so_far), F.lit(0))))
-    # A table's place in its outer table: its row, the cell's own content, and the tables before it there.
-    totals = heights.groupBy("table").agg(F.sum("height").alias("total"))
-    beside = Window.partitionBy("up", "up_row", "up_column").orderBy("table").rowsBetween(Window.unboundedPreceding, -1)
-    put = tables.join(totals, "table", "left").withColumn("before", F.when(F.col("up").isNull(), 0).otherwise(F.coalesce(F.sum("total").over(beside), F.lit(0))))
-    outer = placed.select(F.col("table").alias("up"), F.col("row").alias("up_row"), F.col("at").alias("row_at"))
-    content = cells.select(F.col("table").alias("up"), F.col("row").alias("up_row"), F.col("column").alias("up_column"), "content")
-    put = put.join(outer, ["up", "up_row"], "left").join(content, ["up", "up_row", "up_column"], "left")
-    down = F.coalesce(F.col("row_at") + F.col("content"), F.lit(0)) + F.col("before")
-    still = [F.lit(v).cast("double").alias(n) for n, v in (("a", 1), ("b", 0), ("c", 0), ("d", 1), ("e", 0))]
-    top = composed(put.select(F.col("table").alias("id"), "up", F.struct(*still, down.cast("double").alias("f")).alias("map"))).select(F.col("id").alias("table"), F.col("map.f").cast("long").alias("top"))
-    # The outermost row that a table is in: that of its ancestor one level below the root.
-    first = tables.where("depth = 1").select(F.col("table").alias("ancestor"), "up_row")
-    inside = chain.join(first, "ancestor").select(F.col("id").alias("table"), F.col("up_row").alias("outermost"))
-    out = placed.join(tables.select("table", "depth", "root"), "table").join(top, "table").join(inside, "table", "left")
-    return out.select("table", "depth", "root", "row", "height", (F.col("top") + F.col("at")).alias("y"), F.coalesce("outermost", "row").alias("root_row"))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    measured = _measured(tables, cells)
+    if not measured:
+        return tables.where("false").select("table", F.lit(0).cast("long").alias("depth"), F.col("table").alias("root"), *(zero.alias(c) for c in ("row", "height", "y", "root_row")), *([none.alias("mark")] if marks else []))
+    mark = ["mark"] if marks else []
+    outer, out, above = measured[0][1], [], None
+    given = cut(marks(outer.select("table", "row", "height"))) if marks else None
+    for depth, (level, rows) in enumerate(measured):
+        if depth == 0:
+            above = level.select("table", "root", zero.alias("top"))
+            here = rows.join(above, "table").withColumn("root_row", F.col("row"))
+            here = here.join(given, ["table", "row"]) if marks else here
+        else:
+            # A table's place in its outer table: its row, the cell's own content, and the tables before it there.
+            beside = Window.partitionBy(*_IN).orderBy("table").rowsBetween(Window.unboundedPreceding, -1)
+            put = level.drop("root").withColumn("before", F.coalesce(F.sum("total").over(beside), F.lit(0)))
+            put = put.join(_named(measured[depth - 1][1].where("held"), ["table", "row", "at"], ["up", "up_row", "row_at"]), ["up", "up_row"], "left")
+            if depth == 1:  # the outermost row that a table is in
+                put = put.withColumn("root_row", F.col("up_row"))
+                put = put.join(_named(given, ["table", "row"], ["up", "up_row"], "mark"), ["up", "up_row"]) if marks else put
+            put = put.join(above.withColumnRenamed("table", "up"), "up")
+            above = cut(put.select("table", "root", (F.col("top") + F.coalesce(F.col("row_at") + F.col("content"), F.lit(0)) + F.col("before")).alias("top"), "root_row", *mark))
+            here = rows.join(above, "table")
+        out.append(here.select("table", F.lit(depth).cast("long").alias("depth"), "root", "row", "height", (F.col("top") + F.col("at")).alias("y"), "root_row", *mark))
+    return reduce(DataFrame.unionByName, out)
 
 
 def spanning_pieces(cells: DataFrame, rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators import layout, trees
-from strata.operators.rounds import cut
+from strata.operators.rounds import cut, dealt
 from strata.plans.registry import query, t
 
 _ROOM = 60
@@ -29,31 +29,32 @@ _SQL = f"""
 def _tree(spark, sf) -> tuple[DataFrame, DataFrame]:
     items = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*items)) - 1
-    lines = cut(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ok"), n.cast("long").alias("n"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q")))
+    lines = dealt(t(spark, sf, "lineitem").select("l_orderkey", *items), ["l_orderkey"])
+    lines = cut(lines.select(F.col("l_orderkey").alias("ok"), n.cast("long").alias("n"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q")))
     by = Window.partitionBy("o_custkey")
-    orders = t(spark, sf, "orders").select(F.col("o_custkey").alias("ck"), F.col("o_orderkey").alias("ok"), (F.row_number().over(by.orderBy("o_orderkey")) - 1).cast("long").alias("n"), F.count(F.lit(1)).over(by).alias("m"))
+    orders = dealt(t(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"])
+    orders = cut(orders.select(F.col("o_custkey").alias("ck"), F.col("o_orderkey").alias("ok"), (F.row_number().over(by.orderBy("o_orderkey")) - 1).cast("long").alias("n"), F.count(F.lit(1)).over(by).alias("m")))
     name = lambda kind, *c: F.concat_ws(":", F.lit(kind), *c)
     none = F.lit(None)
     inner = lines.where("q > 40")
     tables = orders.select(name("c", "ck").alias("table"), none.cast("string").alias("up"), none.cast("long").alias("up_row"), none.cast("long").alias("up_column")).distinct()
     tables = tables.unionByName(orders.join(lines.select("ok").distinct(), "ok").select(name("o", "ok").alias("table"), name("c", "ck").alias("up"), F.col("n").alias("up_row"), F.lit(1).cast("long").alias("up_column")))
     tables = tables.unionByName(inner.select(name("l", "ok", "n").alias("table"), name("o", "ok").alias("up"), F.col("n").alias("up_row"), F.lit(1).cast("long").alias("up_column")))
-    cell = lambda df, table, row, column, rows, content: df.select(table.alias("table"), row.cast("long").alias("row"), F.lit(column).alias("column"), rows.cast("long").alias("rows"), content.cast("long").alias("content"))
-    one, two = F.lit(1), F.lit(2)
-    span = (F.col("n") % 4 == 0) & (F.col("n") + 1 < F.col("m"))
-    cells = cell(orders.where(span), name("c", "ck"), F.col("n"), 0, two, 3 + F.col("ok") % 20)
-    cells = cells.unionByName(cell(orders.where(~span & (F.col("n") % 4 != 1)), name("c", "ck"), F.col("n"), 0, one, 1 + F.col("ok") % 3))
-    cells = cells.unionByName(cell(orders, name("c", "ck"), F.col("n"), 1, one, one))
-    cells = cells.unionByName(cell(lines, name("o", "ok"), F.col("n"), 0, one, 1 + F.col("q") % 4)).unionByName(cell(lines, name("o", "ok"), F.col("n"), 1, one, F.lit(0)))
-    cells = cells.unionByName(cell(inner, name("l", "ok", "n"), F.lit(0), 0, one, 1 + F.col("l_partkey") % 3)).unionByName(cell(inner, name("l", "ok", "n"), F.lit(1), 0, one, 1 + F.col("l_suppkey") % 2))
-    return cut(tables), cut(cells)
+    cell = lambda table, row, column, content: F.struct(table.alias("table"), row.cast("long").alias("row"), F.lit(column).alias("column"), content.cast("long").alias("content"))
+    every = lambda df, rows, *found: df.select(F.inline(F.array(*found))).withColumn("rows", F.lit(rows).cast("long"))
+    customer, order, item, n = name("c", "ck"), name("o", "ok"), name("l", "ok", "n"), F.col("n")
+    span = (n % 4 == 0) & (n + 1 < F.col("m"))
+    cells = every(orders.where(span), 2, cell(customer, n, 0, 3 + F.col("ok") % 20)).unionByName(every(orders.where(~span & (n % 4 != 1)), 1, cell(customer, n, 0, 1 + F.col("ok") % 3)))
+    cells = cells.unionByName(every(orders, 1, cell(customer, n, 1, F.lit(1)))).unionByName(every(lines, 1, cell(order, n, 0, 1 + F.col("q") % 4), cell(order, n, 1, F.lit(0))))
+    cells = cells.unionByName(every(inner, 1, cell(item, F.lit(0), 0, 1 + F.col("l_partkey") % 3), cell(item, F.lit(1), 0, 1 + F.col("l_suppkey") % 2)))
+    return cut(tables), cells
 
 
-def _on_pages(found: DataFrame) -> DataFrame:
-    """root, root_row and page: the outermost rows on pages."""
-    rows = found.where("depth = 0").select(F.substring_index("table", ":", -1).cast("long").alias("k"), "row", "height", F.lit(False).alias("head"))
+def _pages(rows: DataFrame) -> DataFrame:
+    """(table, row, mark): the page of each of the outermost rows."""
+    rows = rows.select(F.substring_index("table", ":", -1).cast("long").alias("k"), "row", "height", F.lit(False).alias("head"))
     pages = layout.packed_rows(rows, "k", "row", "height", "head", _ROOM)
-    return pages.select(F.concat(F.lit("c:"), F.col("k")).alias("root"), F.col("row").alias("root_row"), "page")
+    return pages.select(F.concat(F.lit("c:"), F.col("k")).alias("table"), "row", F.col("page").alias("mark"))
 
 
 @query(
@@ -66,8 +67,8 @@ def _on_pages(found: DataFrame) -> DataFrame:
 )
 def _(spark, sf):
     """Rows of tables in tables, three deep: heights from the innermost out, places from the outermost in, and the page of each."""
-    found = cut(trees.nested_tables(*_tree(spark, sf)))
-    return found.join(_on_pages(found), ["root", "root_row"]).select("table", F.col("depth").cast("int").alias("depth"), "row", "height", "y", "page")
+    found = trees.nested_tables(*_tree(spark, sf), marks=_pages)
+    return found.select("table", F.col("depth").cast("int").alias("depth"), "row", "height", "y", F.col("mark").alias("page"))
 
 
 @query(
@@ -79,8 +80,8 @@ def _(spark, sf):
 def _(spark, sf):
     """What each page shows of the cells that span two rows of a customer's table."""
     tables, cells = _tree(spark, sf)
-    found = trees.nested_tables(tables, cells).where("depth = 0").withColumn("root", F.col("table"))
-    rows = cut(found.join(_on_pages(cut(found)), ["root", "root_row"]).select("table", "row", "height", "page"))
+    found = cut(trees.nested_tables(tables, cells).where("depth = 0"))
+    rows = found.join(_pages(found), ["table", "row"]).withColumnRenamed("mark", "page")
     return trees.spanning_pieces(cells, rows).select("table", "row", "page", "height", "carried")
 
 

@@ -124,3 +124,24 @@ def test_spanning_cells_are_carried_over_pages(spark):
     cells = spark.createDataFrame([(1, 0, 0, 4, 1), (1, 0, 1, 1, 1), (1, 2, 1, 2, 1)], "table long, row long, column long, rows long, content long")
     got = sorted(tuple(r) for r in trees.spanning_pieces(cells, rows).collect())
     assert got == [(1, 0, 0, 1, 30, False), (1, 0, 0, 2, 30, True), (1, 0, 0, 3, 5, True), (1, 2, 1, 2, 30, False), (1, 2, 1, 3, 5, True)]
+
+
+def chain_of_tables(spark, depth):
+    """``depth`` tables in one another, three rows each, the second with two rows under a spanning cell."""
+    tables = [(f"t{k}", f"t{k - 1}" if k else None, 1 if k else None, 1 if k else None) for k in range(depth)]
+    cells = [(f"t{k}", r, c, 1, 1 + (k + r + c) % 3) for k in range(depth) for r in range(3) for c in range(2)] + [(f"t{k}", 0, 2, 2, 4 + k) for k in range(0, depth, 2)]
+    return tables, cells, spark.createDataFrame(tables, "table string, up string, up_row long, up_column long"), spark.createDataFrame(cells, "table string, row long, column long, rows long, content long")
+
+
+def test_the_cells_of_tables_in_tables_are_read_a_fixed_number_of_times(spark):
+    tables, cells, given, grid = chain_of_tables(spark, 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = trees.nested_tables(given, grid.mapInArrow(counted, grid.schema))
+    assert sorted(tuple(r) for r in found.select("table", "depth", "root", "row", "height", "y", "root_row").collect()) == plain({t: tuple(v) for t, *v in tables} | {"t0": (None, None, None)}, cells)
+    assert seen.value <= 2 * len(cells)  # counted and dealt; before, once for each level and more
