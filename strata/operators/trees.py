@@ -1,4 +1,4 @@
-"""Trees of records in a logarithmic number of rounds: ancestors and composed maps by pointer doubling; nested tables from the leaves up."""
+"""Trees of records: ancestors and composed maps by pointer doubling, in a logarithmic number of rounds; nested tables level by level from the leaves up."""
 
 from __future__ import annotations
 
@@ -182,6 +182,13 @@ def _measured(tables: DataFrame, cells: DataFrame) -> list[tuple[DataFrame, Data
     return found[::-1]
 
 
+def outermost_rows(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """(table, row, height) of the outermost tables alone, see ``nested_tables``: nothing has to be placed for them."""
+    for _, rows in _measured(tables, cells)[:1]:
+        return rows.select("table", "row", "height")
+    return tables.select("table", *(F.lit(0).cast("long").alias(c) for c in ("row", "height"))).where("false")
+
+
 def nested_tables(tables: DataFrame, cells: DataFrame, marks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(table, depth, root, row, height, y, root_row): rows of tables in tables, their heights from the innermost out, and their place below the outermost table's top.
 

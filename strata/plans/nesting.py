@@ -80,7 +80,7 @@ def _(spark, sf):
 def _(spark, sf):
     """What each page shows of the cells that span two rows of a customer's table."""
     tables, cells = _tree(spark, sf)
-    found = cut(trees.nested_tables(tables, cells).where("depth = 0"))
+    found = trees.outermost_rows(tables, cells)
     rows = found.join(_pages(found), ["table", "row"]).withColumnRenamed("mark", "page")
     return trees.spanning_pieces(cells, rows).select("table", "row", "page", "height", "carried")
 

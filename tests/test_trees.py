@@ -145,3 +145,14 @@ def test_the_cells_of_tables_in_tables_are_read_a_fixed_number_of_times(spark):
     found = trees.nested_tables(given, grid.mapInArrow(counted, grid.schema))
     assert sorted(tuple(r) for r in found.select("table", "depth", "root", "row", "height", "y", "root_row").collect()) == plain({t: tuple(v) for t, *v in tables} | {"t0": (None, None, None)}, cells)
     assert seen.value <= 2 * len(cells)  # counted and dealt; before, once for each level and more
+
+
+def test_outermost_rows_are_those_of_the_whole_and_marks_reach_all_inside(spark):
+    tables, cells, given, grid = chain_of_tables(spark, 3)
+    whole = plain({t: tuple(v) for t, *v in tables} | {"t0": (None, None, None)}, cells)
+    outer = sorted(tuple(r) for r in trees.outermost_rows(given, grid).select("table", "row", "height").collect())
+    assert outer == [(t, row, height) for t, depth, _, row, height, _, _ in whole if depth == 0]
+    marked = trees.nested_tables(given, grid, marks=lambda rows: rows.select("table", "row", (F.col("row") * 10).alias("mark")))
+    assert sorted((r.table, r.row, r.mark) for r in marked.collect()) == sorted((t, row, 10 * root_row) for t, _, _, row, _, _, root_row in whole)
+    assert trees.outermost_rows(given.where("false"), grid).count() == 0
+    assert trees.nested_tables(given.where("false"), grid, marks=lambda rows: rows).columns[-1] == "mark"
