@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.rounds import cut, dealt
+from strata.operators.rounds import Shelf, cut, parts_of, stacked
 
 
 def ancestors_of(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -112,84 +112,88 @@ def _settled(rows: DataFrame) -> DataFrame:
     islands = rows.where("island IS NOT NULL").groupBy("table", "island").agg(own, F.first("cells", ignorenulls=True).alias("cells"))
     grown = islands.select("table", "own", F.aggregate("cells", F.col("own.height"), lambda h, c: grow(h, c, F.col("own")[0]["row"])).alias("heights"))
     after = grown.select("table", F.explode(F.transform("own", lambda r, k: F.struct(r["row"].alias("row"), F.get("heights", k).alias("height"), r["held"].alias("held")))).alias("r")).select("table", "r.*")
-    return rows.where("island IS NULL").select("table", "row", "height", "held").unionByName(after)
-
-
-def _levels(tables: DataFrame) -> list[DataFrame]:
-    """``tables`` with their root, by depth: the outermost ones, those in them, and so on. What no outermost one holds is left out."""
-    columns = ["table", "up", "up_row", "up_column", "root"]
-    inner = tables.where("up IS NOT NULL")
-    level, levels = cut(tables.where("up IS NULL").withColumn("root", F.col("table")).select(columns)), []
-    while not level.isEmpty():
-        levels.append(level)
-        level = cut(inner.join(level.select(F.col("table").alias("up"), "root"), "up").select(columns))
-    return levels
+    return stacked("table", rows.where("island IS NULL").select("table", "row", "height", "held"), after)
 
 
 _CELL = ["table", "row", "column"]
 _IN = ["up", "up_row", "up_column"]
 
 
-def _named(df: DataFrame, old: list[str], new: list[str], *more: str) -> DataFrame:
+def _named(df: DataFrame, old: list[str], new: list[str], *more: str | Column) -> DataFrame:
     return df.select(*(F.col(o).alias(n) for o, n in zip(old, new, strict=True)), *more)
 
 
-def _measured(tables: DataFrame, cells: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each depth its tables (_IN, table, root, content of the cell it is in, total height) and rows (table, row, height, at, held: has a table in a cell).
+def _levels(tables: DataFrame, shelf: Shelf) -> list[DataFrame]:
+    """``tables`` by depth, kept by table: the outermost ones, those in them, and so on. What no outermost one holds is left out. All that are in others are kept by ``up`` as ``inner``."""
+    tables = tables.select("table", *_IN)
+    inner = shelf.put("inner", tables.where("up IS NOT NULL").repartition(shelf.parts, "up"), "up")
+    levels, level = [], shelf.put("level0", tables.where("up IS NULL").repartition(shelf.parts, "table"), "table")
+    while not level.isEmpty():
+        levels.append(level)
+        found = inner.join(level.select(F.col("table").alias("up")), "up", "left_semi")
+        level = shelf.put(f"level{len(levels)}", found.repartition(shelf.parts, "table"), "table")
+    return levels
+
+
+def _measured(tables: DataFrame, cells: DataFrame, parts: int | None) -> tuple[Shelf, int]:
+    """A shelf with the rows of each depth (``rows0`` and on: table, row, height, at, held: has a table in a cell; by table), and the number of depths.
 
-    Cells are dealt by table once. Those that span no rows and hold no table are at once one record for each row; the others stay apart, as they grow by what they hold.
+    It also has the tables of each depth but the outermost, by what they are in (``put1`` and on: table, _IN, total height), and the cells (``flat``, by table).
+    Cells move once, to be dealt by table; after that only what is known of whole tables does. Cells that span rows or hold a table are taken apart from the others, as they grow.
     """
-    levels = _levels(tables)
-    if not levels:
-        return []
     none = F.lit(None).cast("long")
+    shelf = Shelf(cells.sparkSession, parts or parts_of(cells))
+    levels = _levels(tables, shelf)
+    if not levels:
+        shelf.drop()
+        return shelf, 0
     cells = cells.select(*_CELL, F.greatest(F.col("rows"), F.lit(1)).cast("long").alias("rows"), F.col("content").cast("long").alias("content"), F.lit(False).alias("held"))
-    depths = [_named(level.withColumn("depth", F.lit(k)), _IN, _CELL, "depth", F.col("table").alias("id")) for k, level in enumerate(levels)]
-    every = reduce(DataFrame.unionByName, depths)
-    for level in depths[1:]:
-        cells = cells.unionByName(level.select(*_CELL, none.alias("rows"), none.alias("content"), F.lit(True).alias("held")))
-    marked = dealt(cells, ["table"]).withColumn("held", F.max("held").over(Window.partitionBy(*_CELL))).where("rows IS NOT NULL")
+    cells = cells.repartition(shelf.parts, "table")  # left out where they are so already
+    holding = _named(shelf.get("inner"), _IN, _CELL, none.alias("rows"), none.alias("content"), F.lit(True).alias("held"))
+    marked = stacked("table", cells, holding).withColumn("held", F.max("held").over(Window.partitionBy(*_CELL))).where("rows IS NOT NULL")
+    every = stacked("table", *(level.select("table", F.lit(k).alias("depth")) for k, level in enumerate(levels)))
     apart = F.col("held") | (F.col("rows") > 1)
-    flat = marked.groupBy("table", "row", F.when(apart, F.col("column")).alias("column"), "rows", "held").agg(F.max("content").alias("content"))
-    flat = cut(flat.join(every.select(F.col("id").alias("table"), "depth"), "table"))
-    sizes = {r.depth: (r.n, r.spans) for r in flat.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), (F.max("rows") > 1).alias("spans")).collect()}  # one row for each level
-    least = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = shelf.put("flat", marked.join(every, "table"), "table")
+    shelf.drop("inner", "level0", f"level{len(levels)}")
+    spanned = {r.depth for r in flat.groupBy("depth").agg(F.max("rows").alias("most")).where("most > 1").collect()}  # one row for each level at most
     so_far = Window.partitionBy("table").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    found, inner = [], None
+    largest = [F.coalesce(F.max("content"), F.lit(0)).alias("height"), F.coalesce(F.max("held"), F.lit(False)).alias("held")]
     for depth in reversed(range(len(levels))):
-        n, spans = sizes.get(depth, (0, False))
         own = flat.where(F.col("depth") == depth)
-        special = own.where(apart)
-        if inner is not None:
-            special = special.join(inner, _CELL, "left").withColumn("content", F.col("content") + F.coalesce("inner", F.lit(0)))
-        special = cut(special) if spans else special
+        special = own.where(apart).select(*_CELL, "rows", "content", "held")
+        if depth + 1 < len(levels):
+            held = _named(shelf.get(f"put{depth + 1}"), _IN, _CELL, F.col("total").alias("inner"))
+            both = stacked("table", special, held).groupBy(*_CELL)
+            both = both.agg(F.max("rows").alias("rows"), F.max("content").alias("content"), F.max("held").alias("held"), F.sum("inner").alias("inner"))
+            special = both.where("rows IS NOT NULL").withColumn("content", F.col("content") + F.coalesce("inner", F.lit(0))).drop("inner")
+        special = shelf.put("special", special, "table") if depth in spanned else special
         reached = special.select("table", F.explode(F.sequence("row", F.col("row") + F.col("rows") - 1)).alias("row"), F.when(F.col("rows") == 1, F.col("content")).alias("content"), "held")
-        rows = own.where(~apart).select("table", "row", "content", "held").unionByName(reached)
-        largest = [F.coalesce(F.max("content"), F.lit(0)).alias("height"), F.coalesce(F.max("held"), F.lit(False)).alias("held")]
-        parts = max(least, -(-n // 500_000))
-        if spans:
-            rows = rows.unionByName(_islands(special.where("rows > 1")), allowMissingColumns=True).repartition(parts, "table")
-            rows = _settled(cut(rows.groupBy("table", "row").agg(*largest, F.max("island").alias("island"), F.first("cells", ignorenulls=True).alias("cells")))).repartition(parts, "table")
+        plain = own.where(~apart).select("table", "row", "content", "held")
+        if depth in spanned:
+            rows = stacked("table", plain, reached, _islands(special.where("rows > 1"))).groupBy("table", "row")
+            rows = _settled(shelf.put("unsettled", rows.agg(*largest, F.max("island").alias("island"), F.first("cells", ignorenulls=True).alias("cells")), "table"))
         else:
-            rows = rows.repartition(parts, "table").groupBy("table", "row").agg(*largest)
-        rows = cut(rows.withColumn("at", F.coalesce(F.sum("height").over(so_far), F.lit(0))))
-        level = levels[depth].join(rows.groupBy("table").agg(F.sum("height").alias("total")), "table", "left")
+            rows = stacked("table", plain, reached).groupBy("table", "row").agg(*largest)
+        rows = shelf.put(f"rows{depth}", rows.withColumn("at", F.coalesce(F.sum("height").over(so_far), F.lit(0))), "table")
         if depth:
-            level = cut(level)
-            inner = _named(level, _IN, _CELL, "total").groupBy(*_CELL).agg(F.sum("total").alias("inner"))
-            level = level.join(_named(flat.where((F.col("depth") == depth - 1) & F.col("held")), _CELL, _IN, "content"), _IN, "left")
-        found.append((level, rows))
-    return found[::-1]
+            total = levels[depth].join(rows.groupBy("table").agg(F.sum("height").alias("total")), "table", "left")
+            shelf.put(f"put{depth}", total.repartition(shelf.parts, "up"), "up")
+            shelf.drop(f"level{depth}")
+        if depth in spanned:
+            shelf.drop("special", "unsettled")
+    return shelf, len(levels)
 
 
-def outermost_rows(tables: DataFrame, cells: DataFrame) -> DataFrame:
+def outermost_rows(tables: DataFrame, cells: DataFrame, parts: int | None = None) -> DataFrame:
     """(table, row, height) of the outermost tables alone, see ``nested_tables``: nothing has to be placed for them."""
-    for _, rows in _measured(tables, cells)[:1]:
-        return rows.select("table", "row", "height")
-    return tables.select("table", *(F.lit(0).cast("long").alias(c) for c in ("row", "height"))).where("false")
+    shelf, depths = _measured(tables, cells, parts)
+    if not depths:
+        return tables.select("table", *(F.lit(0).cast("long").alias(c) for c in ("row", "height"))).where("false")
+    shelf.drop("flat", *(f"{kind}{depth}" for depth in range(1, depths) for kind in ("rows", "put")))
+    return shelf.get("rows0").select("table", "row", "height")
 
 
-def nested_tables(tables: DataFrame, cells: DataFrame, marks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def nested_tables(tables: DataFrame, cells: DataFrame, marks: Callable[[DataFrame], DataFrame] | None = None, parts: int | None = None) -> DataFrame:
     """(table, depth, root, row, height, y, root_row): rows of tables in tables, their heights from the innermost out, and their place below the outermost table's top.
 
     ``tables``: table, and the cell it is in (up, up_row, up_column; null for outermost ones); several in one cell are stacked below its own content, by id.
@@ -197,31 +201,44 @@ def nested_tables(tables: DataFrame, cells: DataFrame, marks: Callable[[DataFram
     spanning cell that is higher than its rows makes the last one taller, in order. Levels are taken from the deepest one up, one round for each. Rows are numbered from 0 without gaps.
     A table in itself, or in an unknown one, has no place and is left out.
     ``marks`` takes the outermost rows (table, row, height) and gives (table, row, mark), such as their page: every row has that of the outermost row that it is in, as ``mark``.
+    ``parts``: into how many cells are dealt by table; those that are so already don't move. Without it they are counted first.
+
+    All steps but the last are done when this returns, and only what the last one reads is left of them (see ``Shelf``): it joins rows to the places of their tables where both lie.
     """
-    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
-    measured = _measured(tables, cells)
-    if not measured:
-        return tables.where("false").select("table", F.lit(0).cast("long").alias("depth"), F.col("table").alias("root"), *(zero.alias(c) for c in ("row", "height", "y", "root_row")), *([none.alias("mark")] if marks else []))
+    zero = F.lit(0).cast("long")
+    shelf, depths = _measured(tables, cells, parts)
     mark = ["mark"] if marks else []
-    outer, out, above = measured[0][1], [], None
-    given = cut(marks(outer.select("table", "row", "height"))) if marks else None
-    for depth, (level, rows) in enumerate(measured):
-        if depth == 0:
-            above = level.select("table", "root", zero.alias("top"))
-            here = rows.join(above, "table").withColumn("root_row", F.col("row"))
-            here = here.join(given, ["table", "row"]) if marks else here
+    if not depths:
+        return tables.where("false").select("table", F.lit(0).cast("long").alias("depth"), F.col("table").alias("root"), *(zero.alias(c) for c in ("row", "height", "y", "root_row")), *(zero.alias(c) for c in mark))
+    outer = shelf.get("rows0")
+    if marks:
+        given = marks(outer.select("table", "row", "height")).select("table", "row", "mark", F.lit(True).alias("given")).repartition(shelf.parts, "table")
+        both = stacked("table", outer, given).groupBy("table", "row")
+        both = both.agg(F.max("height").alias("height"), F.max("at").alias("at"), F.first("mark", ignorenulls=True).alias("mark"), F.max("given").alias("given"))
+        outer = shelf.put("outer", both.where("given AND height IS NOT NULL").drop("given"), "table")
+        shelf.drop("rows0")
+    place = lambda df, depth, root, y, root_row: df.select("table", F.lit(depth).cast("long").alias("depth"), F.col(root).alias("root"), "row", "height", y.alias("y"), F.col(root_row).alias("root_row"), *mark)
+    out, above = [place(outer, 0, "table", F.col("at"), "row")], None
+    cell, row = Window.partitionBy(*_CELL), Window.partitionBy("table", "row")
+    beside = cell.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    for depth in range(1, depths):
+        # A table's place in its outer table: its row, the cell's own content, and the tables before it there.
+        put = _named(shelf.get(f"put{depth}"), [*_IN, "table", "total"], [*_CELL, "id", "total"])
+        content = shelf.get("flat").where((F.col("depth") == depth - 1) & F.col("held")).select(*_CELL, "content")
+        at = outer.select("table", "row", "at", *mark) if depth == 1 else shelf.get(f"rows{depth - 1}").where("held").select("table", "row", "at")
+        put = stacked("table", put, content, at)
+        put = put.withColumn("before", F.coalesce(F.sum("total").over(beside), F.lit(0))).withColumn("content", F.max("content").over(cell)).withColumn("at", F.max("at").over(row))
+        top = F.coalesce(F.col("at") + F.col("content"), F.lit(0)) + F.col("before")
+        if depth == 1:  # the outermost row that a table is in
+            put = put.withColumn("mark", F.first("mark", ignorenulls=True).over(row)).where("at IS NOT NULL") if marks else put
+            put = put.where("id IS NOT NULL").select(F.col("id").alias("table"), F.col("table").alias("root"), top.alias("top"), F.col("row").alias("root_row"), *mark)
         else:
-            # A table's place in its outer table: its row, the cell's own content, and the tables before it there.
-            beside = Window.partitionBy(*_IN).orderBy("table").rowsBetween(Window.unboundedPreceding, -1)
-            put = level.drop("root").withColumn("before", F.coalesce(F.sum("total").over(beside), F.lit(0)))
-            put = put.join(_named(measured[depth - 1][1].where("held"), ["table", "row", "at"], ["up", "up_row", "row_at"]), ["up", "up_row"], "left")
-            if depth == 1:  # the outermost row that a table is in
-                put = put.withColumn("root_row", F.col("up_row"))
-                put = put.join(_named(given, ["table", "row"], ["up", "up_row"], "mark"), ["up", "up_row"]) if marks else put
-            put = put.join(above.withColumnRenamed("table", "up"), "up")
-            above = cut(put.select("table", "root", (F.col("top") + F.coalesce(F.col("row_at") + F.col("content"), F.lit(0)) + F.col("before")).alias("top"), "root_row", *mark))
-            here = rows.join(above, "table")
-        out.append(here.select("table", F.lit(depth).cast("long").alias("depth"), "root", "row", "height", (F.col("top") + F.col("at")).alias("y"), "root_row", *mark))
+            put = put.where("id IS NOT NULL").select("table", "id", top.alias("below")).join(above, "table")
+            put = put.select(F.col("id").alias("table"), "root", (F.col("top") + F.col("below")).alias("top"), "root_row", *mark)
+        above = shelf.put(f"above{depth}", put.repartition(shelf.parts, "table"), "table")
+        shelf.drop(f"put{depth}")
+        out.append(place(shelf.get(f"rows{depth}").join(above, "table"), depth, "root", F.col("top") + F.col("at"), "root_row"))
+    shelf.drop("flat")
     return reduce(DataFrame.unionByName, out)
 
 

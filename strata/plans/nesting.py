@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators import layout, trees
-from strata.operators.rounds import cut, dealt
+from strata.operators.rounds import Shelf, parts_of, stacked
 from strata.plans.registry import query, t
 
 _ROOM = 60
@@ -26,28 +26,33 @@ _SQL = f"""
     y1 AS (SELECT h1.ok, h1.n, h1.height, y0.ck, y0.n AS on_row, y0.y + 1 + (sum(h1.height) OVER (PARTITION BY h1.ok ORDER BY h1.n)) - h1.height AS y FROM h1 JOIN y0 ON y0.ok = h1.ok)"""
 
 
-def _tree(spark, sf) -> tuple[DataFrame, DataFrame]:
-    items = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*items)) - 1
-    lines = dealt(t(spark, sf, "lineitem").select("l_orderkey", *items), ["l_orderkey"])
-    lines = cut(lines.select(F.col("l_orderkey").alias("ok"), n.cast("long").alias("n"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q")))
-    by = Window.partitionBy("o_custkey")
-    orders = dealt(t(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"])
-    orders = cut(orders.select(F.col("o_custkey").alias("ck"), F.col("o_orderkey").alias("ok"), (F.row_number().over(by.orderBy("o_orderkey")) - 1).cast("long").alias("n"), F.count(F.lit(1)).over(by).alias("m")))
-    name = lambda kind, *c: F.concat_ws(":", F.lit(kind), *c)
-    none = F.lit(None)
-    inner = lines.where("q > 40")
-    tables = orders.select(name("c", "ck").alias("table"), none.cast("string").alias("up"), none.cast("long").alias("up_row"), none.cast("long").alias("up_column")).distinct()
-    tables = tables.unionByName(orders.join(lines.select("ok").distinct(), "ok").select(name("o", "ok").alias("table"), name("c", "ck").alias("up"), F.col("n").alias("up_row"), F.lit(1).cast("long").alias("up_column")))
-    tables = tables.unionByName(inner.select(name("l", "ok", "n").alias("table"), name("o", "ok").alias("up"), F.col("n").alias("up_row"), F.lit(1).cast("long").alias("up_column")))
-    cell = lambda table, row, column, content: F.struct(table.alias("table"), row.cast("long").alias("row"), F.lit(column).alias("column"), content.cast("long").alias("content"))
-    every = lambda df, rows, *found: df.select(F.inline(F.array(*found))).withColumn("rows", F.lit(rows).cast("long"))
-    customer, order, item, n = name("c", "ck"), name("o", "ok"), name("l", "ok", "n"), F.col("n")
+def _tree(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, Shelf]:
+    """Tables, cells (dealt by table to as many parts as the shelf has), the spanning ones of them, and the shelf with what they are read from."""
+    items = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    shelf = Shelf(spark, parts_of(items, 250_000))
+    long = lambda **c: [v.cast("long").alias(k) for k, v in c.items()]
+    q, n, by = F.col("l_quantity").cast("long"), F.col("n"), Window.partitionBy("table")
+    of = lambda df, kind, key: df.where(F.col(key).isNotNull()).withColumn("table", F.concat(F.lit(f"{kind}:"), key)).repartition(shelf.parts, "table")
+    lines = of(items, "o", "l_orderkey").withColumn("n", F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1)
+    lines = shelf.put("lines", lines.select("table", *long(n=n, content=1 + q % 4, first=1 + F.col("l_partkey") % 3, second=1 + F.col("l_suppkey") % 2), (q > 40).alias("large")), "table")
+    orders = of(t(spark, sf, "orders").select("o_custkey", "o_orderkey"), "c", "o_custkey")
+    orders = orders.select("table", F.col("o_orderkey").alias("ok"), *long(n=F.row_number().over(by.orderBy("o_orderkey")) - 1, m=F.count(F.lit(1)).over(by)))
+    orders = shelf.put("orders", orders, "table")
+    item = F.concat(F.lit("l"), F.expr("substring(table, 2)"), F.lit(":"), n)
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    inner = lines.where("large").withColumn("item", item)
+    tables = orders.select("table", F.lit(None).cast("string").alias("up"), none.alias("up_row"), none.alias("up_column")).distinct()
+    held = lambda df, name: df.select(name.alias("table"), F.col("table").alias("up"), n.alias("up_row"), one.alias("up_column"))
+    tables = tables.unionByName(held(orders.where("ok IS NOT NULL"), F.concat(F.lit("o:"), "ok"))).unionByName(held(inner, F.col("item")))
+    cell = lambda row, column, content: F.struct(row.cast("long").alias("row"), F.lit(column).alias("column"), content.cast("long").alias("content"))
+    every = lambda df, rows, *found: df.select("table", F.inline(F.array(*found))).withColumn("rows", F.lit(rows).cast("long"))
     span = (n % 4 == 0) & (n + 1 < F.col("m"))
-    cells = every(orders.where(span), 2, cell(customer, n, 0, 3 + F.col("ok") % 20)).unionByName(every(orders.where(~span & (n % 4 != 1)), 1, cell(customer, n, 0, 1 + F.col("ok") % 3)))
-    cells = cells.unionByName(every(orders, 1, cell(customer, n, 1, F.lit(1)))).unionByName(every(lines, 1, cell(order, n, 0, 1 + F.col("q") % 4), cell(order, n, 1, F.lit(0))))
-    cells = cells.unionByName(every(inner, 1, cell(item, F.lit(0), 0, 1 + F.col("l_partkey") % 3), cell(item, F.lit(1), 0, 1 + F.col("l_suppkey") % 2)))
-    return cut(tables), cells
+    spanning = every(orders.where(span), 2, cell(n, 0, 3 + F.col("ok") % 20))
+    single = every(orders.where(~span & (n % 4 != 1)), 1, cell(n, 0, 1 + F.col("ok") % 3))
+    large = inner.select(F.col("item").alias("table"), "first", "second").repartition(shelf.parts, "table")
+    own = every(lines, 1, cell(n, 0, F.col("content")), cell(n, 1, F.lit(0)))
+    cells = stacked("table", spanning, single, every(orders, 1, cell(n, 1, one)), own, every(large, 1, cell(F.lit(0), 0, F.col("first")), cell(F.lit(1), 0, F.col("second"))))
+    return tables, cells, spanning, shelf
 
 
 def _pages(rows: DataFrame) -> DataFrame:
@@ -67,7 +72,9 @@ def _pages(rows: DataFrame) -> DataFrame:
 )
 def _(spark, sf):
     """Rows of tables in tables, three deep: heights from the innermost out, places from the outermost in, and the page of each."""
-    found = trees.nested_tables(*_tree(spark, sf), marks=_pages)
+    tables, cells, _, shelf = _tree(spark, sf)
+    found = trees.nested_tables(tables, cells, _pages, shelf.parts)
+    shelf.drop()
     return found.select("table", F.col("depth").cast("int").alias("depth"), "row", "height", "y", F.col("mark").alias("page"))
 
 
@@ -79,10 +86,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """What each page shows of the cells that span two rows of a customer's table."""
-    tables, cells = _tree(spark, sf)
-    found = trees.outermost_rows(tables, cells)
+    tables, cells, spanning, shelf = _tree(spark, sf)
+    found = trees.outermost_rows(tables, cells, shelf.parts)
+    shelf.drop("lines")
     rows = found.join(_pages(found), ["table", "row"]).withColumnRenamed("mark", "page")
-    return trees.spanning_pieces(cells, rows).select("table", "row", "page", "height", "carried")
+    return trees.spanning_pieces(spanning, rows).select("table", "row", "page", "height", "carried")
 
 
 @query(

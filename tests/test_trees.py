@@ -1,12 +1,15 @@
 """Ancestors, composed maps and nested tables against walks one by one."""
 
 import math
+import os
 import random
+from contextlib import suppress
 
 import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import trees
+from strata.operators.rounds import shared_folder
 
 
 def test_ancestors_of_forests_and_cycles(spark):
@@ -156,3 +159,39 @@ def test_outermost_rows_are_those_of_the_whole_and_marks_reach_all_inside(spark)
     assert sorted((r.table, r.row, r.mark) for r in marked.collect()) == sorted((t, row, 10 * root_row) for t, _, _, row, _, _, root_row in whole)
     assert trees.outermost_rows(given.where("false"), grid).count() == 0
     assert trees.nested_tables(given.where("false"), grid, marks=lambda rows: rows).columns[-1] == "mark"
+
+
+def files_of(spark):
+    """Bytes of shuffles, checkpoints and kept tables that are on disk."""
+    jvm = spark.sparkContext._jvm
+    tops = [d.toString() for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    tops += [x.removeprefix("file:") for x in (spark.conf.get("spark.sql.warehouse.dir"), shared_folder(spark))]
+    total = 0
+    for file in (f"{d}/{f}" for top in tops for d, _, names in os.walk(top) for f in names):
+        with suppress(FileNotFoundError):
+            total += os.lstat(file).st_size
+    return total
+
+
+def test_tables_in_tables_leave_little_on_disk_and_rows_move_once(spark):
+    outer, held = 1_000, 20
+    up = F.concat(F.lit("c:"), (F.col("id") / held).cast("long"))
+    inner = spark.range(outer * held).select(F.concat(F.lit("o:"), "id").alias("table"), up.alias("up"), (F.col("id") % held).alias("up_row"), F.lit(1).cast("long").alias("up_column"))
+    none = F.lit(None).cast("long")
+    tables = inner.unionByName(inner.select(F.col("up").alias("table"), F.lit(None).cast("string").alias("up"), none.alias("up_row"), none.alias("up_column")).distinct())
+    ones = [F.lit(1).cast("long").alias(c) for c in ("rows", "content")]
+    cells = spark.range(outer * held * 10).select(F.concat(F.lit("o:"), F.col("id") % (outer * held)).alias("table"), (F.col("id") / (outer * held)).cast("long").alias("row"), F.lit(0).alias("column"), *ones)
+    cells = cells.unionByName(inner.select(F.col("up").alias("table"), F.col("up_row").alias("row"), F.lit(1).alias("column"), *ones))
+    before = files_of(spark)
+    found = trees.nested_tables(tables, cells, marks=lambda rows: rows.select("table", "row", (F.col("row") * 10).alias("mark")))
+    left = files_of(spark) - before
+    assert left < 10 * outer * held * 11  # bytes for so many rows; it was 54 a row, as checkpoints and the shuffle files of all steps stayed
+    # What is left to do reads rows and places where both lie.
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("y") + F.col("height")).alias("low"), F.max("mark").alias("mark")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(tuple(r) for r in rows) == [(0, outer * held, 11 * held, 190), (1, outer * held * 10, 11 * held, 190)]
